@@ -1,0 +1,34 @@
+"""Broadcast only what has a proven size bound.
+
+`sized_broadcast` runs a bounded probe, `limit(max_rows + 1).count()`, which
+stops reading once the bound is passed. Under the bound the side is hinted for
+a broadcast hash join; over it the hint is left off and Spark plans a shuffle
+join (AQE may still pick a broadcast from run-time sizes, and splits skewed
+partitions).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_CONF = "spark.larder.broadcastMaxRows"
+_DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_max_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(_CONF, str(_DEFAULT_MAX_ROWS)))
+
+
+def fits(probe: DataFrame, max_rows: int) -> bool:
+    return probe.limit(max_rows + 1).count() <= max_rows
+
+
+def sized_broadcast(df: DataFrame, probe: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+    """`broadcast(df)` if `probe` (default `df`) has at most `max_rows` rows.
+
+    Pass as `probe` the raw input whose row count bounds `df`'s size (for a
+    per-recipe array table, the recipe lines), so the check is a cheap scan.
+    """
+    limit = broadcast_max_rows(df) if max_rows is None else max_rows
+    return F.broadcast(df) if fits(probe if probe is not None else df, limit) else df
