@@ -54,7 +54,7 @@ VIEWS = {
   case when o_orderkey % 10 = 0 then null else cast(o_totalprice as decimal(12,2)) end selling_price,
   case when o_orderkey % 10 = 0 then null else cast(o_totalprice as decimal(12,2))
     - cast(cast(o_totalprice as decimal(12,2)) * cast(0.7 as decimal(2,1)) as decimal(12,2)) end profit,
-  o_orderkey % 10 = 0 needs_price_confirmation, pickup_date,
+  o_orderkey % 10 = 0 needs_price_confirmation, null::varchar customer_notes, pickup_date,
   case when o_orderkey % 3 = 0 then null else lpad((o_orderkey % 24)::varchar, 2, '0') || ':00:00' end pickup_time,
   o_orderdate created_at
   from orders left join pickups on l_orderkey = o_orderkey""",
@@ -234,3 +234,218 @@ pv as (select p.order_id, p.recipe_id, p.selling_price,
   from priced2 p left join menu m on m.recipe_id = p.recipe_id)
 select order_id, recipe_id, cast(selling_price as double) selling_price, cast(preview_price as double) preview_price
 from pv where selling_price is distinct from preview_price"""
+
+# ---------------------------------------------------------------- lists (14-21)
+FACTS = """facts as (select o.*, c.name customer_name, c.phone customer_phone, t.name type_name, s.name size_name
+  from ord o left join customers c on c.id = o.customer_id
+  left join product_types t on t.id = o.product_type_id left join order_sizes s on s.id = o.size_id)
+"""
+_FACTS = with_views("ord", "customers", "product_types", "order_sizes") + ", " + FACTS
+NOTE_PATTERN = "(?i)allerg|alerg|حساس"
+
+ORACLE["order_facts"] = _FACTS + """
+select id, customer_id, customer_name, customer_phone, type_name, size_name, status,
+  cast(selling_price as double) selling_price, pickup_date, created_at from facts"""
+
+ORACLE["order_board"] = _FACTS + """
+select id, created_at, status, customer_name, customer_phone, type_name, size_name,
+  cast(selling_price as double) selling_price, coalesce(needs_price_confirmation, false) price_pending,
+  coalesce(regexp_matches(customer_notes, 'حساس'), false) allergy_note
+from facts order by created_at desc, id desc limit 200"""
+
+ORACLE["pickups_on"] = _FACTS + """
+select id, pickup_time, status, customer_name, type_name, size_name, cast(selling_price as double) selling_price
+from facts where pickup_date = date '1998-06-15'"""
+
+ORACLE["upcoming_orders"] = _FACTS + """
+select id, pickup_date, pickup_time, status, customer_name, customer_phone, type_name, size_name,
+  cast(selling_price as double) selling_price
+from facts where pickup_date > date '1998-06-15' and status <> 'P'
+order by pickup_date, pickup_time nulls last, id limit 10"""
+
+TOTALS = """totals as (select c.id, c.name, c.phone, cast(count(o.id) as int) total_orders,
+    cast(coalesce(sum(coalesce(o.selling_price, 0)), 0) as decimal(12,2)) total_spent, max(o.created_at) last_order_at
+  from customers c left join ord o on o.customer_id = c.id group by c.id, c.name, c.phone)
+"""
+
+ORACLE["customer_list"] = with_views("customers", "ord") + ", " + TOTALS + """
+select id, name, phone, total_orders, cast(total_spent as double) total_spent, last_order_at from totals"""
+
+ORACLE["customer_history"] = _FACTS + """
+select customer_id, id, created_at, status, cast(selling_price as double) selling_price, type_name, size_name
+from facts where customer_id in (select id from customers)"""
+
+ORACLE["order_detail"] = with_views("line", "ord") + """
+select order_id, ingredient_id, ingredient_name_snapshot, is_included, is_allergen,
+  cast(price_delta_applied as double) signed_delta, coalesce(price_delta_applied, 0) <> 0 delta_shown
+from line where order_id in (select id from ord)"""
+
+ORACLE["flag_allergy_notes"] = with_views("line") + """
+select doc_id id, coalesce(regexp_matches(text, '""" + NOTE_PATTERN + """'), false) allergy_note,
+  exists (select 1 from line where line.order_id = documents.doc_id and is_included and is_allergen) allergen_line
+from documents"""
+
+# -------------------------------------------------------------- reports (26-33)
+ORACLE["ingredient_needs"] = with_views("line", "ord", "ingredients") + """
+select l.ingredient_id, l.ingredient_name_snapshot ingredient_name, i.unit,
+  cast(sum(l.quantity_snapshot) as double) total_quantity
+from line l join ord o on o.id = l.order_id join ingredients i on i.id = l.ingredient_id
+where l.is_included and o.status <> 'P' and o.pickup_date between date '1998-06-15' and date '1998-06-22'
+group by l.ingredient_id, l.ingredient_name_snapshot, i.unit"""
+
+STATS = """stats as (select l.ingredient_name_snapshot ingredient_name,
+    count(*) filter (where l.is_included) included_count, count(*) filter (where not l.is_included) excluded_count
+  from line l join ord o on o.id = l.order_id
+  where cast(o.created_at as date) between date '1996-01-01' and date '1998-06-15'
+  group by l.ingredient_name_snapshot)
+"""
+_STATS = with_views("line", "ord") + ", " + STATS
+
+ORACLE["selection_stats"] = _STATS + "select * from stats"
+ORACLE["top_selected"] = _STATS + """
+select ingredient_name, included_count "count" from stats where included_count > 0
+order by included_count desc, ingredient_name limit 8"""
+ORACLE["top_excluded"] = _STATS + """
+select ingredient_name, excluded_count "count" from stats where excluded_count > 0
+order by excluded_count desc, included_count desc, ingredient_name limit 8"""
+
+
+def _sales(cond: str, suffix: str = "") -> str:
+    return (f"count(*) filter (where {cond}) orders{suffix}, "
+            f"cast(coalesce(sum(coalesce(selling_price, 0)) filter (where {cond}), 0) as double) sales{suffix}, "
+            f"cast(coalesce(sum(coalesce(profit, 0)) filter (where {cond}), 0) as double) profit{suffix}")
+
+
+ORACLE["sales_between"] = with_views("ord") + """
+select count(*) order_count, cast(coalesce(sum(coalesce(selling_price, 0)), 0) as double) sales,
+  cast(coalesce(sum(coalesce(profit, 0)), 0) as double) profit
+from ord where cast(created_at as date) between date '1996-01-01' and date '1998-06-15'
+  and status is distinct from 'P'"""
+
+ORACLE["trailing_sales"] = with_views("ord") + "select " + ", ".join(
+    _sales(f"cast(created_at as date) between date '1998-06-15' - interval {k - 1} day and date '1998-06-15'",
+           f"_{k}d") for k in (1, 7, 30)) + " from ord where status is distinct from 'P'"
+
+ORACLE["day_kpis"] = with_views("ord") + """
+select count(*) filter (where cast(created_at as date) = date '1998-06-15') orders_created,
+  count(*) filter (where pickup_date = date '1998-06-15') pickups,
+  cast(coalesce(sum(coalesce(selling_price, 0)) filter (where cast(created_at as date) = date '1998-06-15'
+       and status is distinct from 'P'), 0) as double) sales,
+  cast(coalesce(sum(coalesce(subtotal_cost, 0)) filter (where cast(created_at as date) = date '1998-06-15'
+       and status is distinct from 'P'), 0) as double) cost,
+  cast(coalesce(sum(coalesce(profit, 0)) filter (where cast(created_at as date) = date '1998-06-15'
+       and status is distinct from 'P'), 0) as double) profit
+from ord"""
+
+ORACLE["sales_ranking"] = with_views("ord", "product_types", "order_sizes") + """,
+live as (select coalesce(t.name, '—') type_name, coalesce(s.name, '—') size_name
+  from ord o left join product_types t on t.id = o.product_type_id left join order_sizes s on s.id = o.size_id
+  where cast(o.created_at as date) between date '1996-01-01' and date '1998-06-15'
+    and o.status is distinct from 'P')
+select 'type' dimension, type_name name, count(*) order_count from live group by type_name
+union all select 'size', size_name, count(*) from live group by size_name
+union all select 'total', null, count(*) from live"""
+
+# ------------------------------------------------------------ customers (22-25)
+ORACLE["upsert_customers"] = """
+with ex as (select c_custkey id, c_name name, c_custkey::varchar phone,
+    case when c_custkey % 2 = 0 then 'addr ' || c_nationkey::varchar end address from customer),
+inc as (select trim(user_id::varchar) phone, trim(event_type) name,
+    case when event_id % 3 = 0 then props end address, event_id seq from events),
+latest as (select phone, first(name order by seq desc) name,
+    first(address order by seq desc) filter (where address is not null) address from inc group by phone)
+select coalesce(ex.phone, latest.phone) phone, coalesce(latest.name, ex.name) name,
+  coalesce(latest.address, ex.address) address, ex.id is null is_new
+from ex full outer join latest on ex.phone = latest.phone"""
+
+ORACLE["customer_totals"] = with_views("customers", "ord") + ", " + TOTALS + """
+select id, total_orders, cast(total_spent as double) total_spent, last_order_at from totals"""
+
+# The ledger checked against a plain sequential fold (recursive CTE per customer).
+ORACLE["customer_ledger"] = """
+with recursive ev as (select o_custkey customer_id, o_orderstatus = 'P' is_del,
+    coalesce(case when o_orderkey % 10 = 0 then null else cast(o_totalprice as decimal(12,2)) end, 0) amount,
+    o_orderdate ts, row_number() over (partition by o_custkey order by o_orderkey) rn from orders),
+fold as (
+  select customer_id, rn,
+    cast(case when is_del then greatest(0, -amount) else amount end as decimal(18,2)) total,
+    case when is_del then 0 else 1 end cnt, case when is_del then null else ts end last_ts
+  from ev where rn = 1
+  union all
+  select e.customer_id, e.rn,
+    cast(case when e.is_del then greatest(0, f.total - e.amount) else f.total + e.amount end as decimal(18,2)),
+    case when e.is_del then greatest(0, f.cnt - 1) else f.cnt + 1 end,
+    case when e.is_del then f.last_ts else e.ts end
+  from fold f join ev e on e.customer_id = f.customer_id and e.rn = f.rn + 1)
+select f.customer_id, cast(f.cnt as int) total_orders, cast(f.total as double) total_spent, f.last_ts last_order_at
+from fold f join (select customer_id, max(rn) rn from ev group by customer_id) m
+  on m.customer_id = f.customer_id and m.rn = f.rn"""
+
+STD_PHONE = """case when d like '+%' then d when d like '00%' then '+' || substr(d, 3)
+  when d like '0%' then '+964' || substr(d, 2) else '+964' || d end"""
+
+ORACLE["phone_duplicates"] = with_views("customers") + """,
+s1 as (select id, phone, regexp_replace(phone, '[\\s-]', '', 'g') d from customers),
+s2 as (select id, phone, """ + STD_PHONE + """ phone_std from s1),
+s3 as (select *, count(*) over (partition by phone_std) n_customers from s2)
+select phone_std, id, phone, n_customers from s3 where n_customers > 1"""
+
+ORACLE["integrity_audit"] = with_views("recipes", "sizes") + """
+select 'orders.unique_id' rule, coalesce(sum(n - 1), 0)::bigint violations
+  from (select count(*) n from orders where o_orderkey is not null group by o_orderkey having count(*) > 1)
+union all select 'part.unique_id', coalesce(sum(n - 1), 0)::bigint
+  from (select count(*) n from part where p_partkey is not null group by p_partkey having count(*) > 1)
+union all select 'lineitem.unique_order_part', coalesce(sum(n - 1), 0)::bigint
+  from (select count(*) n from lineitem where l_orderkey is not null and l_partkey is not null
+        group by l_orderkey, l_partkey having count(*) > 1)
+union all select 'lineitem.unique_order_line', coalesce(sum(n - 1), 0)::bigint
+  from (select count(*) n from lineitem where l_orderkey is not null and l_linenumber is not null
+        group by l_orderkey, l_linenumber having count(*) > 1)
+union all select 'lineitem.fk_order', count(*) from lineitem l
+  where l_orderkey is not null and not exists (select 1 from orders o where o.o_orderkey = l.l_orderkey)
+union all select 'lineitem.fk_part', count(*) from lineitem l
+  where l_partkey is not null and not exists (select 1 from part p where p.p_partkey = l.l_partkey)
+union all select 'orders.fk_customer', count(*) from orders o
+  where o_custkey is not null and not exists (select 1 from customer c where c.c_custkey = o.o_custkey)
+union all select 'orders.created_not_null', count(*) filter (where o_orderdate is null) from orders
+union all select 'orders.status_allowed', count(*) filter (where o_orderstatus not in ('F', 'O', 'P')) from orders
+union all select 'lineitem.flag_allowed', count(*) filter (where l_returnflag not in ('A', 'N', 'R')) from lineitem
+union all select 'recipes.price_null_only_custom', count(*) from recipes r left join sizes s on s.id = r.size_id
+  where r.base_selling_price is null and not coalesce(s.pricing_mode = 'custom', false)"""
+
+# -------------------------------------------------------------- changes (34-35)
+ORACLE["apply_changes"] = """
+with ch as (select user_id, event_id seq, ts changed_at,
+    case event_type when 'error' then 'delete' when 'signup' then 'insert' else 'update' end op,
+    event_type name, true name_set, value, event_type in ('purchase', 'click') value_set,
+    case when event_id % 6 = 0 then null else props end props, event_id % 3 = 0 props_set from events),
+r as (select user_id, max(seq) reset_seq, first(op order by seq desc) reset_op
+      from ch where op in ('insert', 'delete') group by user_id),
+eff as (select ch.* from ch left join r using (user_id) where r.reset_seq is null or ch.seq >= r.reset_seq),
+lv as (select user_id,
+    first(name order by seq desc) filter (where name_set) name_v, bool_or(name_set) name_g,
+    first(value order by seq desc) filter (where value_set) value_v, bool_or(value_set) value_g,
+    first(props order by seq desc) filter (where props_set) props_v, bool_or(props_set) props_g,
+    first(changed_at order by seq desc) last_ts
+  from eff group by user_id),
+base as (select c_custkey user_id, c_name name, c_acctbal value, null::varchar props, null::timestamp updated_at
+         from customer),
+j as (select coalesce(b.user_id, lv.user_id) user_id, b.user_id in_base, b.name, b.value, b.props, b.updated_at,
+         lv.*, r.reset_op
+      from base b full outer join lv on b.user_id = lv.user_id
+      left join r on r.user_id = coalesce(b.user_id, lv.user_id))
+select user_id,
+  case when coalesce(name_g, false) then name_v when reset_op = 'insert' then null else name end name,
+  case when coalesce(value_g, false) then value_v when reset_op = 'insert' then null else value end value,
+  case when coalesce(props_g, false) then props_v when reset_op = 'insert' then null else props end props,
+  case when last_ts is not null then last_ts else updated_at end updated_at
+from j
+where case when reset_op = 'delete' then false when reset_op = 'insert' then true else in_base is not null end"""
+
+ORACLE["cascade_delete"] = """
+select l_orderkey, l_linenumber, l_partkey from lineitem l
+where not exists (select 1 from orders o where o.o_orderstatus = 'P' and o.o_orderkey = l.l_orderkey)"""
+
+ORACLE["restrict_check"] = """
+select l_partkey, count(*) blocking_rows from lineitem
+where l_partkey in (select p_partkey from part where p_size % 11 = 0) group by l_partkey"""

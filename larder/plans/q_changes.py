@@ -1,3 +1,49 @@
-"""Registered queries."""
+"""Registered change-table queries (ops 34-35)."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.operators import changes as CH
+from larder.plans.queries import _t, register
+
+
+def change_feed(events: DataFrame) -> DataFrame:
+    """Events as a change table: error = delete, signup = insert, others update.
+
+    name is given by every change; value by purchases and clicks; props by
+    every third event (an explicit NULL on every sixth)."""
+    et = F.col("event_type")
+    return events.select(
+        F.col("user_id"), F.col("event_id").alias("seq"), F.col("ts").alias("changed_at"),
+        F.when(et == "error", "delete").when(et == "signup", "insert").otherwise("update").alias("op"),
+        et.alias("name"), F.lit(True).alias("name__set"),
+        F.col("value"), et.isin("purchase", "click").alias("value__set"),
+        F.when(F.col("event_id") % 6 == 0, F.lit(None)).otherwise(F.col("props")).alias("props"),
+        (F.col("event_id") % 3 == 0).alias("props__set"))
+
+
+@register("apply_changes")
+def q_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    base = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
+                             F.col("c_acctbal").alias("value"), F.lit(None).cast("string").alias("props"),
+                             F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return CH.apply_changes(base, change_feed(t.events), "user_id", ["name", "value", "props"])
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleting the 'P' orders cascades to their lines."""
+    t = _t(spark, sf_dir)
+    dead = t.orders.filter(F.col("o_orderstatus") == "P").select("o_orderkey")
+    return CH.cascade_delete(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), dead, "l_orderkey")
+
+
+@register("restrict_check")
+def q_restrict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleting the parts with size % 11 = 0 is blocked by lines using them."""
+    t = _t(spark, sf_dir)
+    dead = t.part.filter(F.col("p_size") % 11 == 0).select("p_partkey")
+    return CH.restrict_check(t.lineitem.select("l_partkey"), dead, "l_partkey")

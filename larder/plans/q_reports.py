@@ -1,3 +1,63 @@
-"""Registered queries."""
+"""Registered report queries (ops 26-28, 30-33)."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from larder.operators import reports as R
+from larder.plans import bindings as b
+from larder.plans.queries import _t, money_out, register
+
+# Report ranges over the test data (orders span 1995-01 .. 2001-08).
+STATS_FROM = "1996-01-01"
+
+
+def stats(t: b.Tables) -> DataFrame:
+    return R.selection_stats(b.order_lines(t), b.orders(t), STATS_FROM, b.TODAY)
+
+
+@register("ingredient_needs")
+def q_ingredient_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return money_out(R.ingredient_needs(b.order_lines(t), b.orders(t), b.ingredients(t), b.TODAY, b.WEEK_END,
+                                        cancelled=b.CANCELLED))
+
+
+@register("selection_stats")
+def q_selection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(_t(spark, sf_dir))
+
+
+@register("top_selected")
+def q_top_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_selected(stats(_t(spark, sf_dir)))
+
+
+@register("top_excluded")
+def q_top_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_excluded(stats(_t(spark, sf_dir)))
+
+
+@register("sales_between")
+def q_sales_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return money_out(R.sales_between(b.orders(t), STATS_FROM, b.TODAY, cancelled=b.CANCELLED))
+
+
+@register("trailing_sales")
+def q_trailing_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return money_out(R.trailing_sales(b.orders(t), b.TODAY, cancelled=b.CANCELLED))
+
+
+@register("day_kpis")
+def q_day_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return money_out(R.day_kpis(b.orders(t), b.TODAY, cancelled=b.CANCELLED))
+
+
+@register("sales_ranking")
+def q_sales_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return R.sales_ranking(b.orders(t), b.product_types(t), b.order_sizes(t), STATS_FROM, b.TODAY,
+                           cancelled=b.CANCELLED)
