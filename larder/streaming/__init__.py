@@ -1,0 +1,13 @@
+from larder.streaming.orders import (
+    process_order_batch,
+    stream_daily_sales,
+    stream_ingredient_needs,
+    stream_price_orders,
+    needs_between,
+)
+from larder.streaming.ledger import stream_customer_ledger
+
+__all__ = [
+    "process_order_batch", "stream_price_orders", "stream_ingredient_needs", "needs_between",
+    "stream_daily_sales", "stream_customer_ledger",
+]
