@@ -21,21 +21,24 @@ OUTPUT = T.StructType([
     T.StructField("total_orders", T.IntegerType()),
     T.StructField("total_spent", T.StringType()),
     T.StructField("last_order_at", T.TimestampType()),
+    T.StructField("as_of_seq", T.LongType()),
 ])
 STATE = T.StructType([
     T.StructField("count", T.LongType()),
     T.StructField("total", T.StringType()),
     T.StructField("last_order_at", T.TimestampType()),
+    T.StructField("as_of_seq", T.LongType()),
 ])
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.exists:
-        count, total, last = state.get
+        count, total, last, as_of = state.get
         total = Decimal(total)
     else:
-        count, total, last = 0, Decimal("0"), None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+        count, total, last, as_of = 0, Decimal("0"), None, None
+    frames = [b for b in batches if len(b)]
+    pdf = pd.concat(frames, ignore_index=True).sort_values("seq", kind="stable")
     for kind, amount, ts in zip(pdf["kind"], pdf["amount"], pdf["ts"]):
         amt = Decimal("0") if amount is None or (isinstance(amount, float) and pd.isna(amount)) else Decimal(
             str(amount))
@@ -47,9 +50,11 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             total += amt
             last = ts
     total = total.quantize(Decimal("0.01"))
-    state.update((int(count), str(total), last))
+    if len(pdf):
+        as_of = int(pdf["seq"].iloc[-1]) if as_of is None else max(as_of, int(pdf["seq"].max()))
+    state.update((int(count), str(total), last, as_of))
     yield pd.DataFrame({"customer_id": [key[0]], "total_orders": [int(count)], "total_spent": [str(total)],
-                        "last_order_at": [last]})
+                        "last_order_at": [last], "as_of_seq": [as_of]})
 
 
 def stream_customer_ledger(events_stream: DataFrame) -> DataFrame:
@@ -57,7 +62,8 @@ def stream_customer_ledger(events_stream: DataFrame) -> DataFrame:
 
     `events_stream`: customer_id (long), seq, kind ('add' | 'delete'), amount,
     ts (TIMESTAMP). Run in `update` mode; each batch emits the touched
-    customers' current totals. `total_spent` is exact decimal text.
+    customers' current totals, with `as_of_seq`, the highest seq folded in.
+    `total_spent` is exact decimal text.
     """
     cols = events_stream.select("customer_id", "seq", "kind", "amount", "ts")
     return cols.groupBy("customer_id").applyInPandasWithState(
