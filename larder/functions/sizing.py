@@ -9,6 +9,8 @@ partitions).
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,17 @@ def broadcast_max_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(_CONF, str(_DEFAULT_MAX_ROWS)))
 
 
+# Probe answers per DataFrame object. A DataFrame's file listing is fixed when
+# it is created, so the answer cannot change for that object; this spares a
+# stream from re-probing its static side on every micro-batch.
+_SEEN: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
+
+
 def fits(probe: DataFrame, max_rows: int) -> bool:
-    return probe.limit(max_rows + 1).count() <= max_rows
+    known = _SEEN.setdefault(probe, {})
+    if max_rows not in known:
+        known[max_rows] = probe.limit(max_rows + 1).count() <= max_rows
+    return known[max_rows]
 
 
 def sized_broadcast(df: DataFrame, probe: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:

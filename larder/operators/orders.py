@@ -91,7 +91,7 @@ def validate_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame
     """
     s = sizes.select(F.col("id").alias("size_id"), "pricing_mode", F.col("is_active").alias("size_is_active"))
     j = (requests
-         .join(sized_broadcast(s), "size_id", "left")
+         .join(sized_broadcast(s, probe=sizes), "size_id", "left")
          .join(recipe_dim, ["product_type_id", "size_id"], "left"))
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     null_selection = F.exists(

@@ -449,3 +449,9 @@ where not exists (select 1 from orders o where o.o_orderstatus = 'P' and o.o_ord
 ORACLE["restrict_check"] = """
 select l_partkey, count(*) blocking_rows from lineitem
 where l_partkey in (select p_partkey from part where p_size % 11 = 0) group by l_partkey"""
+
+# ------------------------------------------------------------- streams (36-39)
+# The streaming forms must give the batch operators' results.
+ORACLE["stream_price_orders"] = ORACLE["price_orders"]
+ORACLE["stream_ingredient_needs"] = ORACLE["ingredient_needs"]
+ORACLE["stream_customer_ledger"] = ORACLE["customer_ledger"]

@@ -37,4 +37,4 @@ def _t(spark: SparkSession, sf_dir: str) -> b.Tables:
 
 
 # Modules register their queries on import.
-from larder.plans import q_catalog, q_orders, q_lists, q_customers, q_reports, q_changes  # noqa: E402,F401
+from larder.plans import q_catalog, q_orders, q_lists, q_customers, q_reports, q_changes, q_streams  # noqa: E402,F401

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larder.functions.sizing import sized_broadcast
 from larder.operators.orders import order_lines, price_orders, validate_orders
 from larder.schemas import CANCELLED
 from larder.sources.sinks import write_batch
@@ -37,8 +38,11 @@ def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim
 
     Each micro-batch is validated and priced by the batch code against the
     static recipe dimension (broadcast when within the bound), then written
-    idempotently by batch id.
+    idempotently by batch id. The static side is persisted for the stream's
+    life (recomputed from its lineage if an executor is lost), and its size
+    probe runs once.
     """
+    recipe_dim = recipe_dim.persist()
     writer = (requests_stream.writeStream
               .foreachBatch(lambda df, bid: process_order_batch(df, sizes, recipe_dim, out_path, bid))
               .option("checkpointLocation", checkpoint_location))
@@ -47,15 +51,21 @@ def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim
     return writer.start()
 
 
-def stream_ingredient_needs(lines_stream: DataFrame) -> DataFrame:
+def stream_ingredient_needs(lines_stream: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Op 37: included quantity per (pickup date, ingredient, snapshot name,
-    unit), kept as streaming state; run it in `update` mode.
-
-    A cancellation arrives as the same lines with negative quantity. No
-    watermark: pickups lie ahead of the order, so one on pickup would drop near
-    pickups. The state is bounded by calendar days x catalog, not by orders.
+    current unit), kept as streaming state; run it in `update` (or
+    `complete`) mode.
+
+    `lines_stream` holds order lines with their order's pickup date. A
+    cancellation arrives as the same lines with negative quantity. The unit
+    comes from a stream-static join with the ingredient catalog (broadcast
+    within the bound). No watermark: pickups lie ahead of the order, so one on
+    pickup would drop near pickups. The state is bounded by calendar days x
+    catalog, not by the number of orders.
     """
+    unit = ingredients.select(F.col("id").alias("ingredient_id"), "unit")
     return (lines_stream.filter(F.col("is_included"))
+            .join(sized_broadcast(unit), "ingredient_id")
             .groupBy("pickup_date", "ingredient_id", "ingredient_name_snapshot", "unit")
             .agg(F.sum("quantity_snapshot").alias("total_quantity")))
 

@@ -66,19 +66,21 @@ def test_stream_price_orders_equals_batch(spark, kitchen, tmp_path):
         sorted(r.request_id for r in rejected.collect())
 
 
-def test_stream_ingredient_needs_with_cancellation(spark, tmp_path):
-    rows = [("o1", "i1", "onion", "kg", True, D("1.000"), dt.date(2024, 1, 2)),
-            ("o1", "i2", "tomato", "kg", False, D("2.000"), dt.date(2024, 1, 2)),
-            ("o2", "i1", "onion", "kg", True, D("0.500"), dt.date(2024, 1, 3)),
-            ("o3", "i1", "onion", "kg", True, D("4.000"), dt.date(2024, 1, 9)),
-            ("o2", "i1", "onion", "kg", True, D("-0.500"), dt.date(2024, 1, 3))]  # o2 cancelled
-    schema = ("order_id string, ingredient_id string, ingredient_name_snapshot string, unit string, "
+def test_stream_ingredient_needs_with_cancellation(spark, kitchen, tmp_path):
+    rows = [("o1", "i1", "onion", True, D("1.000"), dt.date(2024, 1, 2)),
+            ("o1", "i2", "tomato", False, D("2.000"), dt.date(2024, 1, 2)),
+            ("o2", "i1", "onion", True, D("0.500"), dt.date(2024, 1, 3)),
+            ("o3", "i1", "onion", True, D("4.000"), dt.date(2024, 1, 9)),
+            ("o2", "i1", "onion", True, D("-0.500"), dt.date(2024, 1, 3))]  # o2 cancelled
+    schema = ("order_id string, ingredient_id string, ingredient_name_snapshot string, "
               "is_included boolean, quantity_snapshot decimal(12,3), pickup_date date")
     df = spark.createDataFrame(rows, schema)
     src = _split_write(df, str(tmp_path / "in"), 2)
-    state = _memory(stream_ingredient_needs(spark.readStream.schema(df.schema).parquet(src)), "needs_t", "complete")
-    got = {(r.ingredient_id, r.total_quantity) for r in needs_between(state, "2024-01-01", "2024-01-07").collect()}
-    assert got == {("i1", D("1.000"))}
+    state = _memory(stream_ingredient_needs(spark.readStream.schema(df.schema).parquet(src), kitchen.ingredients),
+                    "needs_t", "complete")
+    got = {(r.ingredient_id, r.unit, r.total_quantity)
+           for r in needs_between(state, "2024-01-01", "2024-01-07").collect()}
+    assert got == {("i1", "kg", D("1.000"))}
 
 
 def test_stream_daily_sales_closed_days_equal_batch(spark, tmp_path):
