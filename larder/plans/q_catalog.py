@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import catalog as C
 from larder.plans import bindings as b
-from larder.plans.queries import _t, money_out, register
+from larder.plans.registry import _t, money_out, register
 
 
 @register("active_catalog")

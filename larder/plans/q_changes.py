@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import changes as CH
-from larder.plans.queries import _t, register
+from larder.plans.registry import _t, register
 
 
 def change_feed(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from larder.functions.money import to_money
 from larder.operators import customers as CU
 from larder.operators import quality as Q
 from larder.plans import bindings as b
-from larder.plans.queries import _t, money_out, register
+from larder.plans.registry import _t, money_out, register
 
 
 @register("upsert_customers")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import lists as L
 from larder.plans import bindings as b
-from larder.plans.queries import _t, money_out, register
+from larder.plans.registry import _t, money_out, register
 
 # Allergy words in the test documents' languages, and the kitchen's own.
 NOTE_PATTERN = "(?i)allerg|alerg|حساس"

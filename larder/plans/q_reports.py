@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder.operators import reports as R
 from larder.plans import bindings as b
-from larder.plans.queries import _t, money_out, register
+from larder.plans.registry import _t, money_out, register
 
 # Report ranges over the test data (orders span 1995-01 .. 2001-08).
 STATS_FROM = "1996-01-01"

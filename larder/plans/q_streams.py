@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.plans import bindings as b
 from larder.plans.q_customers import ledger_events
 from larder.plans.q_orders import recipe_dim
-from larder.plans.queries import _t, money_out, register
+from larder.plans.registry import _t, money_out, register
 from larder.session import scratch_path
 from larder.streaming import needs_between, stream_customer_ledger, stream_ingredient_needs, stream_price_orders
 

@@ -1,40 +1,7 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
+"""All registered queries, imported so each module registers its own.
 
 Each one runs a library operator over whole test tables through the bindings.
-Money leaves as double and every computed column has a fixed alias, so results
-compare with `oracle.py` by name and value.
 """
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from larder.plans import bindings as b
-
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Query] = {}
-
-
-def register(name: str) -> Callable[[Query], Query]:
-    def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
-        return fn
-    return deco
-
-
-def money_out(df: DataFrame) -> DataFrame:
-    """Decimals to double at the edge (engines type decimal sums differently)."""
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-                       else F.col(f.name) for f in df.schema.fields])
-
-
-def _t(spark: SparkSession, sf_dir: str) -> b.Tables:
-    return b.Tables(spark, sf_dir)
-
-
-# Modules register their queries on import.
+from larder.plans.registry import REGISTRY, money_out, register  # noqa: F401
 from larder.plans import q_catalog, q_orders, q_lists, q_customers, q_reports, q_changes, q_streams  # noqa: E402,F401

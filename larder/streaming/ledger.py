@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,29 +32,41 @@ STATE = T.StructType([
 ])
 
 
+def _after(start: int, deltas: np.ndarray, is_del: np.ndarray) -> int:
+    """Fold x -> x + d (add) / max(0, x + d) (delete) over `deltas` from `start`.
+
+    Exact closed form: A = cumulative sums; the result is
+    A_n + max(start, -min over deletes of A_k).
+    """
+    if len(deltas) == 0:
+        return start
+    acc = np.cumsum(deltas)
+    floor = -acc[is_del].min() if is_del.any() else start
+    return int(acc[-1] + max(start, floor))
+
+
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.exists:
         count, total, last, as_of = state.get
-        total = Decimal(total)
     else:
-        count, total, last, as_of = 0, Decimal("0"), None, None
+        count, total, last, as_of = 0, "0.00", None, None
     frames = [b for b in batches if len(b)]
-    pdf = pd.concat(frames, ignore_index=True).sort_values("seq", kind="stable")
-    for kind, amount, ts in zip(pdf["kind"], pdf["amount"], pdf["ts"]):
-        amt = Decimal("0") if amount is None or (isinstance(amount, float) and pd.isna(amount)) else Decimal(
-            str(amount))
-        if kind == "delete":
-            count = max(0, count - 1)
-            total = max(Decimal("0"), total - amt)
-        else:
-            count += 1
-            total += amt
-            last = ts
-    total = total.quantize(Decimal("0.01"))
-    if len(pdf):
-        as_of = int(pdf["seq"].iloc[-1]) if as_of is None else max(as_of, int(pdf["seq"].max()))
-    state.update((int(count), str(total), last, as_of))
-    yield pd.DataFrame({"customer_id": [key[0]], "total_orders": [int(count)], "total_spent": [str(total)],
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    pdf = pdf.sort_values("seq", kind="stable")
+    is_del = (pdf["kind"] == "delete").to_numpy()
+    # Money in integer cents: exact, and vectorised.
+    cents = np.array([0 if a is None or a != a else int(Decimal(str(a)).scaleb(2)) for a in pdf["amount"]],
+                     dtype=np.int64)
+    signed = np.where(is_del, -cents, cents)
+    total_cents = _after(int(Decimal(total).scaleb(2)), signed, is_del)
+    count = _after(int(count), np.where(is_del, -1, 1), is_del)
+    adds = pdf["ts"][~is_del]
+    if len(adds):
+        last = adds.iloc[-1]
+    as_of = int(pdf["seq"].iloc[-1]) if as_of is None else max(int(as_of), int(pdf["seq"].iloc[-1]))
+    spent = str(Decimal(total_cents).scaleb(-2).quantize(Decimal("0.01")))
+    state.update((int(count), spent, last, as_of))
+    yield pd.DataFrame({"customer_id": [key[0]], "total_orders": [int(count)], "total_spent": [spent],
                         "last_order_at": [last], "as_of_seq": [as_of]})
 
 
