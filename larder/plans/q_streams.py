@@ -32,8 +32,12 @@ def q_stream_price_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, reader = _stage(b.requests(t), "stream-requests", 4)
     out = scratch_path(spark, "stream-priced")
     stream = reader.option("maxFilesPerTrigger", 1).parquet(src)
-    stream_price_orders(stream, b.sizes(t), recipe_dim(t), out, scratch_path(spark, "stream-ckpt"),
-                        available_now=True).awaitTermination()
+    dim = recipe_dim(t).persist()  # the static side, built once for all micro-batches
+    try:
+        stream_price_orders(stream, b.sizes(t), dim, out, scratch_path(spark, "stream-ckpt"),
+                            available_now=True).awaitTermination()
+    finally:
+        dim.unpersist()
     return money_out(spark.read.parquet(f"{out}/orders").select(
         "order_id", "recipe_id", "subtotal_cost", "price_adjust", "selling_price", "profit",
         "needs_price_confirmation"))

@@ -38,11 +38,10 @@ def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim
 
     Each micro-batch is validated and priced by the batch code against the
     static recipe dimension (broadcast when within the bound), then written
-    idempotently by batch id. The static side is persisted for the stream's
-    life (recomputed from its lineage if an executor is lost), and its size
-    probe runs once.
+    idempotently by batch id. The static side's size probe runs once; for a
+    long-running stream, persist `recipe_dim` first (it is then recomputed from
+    its lineage only if an executor is lost) and unpersist it after the stream.
     """
-    recipe_dim = recipe_dim.persist()
     writer = (requests_stream.writeStream
               .foreachBatch(lambda df, bid: process_order_batch(df, sizes, recipe_dim, out_path, bid))
               .option("checkpointLocation", checkpoint_location))

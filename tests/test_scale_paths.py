@@ -27,7 +27,7 @@ def test_pricing_over_the_bound_plans_a_shuffle_join_with_equal_results(spark):
         spark.conf.unset(CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" not in plan, plan
     assert small == big
 
 
