@@ -455,3 +455,11 @@ where l_partkey in (select p_partkey from part where p_size % 11 = 0) group by l
 ORACLE["stream_price_orders"] = ORACLE["price_orders"]
 ORACLE["stream_ingredient_needs"] = ORACLE["ingredient_needs"]
 ORACLE["stream_customer_ledger"] = ORACLE["customer_ledger"]
+
+ORACLE["stream_daily_sales"] = with_views("ord") + """,
+live as (select cast(created_at as date) created_date, selling_price, profit, created_at
+         from ord where status is distinct from 'P'),
+days as (select created_date, count(*) order_count, cast(sum(coalesce(selling_price, 0)) as double) sales,
+           cast(sum(coalesce(profit, 0)) as double) profit from live group by created_date)
+select * from days
+where created_date + interval 1 day <= (select max(created_at) - interval 1 day from live)"""

@@ -1,4 +1,4 @@
-"""Registered streaming queries (ops 36, 37, 39).
+"""Registered streaming queries (ops 36-39).
 
 Each stages its binding's rows as Parquet files in the shared scratch folder
 (under `spark.checkpoint.dir`), runs the stream to completion with an
@@ -16,7 +16,8 @@ from larder.plans.q_customers import ledger_events
 from larder.plans.q_orders import recipe_dim
 from larder.plans.registry import _t, money_out, register
 from larder.session import scratch_path
-from larder.streaming import needs_between, stream_customer_ledger, stream_ingredient_needs, stream_price_orders
+from larder.streaming import (needs_between, stream_customer_ledger, stream_daily_sales, stream_ingredient_needs,
+                              stream_price_orders)
 
 
 def _stage(df: DataFrame, name: str, files: int) -> tuple[str, DataFrame]:
@@ -90,3 +91,20 @@ def q_stream_customer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("customer_id", F.col("s.total_orders").alias("total_orders"),
                          F.col("s.total_spent").cast("decimal(12,2)").cast("double").alias("total_spent"),
                          F.col("s.last_order_at").cast("timestamp_ntz").alias("last_order_at"))
+
+
+@register("stream_daily_sales")
+def q_stream_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 38 over the order facts in one micro-batch with a one-day delay: the
+    closing no-data batch moves the watermark to (latest order - 1 day), so
+    exactly the days ending by then are emitted."""
+    t = _t(spark, sf_dir)
+    facts = b.orders(t).select("id", "status", "selling_price", "profit", "created_at")
+    src, reader = _stage(facts, "stream-daily-in", 4)
+    out = scratch_path(spark, "stream-daily-out")
+    (stream_daily_sales(reader.parquet(src), delay="1 day", cancelled=b.CANCELLED)
+        .writeStream.outputMode("append")
+        .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{out}/batch_id={bid}"))
+        .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+        .trigger(availableNow=True).start().awaitTermination())
+    return money_out(spark.read.parquet(out).drop("batch_id"))

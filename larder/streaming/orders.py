@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.functions.sizing import sized_broadcast
@@ -79,18 +80,28 @@ def needs_between(needs_state: DataFrame, d1: str | dt.date, d2: str | dt.date)
             .filter(F.col("total_quantity") != 0))
 
 
-def stream_daily_sales(orders_stream: DataFrame, delay: str = "1 day", cancelled: str = CANCELLED) -> DataFrame:
+def stream_daily_sales(orders_stream: DataFrame, delay: str = "1 day", cancelled: str = CANCELLED,
+                       report_tz: str = "UTC") -> DataFrame:
     """Op 38: op 30 per created day, over a stream; run it in `append` mode.
 
     Rows later than `delay` behind the latest event time are dropped; a day is
-    emitted once the watermark passes its end. `withWatermark` needs a
-    TIMESTAMP column, so a TIMESTAMP_NTZ one is cast first.
+    emitted once the watermark passes its end. Days are calendar days in
+    `report_tz` (a TIMESTAMP_NTZ column is already wall-clock time), whatever
+    the session time zone: event times are shifted to report-zone wall clock
+    before the tumbling window, and the day is read off the window start in
+    epoch seconds. `withWatermark` needs a TIMESTAMP column, hence the cast.
     """
-    ts = orders_stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    live = ts.filter(~F.col("status").eqNullSafe(F.lit(cancelled)))
-    return (live.withWatermark("created_at", delay)
-            .groupBy(F.window("created_at", "1 day").alias("day"))
+    c = F.col("created_at")
+    if isinstance(orders_stream.schema["created_at"].dataType, T.TimestampNTZType):
+        session_tz = orders_stream.sparkSession.conf.get("spark.sql.session.timeZone")
+        local = F.from_utc_timestamp(c.cast("timestamp"), session_tz)
+    else:
+        local = F.from_utc_timestamp(c, report_tz)
+    live = orders_stream.filter(~F.col("status").eqNullSafe(F.lit(cancelled))).withColumn("_local", local)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("day.start")) / 86400).cast("int"))
+    return (live.withWatermark("_local", delay)
+            .groupBy(F.window("_local", "1 day").alias("day"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.sum(F.coalesce(F.col("selling_price"), F.lit(0))).alias("sales"),
                  F.sum(F.coalesce(F.col("profit"), F.lit(0))).alias("profit"))
-            .select(F.to_date(F.col("day.start")).alias("created_date"), "order_count", "sales", "profit"))
+            .select(day.alias("created_date"), "order_count", "sales", "profit"))
