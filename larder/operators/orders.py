@@ -80,14 +80,14 @@ def _line_delta(l: Column) -> Column:
 REJECT_REASONS = ("blank_name", "blank_phone", "size_unavailable", "recipe_unavailable", "null_selection")
 
 
-def validate_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Op 9: attach size and recipe, and a `reject_reason` (first match wins).
+def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame) -> DataFrame:
+    """Op 9 in one pass: every request with its size and recipe attached and a
+    `reject_reason` (NULL when valid; first match wins).
 
     blank name, blank phone (trim strips spaces only), size unknown or inactive,
     recipe unknown or inactive for (type, size), then an add-on whose inclusion
     is NULL because the extras array is NULL or holds a NULL. The product type's
-    own activity is not checked. Returns (valid, rejected); valid carries the
-    recipe row, so pricing needs no further join.
+    own activity is not checked.
     """
     s = sizes.select(F.col("id").alias("size_id"), "pricing_mode", F.col("is_active").alias("size_is_active"))
     j = (requests
@@ -103,11 +103,18 @@ def validate_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame
               .when(F.col("recipe_id").isNull() | ~F.coalesce(F.col("recipe_is_active"), F.lit(False)),
                     "recipe_unavailable")
               .when(F.coalesce(null_selection, F.lit(False)), "null_selection"))
-    out = (j.withColumn("reject_reason", reason)
-            .withColumn("customer_name", F.trim("customer_name"))
-            .withColumn("customer_phone", F.trim("customer_phone"))
-            .withColumn("customer_notes", F.substring(F.coalesce(F.col("customer_notes"), F.lit("")), 1,
-                                                      NOTE_MAX_CHARS)))
+    return (j.withColumn("reject_reason", reason)
+             .withColumn("customer_name", F.trim("customer_name"))
+             .withColumn("customer_phone", F.trim("customer_phone"))
+             .withColumn("customer_notes", F.substring(F.coalesce(F.col("customer_notes"), F.lit("")), 1,
+                                                       NOTE_MAX_CHARS)))
+
+
+def validate_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Op 9: (valid, rejected). Valid rows carry the recipe row, so pricing
+    needs no further join; rejected rows are the requests with their reason.
+    Both are filters of one `check_orders` plan (persist it to share a scan)."""
+    out = check_orders(requests, sizes, recipe_dim)
     valid = out.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = out.filter(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason")
     return valid, rejected

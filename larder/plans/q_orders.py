@@ -25,9 +25,7 @@ def priced_orders(t: b.Tables) -> DataFrame:
 def q_validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request once: valid ones with a NULL reason, rejected with theirs."""
     t = _t(spark, sf_dir)
-    valid, rejected = O.validate_orders(b.requests(t), b.sizes(t), recipe_dim(t))
-    return valid.select("request_id", F.lit(None).cast("string").alias("reject_reason")) \
-        .unionByName(rejected.select("request_id", "reject_reason"))
+    return O.check_orders(b.requests(t), b.sizes(t), recipe_dim(t)).select("request_id", "reject_reason")
 
 
 @register("price_orders")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.functions.sizing import sized_broadcast
-from larder.operators.orders import order_lines, price_orders, validate_orders
+from larder.operators.orders import check_orders, order_lines, price_orders
 from larder.schemas import CANCELLED
 from larder.sources.sinks import write_batch
 
@@ -22,15 +22,19 @@ from larder.sources.sinks import write_batch
 def process_order_batch(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, out_path: str,
                         batch_id: int) -> None:
     """Ops 9-11 on one micro-batch; orders, lines and rejects go under
-    `batch_id=N` with overwrite, so a retried batch replaces its own output."""
-    valid, rejected = validate_orders(requests, sizes, recipe_dim)
-    priced = price_orders(valid).persist()
+    `batch_id=N` with overwrite, so a retried batch replaces its own output.
+    The checked batch (one join with the static side) is persisted once and
+    all three outputs are derived from it."""
+    checked = check_orders(requests, sizes, recipe_dim).persist()
     try:
+        valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        priced = price_orders(valid)
         write_batch(priced.drop("lines"), f"{out_path}/orders", batch_id)
         write_batch(order_lines(priced), f"{out_path}/order_lines", batch_id)
-        write_batch(rejected, f"{out_path}/rejected", batch_id)
+        write_batch(checked.filter(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason"),
+                    f"{out_path}/rejected", batch_id)
     finally:
-        priced.unpersist()
+        checked.unpersist()
 
 
 def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, out_path: str,
