@@ -64,16 +64,16 @@ def _included(l: Column, excluded: Column, extras: Column) -> Column:
     return F.when(l["pricing_rule"] == ADDON, addon_in).otherwise(~left_out)
 
 
-def _line_cost(l: Column) -> Column:
+def _line_cost(l: Column, included: Column) -> Column:
     """Per order line, rounded to money on its own (half away from zero)."""
-    return to_money(F.when(~l["is_included"], F.lit(0))
+    return to_money(F.when(~included, F.lit(0))
                     .when(l["cost_method"] == "direct", l["direct_cost"])
                     .otherwise(l["quantity"] * l["unit_price"]))
 
 
-def _line_delta(l: Column) -> Column:
-    return to_money(F.when((l["pricing_rule"] == REDUCE_ON_REMOVE) & ~l["is_included"], -l["price_delta"])
-                    .when((l["pricing_rule"] == ADDON) & l["is_included"], l["price_delta"])
+def _line_delta(l: Column, included: Column) -> Column:
+    return to_money(F.when((l["pricing_rule"] == REDUCE_ON_REMOVE) & ~included, -l["price_delta"])
+                    .when((l["pricing_rule"] == ADDON) & included, l["price_delta"])
                     .otherwise(F.lit(0)))
 
 
@@ -127,41 +127,57 @@ def price_orders(valid: DataFrame) -> DataFrame:
     sum of deltas, or NULL with NULL profit and `needs_price_confirmation` for a
     custom size. No floor at 0. Ids not in the recipe are ignored and repeated
     ids count once (membership, never an explode join).
+
+    Higher-order functions run interpreted, so the totals fold the raw line
+    structs directly, with no per-line struct rebuild. `lines` stays the
+    recipe's lines; op 11 explodes them and applies the same rules on flat,
+    code-generated columns.
     """
-    marked = F.transform("lines", lambda l: l.withField(
-        "is_included", F.coalesce(_included(l, F.col("excluded_ids"), F.col("extra_ids")), F.lit(False))))
-    priced_lines = F.transform(marked, lambda l: l.withField("cost", _line_cost(l))
-                               .withField("price_delta_applied", _line_delta(l)))
-    step = valid.withColumn("lines", priced_lines)
-    subtotal = to_money(F.aggregate("lines", money_zero(), lambda acc, l: to_money(acc + l["cost"]))
+    ex, xt = F.col("excluded_ids"), F.col("extra_ids")
+
+    def inc(l: Column) -> Column:
+        return F.coalesce(_included(l, ex, xt), F.lit(False))
+
+    subtotal = to_money(F.aggregate("lines", money_zero(), lambda acc, l: to_money(acc + _line_cost(l, inc(l))))
                         + F.coalesce(F.col("packaging_cost"), money_zero())
                         + F.coalesce(F.col("extra_cost"), money_zero()))
-    adjust = F.aggregate("lines", money_zero(), lambda acc, l: to_money(acc + l["price_delta_applied"]))
+    adjust = F.aggregate("lines", money_zero(), lambda acc, l: to_money(acc + _line_delta(l, inc(l))))
     custom = F.col("pricing_mode") == "custom"
     price = F.when(custom, F.lit(None).cast("decimal(12,2)")) \
         .otherwise(to_money(F.coalesce(F.col("base_selling_price"), money_zero()) + F.col("price_adjust")))
-    return (step.withColumn("subtotal_cost", subtotal)
-                .withColumn("price_adjust", adjust)
-                .withColumn("selling_price", price)
-                .withColumn("profit", to_money(F.col("selling_price") - F.col("subtotal_cost")))
-                .withColumn("needs_price_confirmation", F.coalesce(custom, F.lit(False)))
-                .withColumnRenamed("request_id", "order_id"))
+    return (valid.withColumn("subtotal_cost", subtotal)
+                 .withColumn("price_adjust", adjust)
+                 .withColumn("selling_price", price)
+                 .withColumn("profit", to_money(F.col("selling_price") - F.col("subtotal_cost")))
+                 .withColumn("needs_price_confirmation", F.coalesce(custom, F.lit(False)))
+                 .withColumnRenamed("request_id", "order_id"))
+
+
+class _Flat:
+    """Field access on top-level columns, so the line rules serve exploded rows."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
 
 
 def order_lines(priced: DataFrame) -> DataFrame:
-    """Op 11: one snapshot row per (order, recipe line), from op 10's array.
+    """Op 11: one snapshot row per (order, recipe line), from op 10's rows.
 
-    Left-out lines keep their quantity with cost 0. The line id is derived from
-    the natural key (order, ingredient), so reruns give the same ids.
+    The recipe lines are exploded (`inline`) and the include / cost / delta
+    rules applied to the flat columns. Left-out lines keep their quantity with
+    cost 0. The line id is derived from the natural key (order, ingredient), so
+    reruns give the same ids.
     """
-    rows = priced.select("order_id", "created_at", F.inline("lines"))
+    rows = priced.select("order_id", "created_at", "excluded_ids", "extra_ids", F.inline("lines"))
+    line = _Flat()
+    inc = F.coalesce(_included(line, F.col("excluded_ids"), F.col("extra_ids")), F.lit(False))
     return rows.select(
         F.concat_ws(":", F.col("order_id").cast("string"), F.col("ingredient_id").cast("string")).alias("id"),
         "order_id", "ingredient_id",
-        F.col("name").alias("ingredient_name_snapshot"), "is_included",
+        F.col("name").alias("ingredient_name_snapshot"), inc.alias("is_included"),
         F.col("quantity").alias("quantity_snapshot"), F.col("unit_price").alias("unit_price_snapshot"),
-        F.col("cost").alias("cost_snapshot"), "price_delta_applied", "is_allergen", "display_order",
-        "created_at")
+        _line_cost(line, inc).alias("cost_snapshot"), _line_delta(line, inc).alias("price_delta_applied"),
+        "is_allergen", "display_order", "created_at")
 
 
 def number_orders(valid: DataFrame, start: int = 1, prefix: str = ORDER_NUMBER_PREFIX,
