@@ -28,11 +28,11 @@ def _stage(df: DataFrame, name: str, files: int) -> tuple[str, DataFrame]:
 
 @register("stream_price_orders")
 def q_stream_price_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 36 over the order requests, four files, one micro-batch per file."""
+    """Op 36 over the order requests: 16 files, four per micro-batch."""
     t = _t(spark, sf_dir)
-    src, reader = _stage(b.requests(t), "stream-requests", 4)
+    src, reader = _stage(b.requests(t), "stream-requests", 16)
     out = scratch_path(spark, "stream-priced")
-    stream = reader.option("maxFilesPerTrigger", 1).parquet(src)
+    stream = reader.option("maxFilesPerTrigger", 4).parquet(src)
     dim = recipe_dim(t).persist()  # the static side, built once for all micro-batches
     try:
         stream_price_orders(stream, b.sizes(t), dim, out, scratch_path(spark, "stream-ckpt"),
@@ -60,13 +60,13 @@ def _line_events(t: b.Tables) -> DataFrame:
 def q_stream_ingredient_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 37's kept state, then the same date range as `ingredient_needs`."""
     t = _t(spark, sf_dir)
-    src, reader = _stage(_line_events(t), "stream-lines", 4)
+    src, reader = _stage(_line_events(t), "stream-lines", 16)
     state_path = scratch_path(spark, "stream-needs")
 
     def keep(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(state_path)  # complete mode: the whole (bounded) state
 
-    agg = stream_ingredient_needs(reader.option("maxFilesPerTrigger", 1).parquet(src), b.ingredients(t))
+    agg = stream_ingredient_needs(reader.option("maxFilesPerTrigger", 4).parquet(src), b.ingredients(t))
     (agg.writeStream.outputMode("complete").foreachBatch(keep)
         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
         .trigger(availableNow=True).start().awaitTermination())
@@ -79,7 +79,7 @@ def q_stream_customer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     order is seq order; each customer's latest emitted row is its state."""
     t = _t(spark, sf_dir)
     events = ledger_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    src, reader = _stage(events, "stream-ledger-in", 4)
+    src, reader = _stage(events, "stream-ledger-in", 16)
     out = scratch_path(spark, "stream-ledger-out")
     (stream_customer_ledger(reader.parquet(src)).writeStream.outputMode("update")
         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{out}/batch_id={bid}"))
@@ -100,7 +100,7 @@ def q_stream_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     exactly the days ending by then are emitted."""
     t = _t(spark, sf_dir)
     facts = b.orders(t).select("id", "status", "selling_price", "profit", "created_at")
-    src, reader = _stage(facts, "stream-daily-in", 4)
+    src, reader = _stage(facts, "stream-daily-in", 16)
     out = scratch_path(spark, "stream-daily-out")
     (stream_daily_sales(reader.parquet(src), delay="1 day", cancelled=b.CANCELLED)
         .writeStream.outputMode("append")
