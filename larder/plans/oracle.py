@@ -42,6 +42,7 @@ VIEWS = {
   case when o_orderkey % 89 = 0 then ' ' else """ + PHONE.format(k="o_custkey") + """ end customer_phone,
   pickup_date,
   case when o_orderkey % 3 = 0 then null else lpad((o_orderkey % 24)::varchar, 2, '0') || ':00:00' end pickup_time,
+  null::varchar customer_notes,
   case when o_orderkey % 3 = 0 then 'address ' || o_orderkey::varchar end customer_address,
   case when o_orderkey % 50 = 8 then null else excluded_ids end excluded_ids,
   case when o_orderkey % 50 = 7 then null else extra_ids end extra_ids,
@@ -127,6 +128,7 @@ pl as (select lx.*, coalesce(inc_raw, false) inc,
 pa as (select request_id, sum(cost) cost_sum, sum(delta) delta_sum from pl group by request_id),
 priced as (select v.request_id order_id, v.recipe_id, v.created_at, v.customer_phone, v.customer_name,
     v.customer_address, v.seq, v.pricing_mode, v.base_selling_price, v.excluded_ids, v.extra_ids,
+    v.pickup_date, v.pickup_time, v.customer_notes,
     cast(coalesce(pa.cost_sum, 0) + coalesce(v.packaging_cost, 0) + coalesce(v.extra_cost, 0) as decimal(12,2)) subtotal_cost,
     cast(coalesce(pa.delta_sum, 0) as decimal(12,2)) price_adjust
   from valid v left join pa on pa.request_id = v.request_id),
@@ -463,3 +465,27 @@ days as (select created_date, count(*) order_count, cast(sum(coalesce(selling_pr
            cast(sum(coalesce(profit, 0)) as double) profit from live group by created_date)
 select * from days
 where created_date + interval 1 day <= (select max(created_at) - interval 1 day from live)"""
+
+# --------------------------------------------------- placing a batch of orders
+_PLACED = with_views(*PRICING_VIEWS, "customers") + ", " + PRICED_LINES + """,
+n as (select *, row_number() over (order by created_at, order_id) k from priced2),
+inc as (select trim(customer_phone) phone, trim(customer_name) name, customer_address address, seq, created_at,
+          selling_price from priced2),
+latest as (select phone, first(name order by seq desc) name,
+    first(address order by seq desc) filter (where address is not null) address,
+    count(*) n, sum(coalesce(selling_price, 0)) s, max(created_at) last from inc group by phone)
+"""
+
+ORACLE["create_orders"] = _PLACED + """
+select n.order_id, 'DLM-' || strftime(n.created_at, '%Y%m%d') || '-' ||
+    case when k < 10000 then lpad(k::varchar, 4, '0') else k::varchar end order_number,
+  c.id customer_id, 'جديد' status, cast(subtotal_cost as double) subtotal_cost,
+  cast(selling_price as double) selling_price, cast(cast(selling_price - subtotal_cost as decimal(12,2)) as double) profit,
+  needs_price_confirmation, left(coalesce(customer_notes, ''), 1000) customer_notes, pickup_date, pickup_time
+from n left join customers c on c.phone = trim(n.customer_phone)"""
+
+ORACLE["create_orders_customers"] = _PLACED + """
+select c.id, coalesce(l.name, c.name) name, coalesce(c.phone, l.phone) phone, l.address address,
+  cast(coalesce(l.n, 0) as int) total_orders, cast(cast(coalesce(l.s, 0) as decimal(12,2)) as double) total_spent,
+  l.last last_order_at
+from customers c full outer join latest l on l.phone = c.phone"""

@@ -56,3 +56,26 @@ def q_preview_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     menu = C.recipe_menu(b.recipes(t), b.sizes(t), b.recipe_lines(t), b.ingredients(t))
     return money_out(O.preview_mismatches(priced_orders(t), menu))
+
+
+def _placed(t: b.Tables):
+    from larder.operators.placement import create_orders
+    cust = b.customers(t).withColumn("address", F.lit(None).cast("string"))
+    return create_orders(b.requests(t), b.sizes(t), recipe_dim(t), cust)
+
+
+@register("create_orders")
+def q_create_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole placement of every request: the orders as stored."""
+    placed = _placed(_t(spark, sf_dir))
+    return money_out(placed.orders.select(
+        "order_id", "order_number", "customer_id", "status", "subtotal_cost", "selling_price", "profit",
+        "needs_price_confirmation", "customer_notes", "pickup_date", "pickup_time"))
+
+
+@register("create_orders_customers")
+def q_create_orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole placement of every request: the customer table after it."""
+    placed = _placed(_t(spark, sf_dir))
+    return money_out(placed.customers.select("id", "name", "phone", "address", "total_orders", "total_spent",
+                                             "last_order_at"))

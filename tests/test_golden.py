@@ -119,3 +119,28 @@ def test_number_orders_format(spark, kitchen):
     got = sorted((r.request_id, r.order_number) for r in O.number_orders(valid, start=9998).collect())
     assert got == [("o0", "DLM-20240301-9998"), ("o1", "DLM-20240301-9999"), ("o2", "DLM-20240301-10000"),
                    ("o3", "DLM-20240301-10001"), ("o4", "DLM-20240301-10002")]
+
+
+def test_create_orders_places_numbers_and_updates_customers(spark, kitchen):
+    from larder.operators.placement import create_orders
+    from larder.schemas import CUSTOMERS
+    from tests.seed import T0
+    k = kitchen
+    customers = spark.createDataFrame([("c1", "Old name", "07700000001", "home", 3, D("100.00"), T0, T0)], CUSTOMERS)
+    reqs = spark.createDataFrame(
+        [request("A", 1, "t1", "s1", ["i7"], name=" Sara "), request("B", 2, "t2", "s1", [], ["i14"], address="new"),
+         request("X", 3, "t1", "s3", phone="07900000009", name="Ali"), request("G", 4, "t2", "s1", [], None)],
+        REQUEST_SCHEMA)
+    dim = O.recipe_dimension(k.recipes, k.lines, k.ingredients)
+    placed = create_orders(reqs, k.sizes, dim, customers, start_number=41)
+    orders = {r.order_id: r for r in placed.orders.collect()}
+    assert sorted(orders) == ["A", "B", "X"]
+    assert [orders[o].order_number[-4:] for o in ("A", "B", "X")] == ["0041", "0042", "0043"]
+    assert orders["A"].customer_id == orders["B"].customer_id == "c1"
+    assert orders["A"].status == "جديد" and orders["X"].selling_price is None
+    cust = {r.phone: r for r in placed.customers.collect()}
+    c1 = cust["07700000001"]
+    assert (c1.name, c1.address, c1.total_orders, c1.total_spent) == ("Sara", "new", 5, D("24100.00"))
+    assert cust["07900000009"].total_orders == 1 and cust["07900000009"].total_spent == D("0.00")
+    assert [r.request_id for r in placed.rejected.collect()] == ["G"]
+    assert placed.lines.filter("order_id = 'A'").count() == 10
