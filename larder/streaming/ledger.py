@@ -8,11 +8,13 @@ a group arrive as Arrow record batches; state is the only thing kept.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -78,6 +80,8 @@ def stream_customer_ledger(events_stream: DataFrame) -> DataFrame:
     customers' current totals, with `as_of_seq`, the highest seq folded in.
     `total_spent` is exact decimal text.
     """
+    # Ship the fold by value: Python workers then need pandas and numpy, not this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     cols = events_stream.select("customer_id", "seq", "kind", "amount", "ts")
     return cols.groupBy("customer_id").applyInPandasWithState(
         _fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
