@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.money import margin_pct, to_qty
-from larder.functions.sizing import fits, sized_broadcast
+from larder.functions.sizing import sized_broadcast
 from larder.schemas import ADDON
 
 
@@ -120,23 +120,20 @@ def scale_recipes(base_lines: DataFrame, recipes: DataFrame, sizes: DataFrame,
     return out.withColumn("quantity", to_qty(scaled)).drop("multiplier")
 
 
-def unused_ingredients(asked_recipes: DataFrame, ingredients: DataFrame, lines: DataFrame,
-                       max_asked: int = 1000) -> DataFrame:
-    """Op 7: for each asked recipe, the active ingredients it does not use yet.
+def unused_ingredients(recipe_id: object, ingredients: DataFrame, lines: DataFrame) -> DataFrame:
+    """Op 7: the active ingredients the given recipe does not use yet (the
+    candidates to add while editing it).
 
-    The output is (asked recipes) x (active ingredients) minus the recipe's lines,
-    so the asked set must be bounded: it is counted first and refused over
-    `max_asked`. The pairing is then a broadcast of at most `max_asked` keys
-    against one scan of the ingredient catalog, and the anti join drops lines
-    already present.
+    One anti join: the catalog scan against that recipe's lines, which the
+    filter pushes down and whose size is bounded by the catalog ((recipe,
+    ingredient) is unique), so they are broadcast within the bound and the
+    catalog is never shuffled.
     """
-    asked = asked_recipes.select(F.col("recipe_id")).distinct()
-    if not fits(asked, max_asked):
-        raise ValueError(f"unused_ingredients: more than {max_asked} recipes asked")
+    used = lines.filter(F.col("recipe_id") == F.lit(recipe_id)).select("ingredient_id")
     active = ingredients.filter(F.col("is_active")).select(F.col("id").alias("ingredient_id"), "name")
-    pairs = active.crossJoin(F.broadcast(asked))
-    present = lines.join(F.broadcast(asked), "recipe_id", "left_semi").select("recipe_id", "ingredient_id")
-    return pairs.join(present, ["recipe_id", "ingredient_id"], "left_anti")
+    return (active.join(sized_broadcast(used), "ingredient_id", "left_anti")
+            .withColumn("recipe_id", F.lit(recipe_id))
+            .orderBy("name", "ingredient_id"))
 
 
 def line_cost_unrounded(rule: Column, cost_method: Column, direct_cost: Column, quantity: Column,

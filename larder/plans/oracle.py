@@ -155,6 +155,10 @@ menu as (select r.id recipe_id, s.pricing_mode,
   from recipes r join sizes s on s.id = r.size_id where r.is_active and s.is_active)
 """
 
+ORACLE["unused_ingredients"] = with_views("ingredients", "recipe_lines") + """
+select 7 recipe_id, i.id ingredient_id, i.name from ingredients i
+where i.is_active and not exists (select 1 from recipe_lines l where l.recipe_id = 7 and l.ingredient_id = i.id)"""
+
 ORACLE["recipe_menu"] = with_views("ingredients", "recipe_lines", "recipes", "sizes") + ", " + MENU + """
 select m.recipe_id, m.pricing_mode, cast(m.base_selling_price as double) base_selling_price,
   count(ml.ingredient_id) n_lines,

@@ -60,3 +60,14 @@ def q_recipe_costing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     out = C.recipe_costing(b.recipes(t), b.product_types(t), b.sizes(t), b.recipe_lines(t), b.ingredients(t))
     return money_out(out)
+
+
+EDITED_RECIPE = 7  # the recipe open in the editor (the operator's parameter)
+
+
+@register("unused_ingredients")
+def q_unused_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 7: candidates to add to the recipe being edited, over the whole catalog."""
+    t = _t(spark, sf_dir)
+    return C.unused_ingredients(EDITED_RECIPE, b.ingredients(t), b.recipe_lines(t)).select(
+        "recipe_id", "ingredient_id", "name")

@@ -106,9 +106,9 @@ def test_scale_recipes_keeps_unscaled(kitchen):
 
 def test_unused_ingredients(spark, kitchen):
     k = kitchen
-    asked = spark.createDataFrame([("r1",)], "recipe_id string")
-    got = sorted(r.ingredient_id for r in C.unused_ingredients(asked, k.ingredients, k.lines).collect())
+    got = sorted(r.ingredient_id for r in C.unused_ingredients("r1", k.ingredients, k.lines).collect())
     assert got == ["i11", "i12", "i13", "i14"]
+    assert sorted(r.ingredient_id for r in C.unused_ingredients("r4", k.ingredients, k.lines).collect()) == ["i13"]
 
 
 def test_number_orders_format(spark, kitchen):
