@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.sizing import sized_broadcast
@@ -81,3 +81,27 @@ def restrict_check(child: DataFrame, deleted_keys: DataFrame, fk: str) -> DataFr
     dead = deleted_keys.select(F.col(deleted_keys.columns[0]).alias(fk)).distinct()
     per_key = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("blocking_rows"))
     return per_key.join(sized_broadcast(dead), fk, "left_semi")
+
+
+def new_line_defaults(lines: DataFrame, added: DataFrame, seq: str = "seq") -> DataFrame:
+    """Op 34, recipe lines: fill a new line's defaults as the recipe editor does.
+
+    Not optional, `included_fixed`, delta 0, not an add-on, and display order =
+    the recipe's current line count + 1, counting earlier additions of the same
+    batch in `seq` order. Existing lines are counted per recipe first (partial
+    aggregation); the rank runs over one recipe's additions, which (recipe,
+    ingredient) uniqueness bounds by the catalog.
+    """
+    counts = lines.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("_have"))
+    rank = F.row_number().over(Window.partitionBy("recipe_id").orderBy(seq))
+    out = added.join(counts, "recipe_id", "left").withColumn("_rank", rank)
+    fill = {
+        "is_customer_optional": F.lit(False),
+        "pricing_rule": F.lit("included_fixed"),
+        "price_delta": F.lit(0).cast("decimal(12,2)"),
+        "is_addon": F.lit(False),
+        "display_order": (F.coalesce(F.col("_have"), F.lit(0)) + F.col("_rank")).cast("int"),
+    }
+    for c, v in fill.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), v) if c in added.columns else v)
+    return out.drop("_have", "_rank")

@@ -216,3 +216,25 @@ def test_flag_allergy_lines(spark):
                                   "order_id string, is_included boolean, is_allergen boolean")
     got = {r.id: (r.allergy_note, r.allergen_line) for r in L.flag_allergy_notes(o, lines).collect()}
     assert got == {"a": (False, False), "b": (False, True)}
+
+
+def test_new_recipe_lines_get_editor_defaults(spark, kitchen):
+    from larder.operators.changes import new_line_defaults
+    added = spark.createDataFrame([("r1", "i11", D("0.200"), 5), ("r1", "i12", D("0.100"), 9), ("r4", "i13", D("1.0"), 7)],
+                                  "recipe_id string, ingredient_id string, quantity decimal(12,3), seq long")
+    got = {(r.recipe_id, r.ingredient_id): (r.display_order, r.pricing_rule, r.is_customer_optional, r.price_delta)
+           for r in new_line_defaults(kitchen.lines, added).collect()}
+    assert got == {("r1", "i11"): (11, "included_fixed", False, D("0.00")),
+                   ("r1", "i12"): (12, "included_fixed", False, D("0.00")),
+                   ("r4", "i13"): (14, "included_fixed", False, D("0.00"))}
+
+
+def test_report_days_follow_report_tz(spark):
+    o = spark.createDataFrame(
+        [("a", "جديد", D(10), D(1), dt.datetime(2024, 1, 1, 22, 30)),   # UTC; 01:30 on Jan 2 in Baghdad (+3)
+         ("b", "جديد", D(20), D(2), dt.datetime(2024, 1, 1, 20, 0))],   # 23:00 on Jan 1 in Baghdad
+        "id string, status string, selling_price decimal(12,2), profit decimal(12,2), created_at timestamp")
+    utc = R.sales_between(o, "2024-01-01", "2024-01-01").first()
+    bgw = R.sales_between(o, "2024-01-01", "2024-01-01", report_tz="Asia/Baghdad").first()
+    assert (utc.order_count, utc.sales) == (2, D(30))
+    assert (bgw.order_count, bgw.sales) == (1, D(20))
