@@ -118,9 +118,14 @@ def day_kpis(orders: DataFrame, day: str | dt.date, cancelled: str = CANCELLED,
         _money_sum("profit", live).alias("profit"))
 
 
+def _shown_name(c: str):
+    """A missing or empty name is shown as the placeholder (browser `name || '—'`)."""
+    return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(MISSING_NAME)).otherwise(F.col(c))
+
+
 def sales_ranking(orders: DataFrame, types: DataFrame, sizes: DataFrame, d1: str | dt.date, d2: str | dt.date,
                   cancelled: str = CANCELLED, report_tz: str | None = None) -> DataFrame:
-    """Op 33: order counts by type name and by size name (missing = '—'), plus
+    """Op 33: order counts by type name and by size name (missing or empty = '—'), plus
     the grand total, in one grouping-sets pass; `grouping_id` tells the sets
     apart even where a name is NULL."""
     live = orders.filter(in_days(orders, "created_at", d1, d2, report_tz) & _not_cancelled(cancelled))
@@ -128,8 +133,7 @@ def sales_ranking(orders: DataFrame, types: DataFrame, sizes: DataFrame, d1: str
     s = sizes.select(F.col("id").alias("size_id"), F.col("name").alias("_sn"))
     named = (live.select("product_type_id", "size_id")
              .join(sized_broadcast(t), "product_type_id", "left").join(sized_broadcast(s), "size_id", "left")
-             .select(F.coalesce("_tn", F.lit(MISSING_NAME)).alias("type_name"),
-                     F.coalesce("_sn", F.lit(MISSING_NAME)).alias("size_name")))
+             .select(_shown_name("_tn").alias("type_name"), _shown_name("_sn").alias("size_name")))
     g = named.groupingSets([["type_name"], ["size_name"], []], "type_name", "size_name").agg(
         F.count(F.lit(1)).alias("order_count"), F.grouping_id().alias("_gid"))
     dim = F.when(F.col("_gid") == 1, "type").when(F.col("_gid") == 2, "size").otherwise("total")

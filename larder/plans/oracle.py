@@ -344,7 +344,7 @@ select count(*) filter (where cast(created_at as date) = date '1998-06-15') orde
 from ord"""
 
 ORACLE["sales_ranking"] = with_views("ord", "product_types", "order_sizes") + """,
-live as (select coalesce(t.name, '—') type_name, coalesce(s.name, '—') size_name
+live as (select coalesce(nullif(t.name, ''), '—') type_name, coalesce(nullif(s.name, ''), '—') size_name
   from ord o left join product_types t on t.id = o.product_type_id left join order_sizes s on s.id = o.size_id
   where cast(o.created_at as date) between date '1996-01-01' and date '1998-06-15'
     and o.status is distinct from 'P')
