@@ -3,7 +3,8 @@
 The rules are the data model's constraints: unique keys, foreign keys,
 NOT NULL, allowed enum values, and "NULL price only under custom pricing".
 Each check is one aggregate (unique: a partial-aggregated group-by; foreign
-key: an anti join); the audit is their `unionByName`.
+key: an anti join); per-row rules on one table share one scan (`row_checks`);
+the audit is their `unionByName`.
 """
 
 from __future__ import annotations
@@ -48,5 +49,28 @@ def null_only_when_check(df: DataFrame, col: str, allowed_when: Column, rule: st
     return _row(df, rule, F.count_if(F.col(col).isNull() & ~F.coalesce(allowed_when, F.lit(False))))
 
 
+def row_checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Several per-row rules on one table in one scan: each rule is a condition
+    that marks a violating row; one aggregate counts them all, then the counts
+    are unpivoted to one (rule, violations) row each."""
+    names = list(rules)
+    counts = df.agg(*[F.count_if(F.coalesce(rules[n], F.lit(False))).alias(f"_r{i}") for i, n in enumerate(names)])
+    pairs = [F.struct(F.lit(n).alias("rule"), F.col(f"_r{i}").cast("long").alias("violations"))
+             for i, n in enumerate(names)]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
+def not_null_rule(col: str) -> Column:
+    return F.col(col).isNull()
+
+
+def allowed_values_rule(col: str, values: Sequence[str]) -> Column:
+    return F.col(col).isNotNull() & ~F.col(col).isin(list(values))
+
+
+def null_only_when_rule(col: str, allowed_when: Column) -> Column:
+    return F.col(col).isNull() & ~F.coalesce(allowed_when, F.lit(False))
+
+
 def integrity_audit(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), checks)

@@ -75,8 +75,8 @@ def q_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         Q.foreign_key_check(li, "l_orderkey", o, "o_orderkey", "lineitem.fk_order"),
         Q.foreign_key_check(li, "l_partkey", p, "p_partkey", "lineitem.fk_part"),
         Q.foreign_key_check(o, "o_custkey", c, "c_custkey", "orders.fk_customer"),
-        Q.not_null_check(o, "o_orderdate", "orders.created_not_null"),
-        Q.allowed_values_check(o, "o_orderstatus", ["F", "O", "P"], "orders.status_allowed"),
+        Q.row_checks(o, {"orders.created_not_null": Q.not_null_rule("o_orderdate"),
+                         "orders.status_allowed": Q.allowed_values_rule("o_orderstatus", ["F", "O", "P"])}),
         Q.allowed_values_check(li, "l_returnflag", ["A", "N", "R"], "lineitem.flag_allowed"),
         Q.null_only_when_check(rs, "base_selling_price", F.col("pricing_mode") == "custom",
                                "recipes.price_null_only_custom"),
