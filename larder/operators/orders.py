@@ -187,7 +187,8 @@ def number_orders(valid: DataFrame, start: int = 1, prefix: str = ORDER_NUMBER_P
 
     The sequence does not restart daily. Deviation: numbers past 9999 grow to
     five digits instead of being cut to four (cutting collides on the unique
-    order number).
+    order number). The whole input is checkpointed, so pass only the columns
+    the numbered result needs.
 
     No single-partition window: rows are range-partitioned on the order keys and
     sorted within partitions, then checkpointed to the shared checkpoint folder,

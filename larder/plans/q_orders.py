@@ -48,7 +48,8 @@ def q_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_number_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     valid, _ = O.validate_orders(b.requests(t), b.sizes(t), recipe_dim(t))
-    return O.number_orders(valid).select(F.col("request_id").alias("order_id"), "order_number")
+    return O.number_orders(valid.select("request_id", "created_at")).select(
+        F.col("request_id").alias("order_id"), "order_number")
 
 
 @register("preview_mismatches")
