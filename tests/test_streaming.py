@@ -5,7 +5,6 @@ import os
 import time
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from larder.operators import customers as CU
 from larder.operators import orders as O
