@@ -452,9 +452,9 @@ ORACLE["cascade_delete"] = """
 select l_orderkey, l_linenumber, l_partkey from lineitem l
 where not exists (select 1 from orders o where o.o_orderstatus = 'P' and o.o_orderkey = l.l_orderkey)"""
 
-ORACLE["restrict_check"] = """
+ORACLE["restrict_check"] = with_views("ingredients") + """
 select l_partkey, count(*) blocking_rows from lineitem
-where l_partkey in (select p_partkey from part where p_size % 11 = 0) group by l_partkey"""
+where l_partkey in (select id from ingredients where not is_active) group by l_partkey"""
 
 # ------------------------------------------------------------- streams (36-39)
 # The streaming forms must give the batch operators' results.

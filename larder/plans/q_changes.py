@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import changes as CH
+from larder.plans import bindings as b
 from larder.plans.registry import _t, register
 
 
@@ -43,7 +44,7 @@ def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("restrict_check")
 def q_restrict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleting the parts with size % 11 = 0 is blocked by lines using them."""
+    """Deleting the inactive ingredients is blocked by the order lines using them."""
     t = _t(spark, sf_dir)
-    dead = t.part.filter(F.col("p_size") % 11 == 0).select("p_partkey")
+    dead = b.ingredients(t).filter(~F.col("is_active")).select("id")
     return CH.restrict_check(t.lineitem.select("l_partkey"), dead, "l_partkey")
