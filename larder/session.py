@@ -22,6 +22,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Remove numbering checkpoints once their DataFrame is out of scope.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
