@@ -9,6 +9,7 @@ a group arrive as Arrow record batches; state is the only thing kept.
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -48,6 +49,8 @@ def _after(start: int, deltas: np.ndarray, is_del: np.ndarray) -> int:
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    # pandas warns when Spark concatenates result frames holding an all-NULL column.
+    warnings.filterwarnings("ignore", category=FutureWarning)
     if state.exists:
         count, total, last, as_of = state.get
     else:

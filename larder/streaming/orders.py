@@ -88,8 +88,10 @@ def stream_daily_sales(orders_stream: DataFrame, delay: str = "1 day", cancelled
                        report_tz: str = "UTC") -> DataFrame:
     """Op 38: op 30 per created day, over a stream; run it in `append` mode.
 
-    Rows later than `delay` behind the latest event time are dropped; a day is
-    emitted once the watermark passes its end. Days are calendar days in
+    A day is emitted once, when the watermark (latest event time - `delay`)
+    passes its end, and its state is then dropped. Rows within `delay` are
+    always counted; rows later than that may or may not be (Spark's watermark
+    contract), and never after their day was emitted. Days are calendar days in
     `report_tz` (a TIMESTAMP_NTZ column is already wall-clock time), whatever
     the session time zone: event times are shifted to report-zone wall clock
     before the tumbling window, and the day is read off the window start in

@@ -117,3 +117,20 @@ def test_stream_ledger_equals_batch(spark, tmp_path):
     batch = {r.customer_id: (r.total_orders, r.total_spent, r.last_order_at) for r in CU.customer_ledger(df).collect()}
     # The stream folds in arrival order; files were split in seq order, so it equals the batch fold.
     assert {k: (v[0], v[1]) for k, v in latest.items()} == {k: (v[0], v[1]) for k, v in batch.items()}
+
+
+def test_stream_daily_sales_counts_rows_within_the_delay(spark, tmp_path):
+    early = [(f"a{i}", "جديد", D(10), D(1), dt.datetime(2024, 1, 1 + i, 12)) for i in range(5)]  # Jan 1-5
+    # After Jan 5 12:00 the watermark is Jan 4 12:00: a Jan 4 20:00 row is late but within the delay.
+    within = [("w", "جديد", D(5), D(1), dt.datetime(2024, 1, 4, 20))]
+    tail = [(f"b{i}", "جديد", D(10), D(1), dt.datetime(2024, 1, 8 + i, 12)) for i in range(2)]  # closes Jan 4-6
+    schema = "id string, status string, selling_price decimal(12,2), profit decimal(12,2), created_at timestamp"
+    df = spark.createDataFrame(early + within + tail, schema)
+    src = _split_write(df, str(tmp_path / "in"), 4)
+    out = _memory(stream_daily_sales(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+                                     .parquet(src), delay="1 day"), "daily_within_t", "append")
+    rows = out.collect()
+    got = {r.created_date: (r.order_count, r.sales) for r in rows}
+    assert len(rows) == len(got)  # each day emitted once
+    assert got[dt.date(2024, 1, 4)] == (2, D(15))
+    assert got[dt.date(2024, 1, 1)] == (1, D(10))
