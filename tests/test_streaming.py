@@ -134,3 +134,27 @@ def test_stream_daily_sales_counts_rows_within_the_delay(spark, tmp_path):
     assert len(rows) == len(got)  # each day emitted once
     assert got[dt.date(2024, 1, 4)] == (2, D(15))
     assert got[dt.date(2024, 1, 1)] == (1, D(10))
+
+
+def test_bucketed_ledger_state_equals_fold_across_batches(spark, tmp_path):
+    import random
+    rnd = random.Random(5)
+    ev = []
+    for seq in range(300):
+        c = rnd.choice([1, 2, 3]) if rnd.random() < 0.3 else rnd.randint(4, 40)
+        kind = "delete" if rnd.random() < 0.35 else "add"
+        amt = None if rnd.random() < 0.05 else D(rnd.randint(-500, 5000)) / 100
+        ev.append((c, seq, kind, amt, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=seq)))
+    df = spark.createDataFrame(ev, "customer_id long, seq long, kind string, amount decimal(12,2), ts timestamp")
+    src = _split_write(df.orderBy("seq"), str(tmp_path / "in"), 5)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = _memory(stream_customer_ledger(stream, buckets=3), "ledger_b3", "update")
+    latest = {}
+    for r in sorted(out.collect(), key=lambda r: r.as_of_seq):
+        latest[r.customer_id] = (r.total_orders, D(r.total_spent), r.last_order_at)
+    want = {}
+    for c, seq, kind, amt, ts in ev:  # arrival order = seq order
+        n, tot, last = want.get(c, (0, D(0), None))
+        a = amt or D(0)
+        want[c] = (max(0, n - 1), max(D(0), tot - a), last) if kind == "delete" else (n + 1, tot + a, ts)
+    assert {k: (n, t.quantize(D("0.01")), last) for k, (n, t, last) in want.items()} == latest
