@@ -2,9 +2,10 @@
 
 The flagship. A recipe collapses to one row holding its lines as
 `array<struct>`; that dimension is joined to the orders once (broadcast behind a
-size check), and everything after is row-wise column expressions over the
-array (`transform`, `aggregate`, `array_contains`): no shuffle of orders, and
-the same code serves batch and Structured Streaming micro-batches.
+size check), and everything after is row-wise: order totals fold the array
+with `aggregate` and `array_contains`, and order lines explode it (`inline`)
+and apply the same rules on flat columns. No shuffle of orders, and the same
+code serves batch and Structured Streaming micro-batches.
 
 The include / cost / delta rules live only here, in `_included`, `_line_cost`
 and `_line_delta`.
