@@ -21,24 +21,28 @@ from larder.schemas import ORDER_NUMBER_PREFIX, ORDER_STATUSES
 
 class Placed:
     """The outputs of placing a batch. Each is built on first use: numbering
-    checkpoints the priced orders, so it runs only if `orders` is asked for."""
+    checkpoints the priced orders, so it runs only if `orders` is asked for;
+    once it has run, the customer upsert reads the checkpointed rows instead of
+    checking the requests a second time."""
 
     def __init__(self, priced: DataFrame, valid: DataFrame, rejected: DataFrame, customers: DataFrame,
                  start_number: int, prefix: str):
         self._priced, self._valid, self.rejected = priced, valid, rejected
         self._customers_in, self._start, self._prefix = customers, start_number, prefix
+        self._numbered: DataFrame | None = None
 
     @cached_property
     def _upserted(self) -> DataFrame:
-        return upsert_customers(self._customers_in, self._valid)
+        rows = self._numbered if self._numbered is not None else self._valid
+        return upsert_customers(self._customers_in, rows)
 
     @cached_property
     def orders(self) -> DataFrame:
         # The stored order has no lines array; leaving it out keeps the checkpoint narrow.
-        numbered = number_orders(self._priced.drop("lines"), start=self._start, prefix=self._prefix,
-                                 order_cols=("created_at", "order_id"))
+        self._numbered = number_orders(self._priced.drop("lines"), start=self._start, prefix=self._prefix,
+                                       order_cols=("created_at", "order_id"))
         ids = self._upserted.select(F.col("id").alias("customer_id"), F.col("phone").alias("customer_phone"))
-        return numbered.join(ids, "customer_phone", "left").withColumn("status", F.lit(ORDER_STATUSES[0]))
+        return self._numbered.join(ids, "customer_phone", "left").withColumn("status", F.lit(ORDER_STATUSES[0]))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -46,7 +50,8 @@ class Placed:
 
     @cached_property
     def customers(self) -> DataFrame:
-        return add_order_totals(self._upserted, self._priced)
+        rows = self._numbered if self._numbered is not None else self._priced
+        return add_order_totals(self._upserted, rows)
 
 
 def add_order_totals(customers: DataFrame, priced: DataFrame) -> DataFrame:
