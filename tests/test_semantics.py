@@ -238,3 +238,34 @@ def test_report_days_follow_report_tz(spark):
     bgw = R.sales_between(o, "2024-01-01", "2024-01-01", report_tz="Asia/Baghdad").first()
     assert (utc.order_count, utc.sales) == (2, D(30))
     assert (bgw.order_count, bgw.sales) == (1, D(20))
+
+
+def test_price_preview_direct(spark):
+    ing, rl, rec, sizes, _ = _tiny(spark, [("a", "1", "10", True, "included_reduce_on_remove", 250, False),
+                                          ("b", "1", "10", True, "extra_cost_addon", 900, True)])
+    menu = C.recipe_menu(rec, sizes, rl, ing)
+    reqs = spark.createDataFrame([("x", "r", ["a"], ["b"]), ("y", "r", None, None)],
+                                 "request_id string, recipe_id string, excluded_ids array<string>, "
+                                 "extra_ids array<string>")
+    got = {r.request_id: r.preview_price for r in O.price_preview(reqs, menu).collect()}
+    assert got == {"x": D("8650.00"), "y": D("8000.00")}  # 8000 - 250 + 900; NULL selections change nothing
+    _, _, rec_c, sizes_c, _ = _tiny(spark, [("a", "1", "10", True, "included_fixed", 0, False)], mode="custom")
+    menu_c = C.recipe_menu(rec_c, sizes_c, rl, ing)
+    assert O.price_preview(reqs, menu_c).first().preview_price is None
+
+
+def test_recipe_lines_view_order_and_names(kitchen):
+    rows = [r for r in C.recipe_lines_view(kitchen.lines, kitchen.ingredients).collect() if r.recipe_id == "r4"]
+    assert [r.display_order for r in rows] == sorted(r.display_order for r in rows)
+    assert rows[0].ingredient_name == "onion" and rows[-1].ingredient_name == "extra meat"
+
+
+def test_needs_between_drops_fully_cancelled_days(spark):
+    from larder.streaming import needs_between
+    state = spark.createDataFrame(
+        [(dt.date(2024, 1, 2), "i1", "onion", "kg", D("1.000")), (dt.date(2024, 1, 3), "i1", "onion", "kg", D("2.000")),
+         (dt.date(2024, 1, 3), "i2", "rice", "kg", D("0.000")), (dt.date(2024, 1, 9), "i1", "onion", "kg", D("5.000"))],
+        "pickup_date date, ingredient_id string, ingredient_name_snapshot string, unit string, "
+        "total_quantity decimal(22,3)")
+    got = {(r.ingredient_id, r.total_quantity) for r in needs_between(state, "2024-01-01", "2024-01-07").collect()}
+    assert got == {("i1", D("3.000"))}
