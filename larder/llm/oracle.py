@@ -1,3 +1,124 @@
 """DuckDB SQL for the operators that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+# DuckDB has no CRC-32: its table and its byte loop, as list reductions.
+ORACLE["op1_sharding"] = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), raw AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes
+  FROM documents
+), d AS (
+  SELECT doc_id, source, size::BIGINT AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS crc
+  FROM raw, crc_table
+), h AS (
+  SELECT *, ('0x' || substr(md5(concat_ws('|', '1', coalesce(doc_id::VARCHAR, 'null'), crc, size)), 1, 15))::BIGINT AS h
+  FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, crc, size) AS rnk,
+         count(*) OVER (PARTITION BY source) AS rws
+  FROM h
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * rnk - 1)::DOUBLE / (2 * rws)::DOUBLE, source NULLS FIRST, h,
+                               doc_id NULLS FIRST, crc, size) - 1 AS place, count(*) OVER () AS n
+  FROM r
+), c AS (
+  SELECT *, n // 16 AS small, n % 16 AS big, (n % 16) * (n // 16 + 1) AS edge FROM o
+), s AS (
+  SELECT *, CASE WHEN place < edge THEN place // (small + 1) ELSE big + (place - edge) // greatest(small, 1) END AS shard FROM c
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       (CASE WHEN place < edge THEN place - shard * (small + 1) ELSE place - edge - (shard - big) * small END)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard
+FROM s
+"""
+
+ORACLE["op3_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+p AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i,
+         unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+  FROM d WHERE len(w) >= 50
+), f AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM p) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM f
+), k AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS s
+  FROM k ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op5_decontamination"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, w, least(13, len(w)) AS n
+  FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+  FROM b
+), p AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+  FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n
+), m AS (
+  SELECT DISTINCT p.doc_id, p.i, p.n, g.item FROM p JOIN g ON p.n = g.n AND p.win = g.win
+), hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+  FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+# The targets by the contract's own rounds: share, stop at the cap, share the excess again.
+ORACLE["op7_source_mixing"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5(text) AS m, len({_SPACE_WORDS})::BIGINT AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight
+  FROM d GROUP BY source
+), rounds AS (
+  SELECT 0 AS k, source, source_size, weight, false AS capped, false AS more FROM src
+  UNION ALL
+  SELECT k + 1, source, source_size, weight, over, bool_or(over AND NOT capped) OVER ()
+  FROM (
+    SELECT *, capped OR (sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN 3 * source_size END) OVER (), 0)) * weight
+              >= 3 * source_size * sum(CASE WHEN NOT capped THEN weight END) OVER () AS over
+    FROM rounds WHERE k = 0 OR more
+  )
+), done AS (
+  SELECT source, source_size,
+         CASE WHEN capped THEN (3 * source_size)::DOUBLE
+              ELSE ((sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN 3 * source_size END) OVER (), 0)) * weight)::DOUBLE
+                   / (sum(CASE WHEN NOT capped THEN weight END) OVER ())::DOUBLE END AS target
+  FROM rounds WHERE k = (SELECT max(k) FROM rounds)
+), c AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
+         ('0x' || substr(md5(concat_ws('|', '7', coalesce(doc_id::VARCHAR, m, 'null'))), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u
+  FROM d JOIN done ON d.source IS NOT DISTINCT FROM done.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""

@@ -25,3 +25,32 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     from larder.llm.simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 16 shards of equal row counts, each a like mixture of sources."""
+    from larder.llm.sharding import shard_rows
+    d = shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return d.select("doc_id", "sharding.size", "sharding.text_crc32", F.lit("rows").alias("law"), "sharding.shard",
+                    "sharding.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark every document holds, and whether that makes it contaminated."""
+    from larder.llm.decontaminate import find_contamination, is_contaminated
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = find_contamination(docs, table(spark, sf_dir, "benchmark"), window=13)
+    items = F.sha2(F.array_join(F.array_sort("contamination.hit_items"), ","), 256)
+    return d.select("doc_id", "contamination.n_words", "contamination.n_hit",
+                    F.size("contamination.hit_items").cast("long").alias("n_items"), items.alias("items_sha256"),
+                    is_contaminated().alias("contaminated"))
+
+
+@query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    from larder.llm.mixing import plan_mix
+    d = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return d.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
