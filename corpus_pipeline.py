@@ -6,20 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.llm import decontaminate, mixing, sharding, simhash, toxicity
 from larder.llm.common import materialise
-from larder.llm.simhash import keep_one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go; the scorer learns from `labels` and the stage's own documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = toxicity.fit(docs, toxicity.train_labels(labels, "toxic"))
+    scored = toxicity.toxicity_scores(docs, scorer, "_llm_toxicity")
+    return scored.where("_llm_toxicity < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest doc_id."""
-    return keep_one(docs, shingle=3, radius=3)
+    return simhash.keep_one(docs, shingle=3, radius=3)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's repetition rate takes it."""
+    return mixing.mix_sources(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's shard and slot, with size and CRC."""
+    d = sharding.shard_rows(docs, shards=16)
+    return d.select("doc_id", "sharding.size", "sharding.text_crc32", "sharding.shard", "sharding.slot")
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_neardup", neardup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic), ("simhash_neardup", drop_near_copies), ("decontamination", drop_contaminated),
+    ("source_mixing", mix), ("sharding", shard)]
 
-ORACLE_SQL = None
+# A trained model and XXH64 fingerprints have no SQL; tests hold run() against a brute-force version.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,33 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.mixing import plan_mix
     d = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the rows that are not held out."""
+    from larder.llm import toxicity as t
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = t.fit(docs, t.train_labels(table(spark, sf_dir, "labels"), "toxic"))
+    return t.toxicity_scores(docs, scorer, "score").select(
+        "doc_id", t.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the rows that are not held out."""
+    from larder.llm import quality as q
+    from larder.llm.toxicity import held_out, train_labels
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = q.fit(docs, train_labels(table(spark, sf_dir, "labels"), "quality"))
+    return q.quality_scores(docs, network, "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a repeated window of 50 words covers."""
+    from larder.llm.substring import dedup_substrings
+    return dedup_substrings(table(spark, sf_dir, "documents"), window=50, block=25)
