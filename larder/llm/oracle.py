@@ -122,3 +122,23 @@ SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
+
+# The default template's lengths: <s>, and for each turn what stands around its escaped text.
+ORACLE["op9_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, list_sum(list_transform(['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|role|>', chr(92), chr(10)],
+              lambda x: (length(text) - length(replace(text, x, ''))) // length(x))) AS escapes
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(length('<|role|>') + length(role) + 1 + length(text) + escapes + 4
+                + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 ELSE 0 END))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

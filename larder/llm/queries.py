@@ -84,3 +84,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a repeated window of 50 words covers."""
     from larder.llm.substring import dedup_substrings
     return dedup_substrings(table(spark, sf_dir, "documents"), window=50, block=25)
+
+
+@query
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    from larder.llm.embeddings import link_vectors
+    return link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
+    from larder.llm.chat import format_digests
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*probe.columns)
+    return format_digests(rows.unionByName(probe))
