@@ -135,13 +135,11 @@ def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray,
     return tuple(map(np.concatenate, (hashes, buckets, rows, ords, marks)))
 
 
-def _answer(packed: DataFrame, width: int, both: bool) -> DataFrame:
-    """(row, hits): the hashes that a row shares with a marked one of an earlier document.
+def _answer(packed: DataFrame, n: int, width: int, both: bool) -> DataFrame:
+    """(row, hits): the distinct hashes that a row shares with a marked one of an earlier document.
 
     `both`: rows with a marked hash that a later document has are told it too.
     """
-    n = 2 * tasks(packed.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _unpack(batches, width)
         if got is None:
@@ -157,18 +155,37 @@ def _answer(packed: DataFrame, width: int, both: bool) -> DataFrame:
             last = np.maximum.reduceat(ord_, start)
             hit |= mark & (ord_ < last[group])
         h, row = h[hit], row[hit]
-        order = np.argsort(row, kind="stable")
-        h, row = h[order], row[order]
-        cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-        for at in range(0, len(cut), 4096):
-            part = cut[at:at + 4096]
-            ends = np.r_[part[1:], cut[at + 4096] if at + 4096 < len(cut) else len(row)]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[part, ends[-1:]] - part[0], pa.int32()),
-                                             pa.array(h[part[0]:ends[-1]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(row[part]), lists], names=["row", "hits"])
+        to = row % n
+        order = np.lexsort((row, to))
+        h, row, to = h[order], row[order], to[order]
+        edge = np.searchsorted(to, np.arange(n + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            at = slice(edge[k], edge[k + 1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(k)], pa.int32()), pa.array([row[at].tobytes()], pa.binary()),
+                 pa.array([h[at].tobytes()], pa.binary())], names=["to", "rows", "hits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.frombuffer(r, np.int64), np.frombuffer(h, np.int64))
+               for b in batches for r, h in zip(b.column("rows").to_pylist(), b.column("hits").to_pylist())]
+        if not got:
+            return
+        row, h = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+        row, h = row[new], h[new]
+        edge = np.r_[np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), len(row)]
+        for at in range(0, len(edge) - 1, 4096):
+            part = edge[at:at + 4097]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[part[:-1]]),
+                 pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(h[part[0]:part[-1]]))],
+                names=["row", "hits"])
 
-    found = packed.repartition(n, "bucket").mapInArrow(run, "row long, hits array<long>")
-    return found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    # Packed once more on the way back, by row: a row per pair of tasks, not per document and task.
+    answers = packed.repartitionById(n, "bucket").mapInArrow(run, "to int, rows binary, hits binary")
+    return answers.repartitionById(n, "to").mapInArrow(merge, "row long, hits array<long>")
 
 
 def _near(flag: np.ndarray, before: int, n: int) -> np.ndarray:
@@ -264,12 +281,12 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "row long, ord long, n_words long, sha string")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(row, ord, text, hits) of the rows of `_rows(docs)` that hold a window of an earlier document."""
-    buckets = 8 * tasks(docs.sparkSession)
-    anchors = _answer(_probe(docs, buckets, block, window), 5, both=True)
-    hit_docs = materialise(docs.join(anchors, "row"), "anchored")
-    repeats = _answer(_extend(hit_docs, buckets, block, window), 8, both=False)
+def repeated_windows(rows: DataFrame, alone: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(row, text, hits) of the rows of `_rows(docs)` in `alone(row)` that hold a window of an earlier document."""
+    n = 2 * tasks(rows.sparkSession)  # hash ranges; each is one task's
+    anchors = _answer(_probe(rows, n, block, window), n, 5, both=True).join(alone, "row")
+    hit_docs = materialise(rows.join(anchors, "row"), "anchored")
+    repeats = _answer(_extend(hit_docs, n, block, window), n, 8, both=False)
     return hit_docs.drop("hits").join(repeats, "row")
 
 
@@ -309,12 +326,13 @@ def _dedup(docs: DataFrame, window: int, block: int) -> tuple[DataFrame, DataFra
     rows = _rows(docs)
     base = materialise(_words(rows), "words")
     first = base.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("ord").alias("first"))
+    first = materialise(first, "first")
     base = materialise(
         base.join(first, "sha", "left")
         .select("row", F.when(F.col("ord") < _NO_ID, F.col("ord")).alias("doc_id"), "n_words", "sha",
                 F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("whole")), "judged")
     # Rows that are equal have equal answers: one of them is compared.
     alone = base.where("not whole").where(F.col("n_words") >= window).select("row").distinct()
-    found = repeated_windows(rows.join(alone, "row", "left_semi"), window, block)
+    found = repeated_windows(rows, alone, window, block)
     cut = materialise(_cut(found, window), "cut")
     return base, cut.dropDuplicates(["row"])
