@@ -102,3 +102,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(*probe.columns)
     return format_digests(rows.unionByName(probe))
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a labeller trained on a sample of them."""
+    from larder.llm import html
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

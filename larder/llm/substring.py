@@ -26,15 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import as_bytes, materialise, tasks
+from larder.llm.common import as_bytes, materialise, slices, tasks
 
 WINDOW, BLOCK = 50, 25
 #: Words of documents whose hashes are packed together.
-PACK_WORDS = 1_000_000
+PACK_WORDS = 500_000
 _NO_ID = np.iinfo(np.int64).max
+_NAMELESS = 1 << 62  # ids are below this
 
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so they have inverses
-_MEMO = 500_000
+_MEMO = 200_000
 
 
 class Powers:
@@ -81,80 +82,99 @@ def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """A row key, the id that orders documents (null last) and the text."""
+    """A row key, the number that orders documents (null ids above all others) and the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return d.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("ord"), "text")
+    nameless = F.lit(_NAMELESS) + F.shiftrightunsigned(F.xxhash64("text"), 3)
+    return d.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", nameless).alias("ord"), "text")
 
 
-_PACKED = "bucket int, rows binary, ords binary, counts binary, hashes binary, marks binary"
+_PACKED = "bucket int, docs binary, hashes binary, marks binary"
 
 
-def _pack(keys: list[int], ords: list[int], per_doc: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int,
-          width: int) -> Iterator[pa.RecordBatch]:
+def _small(x: np.ndarray) -> bytes:
+    """Integers in the fewest whole bytes that hold them all, that number first."""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if not len(x) or (x.min() >= 0 and x.max() <= np.iinfo(kind).max):
+            return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    return bytes([8]) + x.astype(np.int64).tobytes()
+
+
+def _large(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[b[0]], offset=1).astype(np.int64)
+
+
+def _pack(docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     """One row per bucket: the documents, how many hashes each has there, and the hashes.
 
-    per_doc: hash, bucket hash, mark of each window. `width` low bytes of the hash are sent.
+    docs: ord, and hash, bucket hash and mark of each window. `width` low bytes of a hash are sent.
     """
-    h, b, m = (np.concatenate([x[k] for x in per_doc]) for k in range(3))
-    doc = np.repeat(np.arange(len(per_doc)), [len(x[0]) for x in per_doc])
+    docs = sorted(docs, key=lambda x: x[0])
+    ords = np.array([d[0] for d in docs], np.int64)
+    h, b, m = (np.concatenate([d[k] for d in docs]) for k in (1, 2, 3))
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[1]) for d in docs])
     b = (b % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(b, kind="stable")
     h, b, m, doc = h[order], b[order], m[order], doc[order]
     edge = np.searchsorted(b, np.arange(buckets + 1))
-    keys_a, ords_a = np.array(keys, np.int64), np.array(ords, np.int64)
-    cols: list[list] = [[], [], [], [], [], []]
+    cols: list[list] = [[], [], [], []]
     for k in np.flatnonzero(np.diff(edge)):
         at = slice(edge[k], edge[k + 1])
         there, counts = np.unique(doc[at], return_counts=True)
+        first, steps = ords[there[:1]].tobytes(), _small(np.diff(ords[there]))
         low = h[at].view(np.uint8).reshape(-1, 8)[:, :width]
-        for c, v in zip(cols, (int(k), keys_a[there].tobytes(), ords_a[there].tobytes(),
-                               counts.astype(np.uint32).tobytes(), low.tobytes(), np.packbits(m[at]).tobytes())):
+        head = first + len(steps).to_bytes(4, "little") + steps + _small(counts)
+        for c, v in zip(cols, (int(k), head, low.tobytes(), np.packbits(m[at]).tobytes())):
             c.append(v)
     if cols[0]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                         names=["bucket", "rows", "ords", "counts", "hashes", "marks"])
+                                         names=["bucket", "docs", "hashes", "marks"])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...] | None:
-    """All hashes of a task's buckets, each with its row, order and mark."""
-    rows, ords, hashes, marks, buckets = [], [], [], [], []
+    """All hashes of a task's bucket, each with its ord and mark."""
+    ords, hashes, marks = [], [], []
     for b in batches:
-        for k, r, o, c, h, m in zip(*(b.column(i).to_pylist() for i in range(6))):
-            n = np.frombuffer(c, np.uint32)
+        for d, h, m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            cut = 12 + int.from_bytes(d[8:12], "little")
+            mine = np.cumsum(np.r_[np.frombuffer(d[:8], np.int64), _large(d[12:cut])])
             low = np.frombuffer(h, np.uint8).reshape(-1, width)
             full = np.zeros((len(low), 8), np.uint8)
             full[:, :width] = low
             hashes.append(full.view(np.uint64).ravel())
-            rows.append(np.repeat(np.frombuffer(r, np.int64), n))
-            ords.append(np.repeat(np.frombuffer(o, np.int64), n))
+            ords.append(np.repeat(mine, _large(d[cut:])))
             marks.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(low)).astype(bool))
-            buckets.append(np.full(len(low), k, np.int32))
     if not hashes:
         return None
-    return tuple(map(np.concatenate, (hashes, buckets, rows, ords, marks)))
+    return tuple(map(np.concatenate, (hashes, ords, marks)))
 
 
 def _answer(packed: DataFrame, n: int, width: int, both: bool) -> DataFrame:
-    """(row, hits): the distinct hashes that a row shares with a marked one of an earlier document.
+    """(ord, hits): the distinct hashes that a document shares with a marked one of an earlier document.
 
-    `both`: rows with a marked hash that a later document has are told it too.
+    `both`: documents with a marked hash that a later one has are told it too.
+    Which these are hangs on ord and hash alone, so rows with equal ids share an answer.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _unpack(batches, width)
         if got is None:
             return
-        h, bucket, row, ord_, mark = got
-        order = np.lexsort((h, bucket))
-        h, bucket, row, ord_, mark = (x[order] for x in (h, bucket, row, ord_, mark))
-        new = np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]
-        start, group = np.flatnonzero(new), np.cumsum(new) - 1
-        first = np.minimum.reduceat(np.where(mark, ord_, _NO_ID), start)
-        hit = ord_ > first[group]
+        h, ord_, mark = got
+        del got
+        order = np.argsort(h)
+        h, ord_, mark = h[order], ord_[order], mark[order]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[start, len(h)])
+        some = np.repeat(size > 1, size)  # a hash that stands alone is shared with none
+        h, ord_, mark = h[some], ord_[some], mark[some] & (ord_[some] < _NAMELESS)
+        if not len(h):
+            return
+        size = size[size > 1]
+        start = np.cumsum(size) - size
+        hit = ord_ > np.repeat(np.minimum.reduceat(np.where(mark, ord_, _NO_ID), start), size)
         if both:
-            last = np.maximum.reduceat(ord_, start)
-            hit |= mark & (ord_ < last[group])
-        h, row = h[hit], row[hit]
+            hit |= mark & (ord_ < np.repeat(np.maximum.reduceat(ord_, start), size))
+        h, row = h[hit], ord_[hit]
         to = row % n
         order = np.lexsort((row, to))
         h, row, to = h[order], row[order], to[order]
@@ -163,11 +183,11 @@ def _answer(packed: DataFrame, n: int, width: int, both: bool) -> DataFrame:
             at = slice(edge[k], edge[k + 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(k)], pa.int32()), pa.array([row[at].tobytes()], pa.binary()),
-                 pa.array([h[at].tobytes()], pa.binary())], names=["to", "rows", "hits"])
+                 pa.array([h[at].tobytes()], pa.binary())], names=["to", "ords", "hits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(np.frombuffer(r, np.int64), np.frombuffer(h, np.int64))
-               for b in batches for r, h in zip(b.column("rows").to_pylist(), b.column("hits").to_pylist())]
+               for b in batches for r, h in zip(b.column("ords").to_pylist(), b.column("hits").to_pylist())]
         if not got:
             return
         row, h = (np.concatenate(x) for x in zip(*got))
@@ -181,11 +201,11 @@ def _answer(packed: DataFrame, n: int, width: int, both: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row[part[:-1]]),
                  pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(h[part[0]:part[-1]]))],
-                names=["row", "hits"])
+                names=["ord", "hits"])
 
-    # Packed once more on the way back, by row: a row per pair of tasks, not per document and task.
-    answers = packed.repartitionById(n, "bucket").mapInArrow(run, "to int, rows binary, hits binary")
-    return answers.repartitionById(n, "to").mapInArrow(merge, "row long, hits array<long>")
+    # Packed once more on the way back, by document: a row per pair of tasks, not per document and task.
+    answers = packed.repartitionById(n, "bucket").mapInArrow(run, "to int, ords binary, hits binary")
+    return answers.repartitionById(n, "to").mapInArrow(merge, "ord long, hits array<long>")
 
 
 def _near(flag: np.ndarray, before: int, n: int) -> np.ndarray:
@@ -201,22 +221,22 @@ def _probe(docs: DataFrame, buckets: int, block: int, window: int) -> DataFrame:
     """Step 1's packed hashes: every rolling block, marked where it is one of the index."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, powers = {}, Powers(_MULT[0])
-        keys, ords, found, words = [], [], [], 0
-        for b in batches:
-            for key, o, text in zip(b.column("row").to_pylist(), b.column("ord").to_pylist(), as_bytes(b.column("text"))):
+        found, words = [], 0
+        for b in slices(batches):
+            for o, text in zip(b.column("ord").to_pylist(), as_bytes(b.column("text"))):
                 ws = text.split()
                 if len(ws) < window:
                     continue
                 h = rolling(word_hashes(ws, memo), block, powers)
                 mark = np.zeros(len(h), bool)
                 mark[::block] = True
-                keys.append(key), ords.append(o), found.append((h, h >> np.uint64(40), mark))
+                found.append((o, h, h >> np.uint64(40), mark))
                 words += len(ws)
                 if words >= PACK_WORDS:
-                    yield from _pack(keys, ords, found, buckets, 5)
-                    keys, ords, found, words = [], [], [], 0
+                    yield from _pack(found, buckets, 5)
+                    found, words = [], 0
         if found:
-            yield from _pack(keys, ords, found, buckets, 5)
+            yield from _pack(found, buckets, 5)
 
     return docs.mapInArrow(run, _PACKED)
 
@@ -225,22 +245,21 @@ def _extend(hit_docs: DataFrame, buckets: int, block: int, window: int) -> DataF
     """Step 2's packed hashes: the windows that hold a hit block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, one, two = {}, Powers(_MULT[0]), Powers(_MULT[1])
-        keys, ords, found, words = [], [], [], 0
-        for b in batches:
-            for key, o, text, hits in zip(b.column("row").to_pylist(), b.column("ord").to_pylist(),
-                                          as_bytes(b.column("text")), b.column("hits")):
+        found, words = [], 0
+        for b in slices(batches):
+            for o, text, hits in zip(b.column("ord").to_pylist(), as_bytes(b.column("text")), b.column("hits")):
                 w = word_hashes(text.split(), memo)
                 h25 = rolling(w, block, one) & np.uint64((1 << 40) - 1)
                 hit = np.isin(h25, hits.values.to_numpy().view(np.uint64))
                 h, h2 = rolling(w, window, one), rolling(w, window, two)
                 near = _near(hit, window - block, len(h25))[:len(h)]
-                keys.append(key), ords.append(o), found.append((h[near], h2[near], np.ones(int(near.sum()), bool)))
+                found.append((o, h[near], h2[near], np.ones(int(near.sum()), bool)))
                 words += int(near.sum())
                 if words >= PACK_WORDS:
-                    yield from _pack(keys, ords, found, buckets, 8)
-                    keys, ords, found, words = [], [], [], 0
+                    yield from _pack(found, buckets, 8)
+                    found, words = [], 0
         if found:
-            yield from _pack(keys, ords, found, buckets, 8)
+            yield from _pack(found, buckets, 8)
 
     return hit_docs.mapInArrow(run, _PACKED)
 
@@ -249,7 +268,7 @@ def _cut(removed_docs: DataFrame, window: int) -> DataFrame:
     """(row, n_removed, kept) of documents with the hashes of their repeated windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, one = {}, Powers(_MULT[0])
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple[int, bytes]] = []
             for text, hits in zip(as_bytes(b.column("text")), b.column("hits")):
                 ws = text.split()
@@ -272,7 +291,7 @@ def _cut(removed_docs: DataFrame, window: int) -> DataFrame:
 def _words(docs: DataFrame) -> DataFrame:
     """(row, doc_id, ord, n_words, sha): a digest of the words joined by one space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ws = [t.split() for t in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), b.column("ord"), pa.array([len(w) for w in ws], pa.int64()),
@@ -282,12 +301,12 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, alone: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(row, text, hits) of the rows of `_rows(docs)` in `alone(row)` that hold a window of an earlier document."""
-    n = 2 * tasks(rows.sparkSession)  # hash ranges; each is one task's
-    anchors = _answer(_probe(rows, n, block, window), n, 5, both=True).join(alone, "row")
-    hit_docs = materialise(rows.join(anchors, "row"), "anchored")
+    """(row, ord, text, hits) of the rows of `_rows(docs)` in `alone(ord)` that hold a window of an earlier document."""
+    n = tasks(rows.sparkSession)  # hash ranges; each is one task's
+    anchors = _answer(_probe(rows, n, block, window), n, 5, both=True).join(alone, "ord")
+    hit_docs = materialise(rows.join(anchors, "ord"), "anchored")
     repeats = _answer(_extend(hit_docs, n, block, window), n, 8, both=False)
-    return hit_docs.drop("hits").join(repeats, "row")
+    return hit_docs.drop("hits").join(repeats, "ord")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -302,7 +321,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
     other columns are not read. `cut_texts` gives the texts themselves.
     """
     base, cut = _dedup(docs, window, block)
-    return (base.join(cut.select("row", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).withColumnRenamed("n_removed", "_cut"), "row", "left")
+    cut = cut.select("row", F.col("n_removed").alias("_cut"), F.sha2("kept", 256).alias("kept_sha256"))
+    return (base.join(cut, "row", "left")
             .select("doc_id", "n_words",
                     F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("_cut", F.lit(0))).alias("n_removed"),
                     F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")))
@@ -325,14 +345,13 @@ def _dedup(docs: DataFrame, window: int, block: int) -> tuple[DataFrame, DataFra
         raise ValueError("a window must hold a whole block at any offset: 2 * block - 1 <= window")
     rows = _rows(docs)
     base = materialise(_words(rows), "words")
-    first = base.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("ord").alias("first"))
+    first = base.where((F.col("n_words") >= window) & (F.col("ord") < _NAMELESS)).groupBy("sha").agg(F.min("ord").alias("first"))
     first = materialise(first, "first")
     base = materialise(
         base.join(first, "sha", "left")
-        .select("row", F.when(F.col("ord") < _NO_ID, F.col("ord")).alias("doc_id"), "n_words", "sha",
+        .select("row", "ord", F.when(F.col("ord") < _NAMELESS, F.col("ord")).alias("doc_id"), "n_words", "sha",
                 F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("whole")), "judged")
-    # Rows that are equal have equal answers: one of them is compared.
-    alone = base.where("not whole").where(F.col("n_words") >= window).select("row").distinct()
+    alone = base.where("not whole").where(F.col("n_words") >= window).select("ord").distinct()
     found = repeated_windows(rows, alone, window, block)
     cut = materialise(_cut(found, window), "cut")
     return base, cut.dropDuplicates(["row"])
