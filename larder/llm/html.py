@@ -156,17 +156,22 @@ _EXTRA = (("aside",), ("div", "div.sidebar"), ("div", "div.comments"), ("section
           ("article", "div", "div.comments"), ("article", "aside"), ("form",), ("div", "div.cookie", "div.notice"), ("header",),
           ("header", "div", "div.banner"), ("div", "div.ad"), ("article", "div", "div.ad"), ("article", "div", "div.share"),
           ("div", "div.related"), ("footer", "div"), ("div", "div.menu"), ("div", "div.newsletter"), ("article", "form"),
-          ("div", "div.alert"), ("div", "div.promo"), ("section", "section.respond"), ("article", "footer"))
+          ("div", "div.alert"), ("div", "div.promo"), ("section", "section.respond"), ("article", "footer"),
+          ("article", "section", "section.comments"), ("article", "div", "div.related"), ("article", "nav"), ("article", "aside", "div"))
+_INNER = (("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("h2",), ("h3",), ("table", "tr", "td"), ("pre",), ("div",),
+          ("figure", "figcaption"), ("dl", "dd"), ("section", "p"), ("div", "p"), ("section", "h2"))
 
 
 def _varied(page: list[Block], other: list[Block], rng: np.random.Generator) -> list[Block]:
-    """The page with its article in another container and boilerplate sections of other kinds put in."""
+    """The page with its article in another container, some paragraphs as other blocks, and boilerplate of other kinds put in."""
     box = _CONTAINERS[rng.integers(len(_CONTAINERS))]
     out = []
     for b in page:
         path: list[str] = []
         for x in b.path:
             path += list(box) if x == "article" else [x]
+        if path[-1] == "p" and rng.random() < 0.2:
+            path[-1:] = _INNER[rng.integers(len(_INNER))]
         out.append(Block(b.text, tuple(path)))
     for _ in range(rng.integers(1, 4)):
         extra = _EXTRA[rng.integers(len(_EXTRA))]
