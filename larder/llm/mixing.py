@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import SPACE_CLASS, fresh
+from larder.llm.common import SPACE_CLASS, fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -64,15 +64,17 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS,
     its documents no copies. Null sources are one source, the last. Rows that
     repeat a doc_id share its draw, rows without one draw by their text. An
     empty table gives an empty result. A column called `mix` gives way; other
-    columns stay as they are. The sources' row count is the only thing that a
-    single task sees; a hot source is summed before the shuffle, and AQE
-    splits or broadcasts the join by measured sizes.
+    columns stay as they are. The sources' totals are the only thing that a
+    single task sees; a hot source is summed before the shuffle. Targets are
+    joined by broadcast where the written table is under Spark's threshold;
+    beyond it AQE splits the hot sources of a sort-merge join.
     """
     columns = [c for c in docs.columns if c.lower() != "mix"]
     size, key = fresh(["llm_size", "llm_source"], columns)
     sized = docs.select(*columns).withColumn(size, n_tokens(F.col("text"))).withColumn(key, F.col("source").cast("string"))
     totals = sized.groupBy(F.col(key).alias("source")).agg(F.sum(size).alias("source_size"))
-    targets = source_targets(totals, weights, max_repeats).select(
+    # Written first: Spark then knows the table's bytes, and broadcasts it or not by its own threshold.
+    targets = materialise(source_targets(totals, weights, max_repeats), "targets").select(
         F.struct("source_size", "target").alias("_llm_t"), F.col("source").alias("_llm_s"))
     joined = sized.join(targets, F.col(key).eqNullSafe(F.col("_llm_s")))
     rate = F.when(F.col("_llm_t.source_size") > 0, F.col("_llm_t.target") / F.col("_llm_t.source_size")).otherwise(F.lit(0.0))
