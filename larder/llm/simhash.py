@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import as_bytes, materialise, release, tasks
+from larder.llm.common import as_bytes, materialise, tasks
 from larder.llm.components import components
 from larder.llm.runs import forest, pairs, whole_runs
 
@@ -132,6 +132,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     roots = components(links)
     named = (reps.join(roots, reps.id == roots.node, "left")
              .select("fp", F.coalesce("root", "id").alias("component_id")))
+    named = materialise(named, "named")  # so that the next join stands alone and AQE can split a hot fingerprint
     return (fps.join(named, "fp", "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
