@@ -237,7 +237,7 @@ def _search_block(df: DataFrame, block: Suffixes, before: list[str] | None) -> t
                     docs, part = [], 0
             found.append(match_shard(docs, q))
             spans = [x for f in found for x in f.spans]
-            items = [x for f in found for x in f.items]
+            items = [sorted({*x}) for f in found for x in f.items]  # rows of the benchmark may share an item_id
             longest = [int(x) for f in found for x in f.longest]
             places = [int(x) for f in found for x in f.longest_at]
             if before:
