@@ -1,11 +1,9 @@
 from larder.functions.money import to_money, to_qty, margin_pct, money_zero
 from larder.functions.days import day_start, in_days, report_date
 from larder.functions.phones import standard_phone
-from larder.functions.sizing import sized_broadcast, broadcast_max_rows
 
 __all__ = [
     "to_money", "to_qty", "margin_pct", "money_zero",
     "day_start", "in_days", "report_date",
     "standard_phone",
-    "sized_broadcast", "broadcast_max_rows",
 ]

@@ -35,9 +35,17 @@ def day_start(df: DataFrame, col: str, d: str | dt.date, report_tz: str | None =
 
 def in_days(df: DataFrame, col: str, d1: str | dt.date, d2: str | dt.date,
             report_tz: str | None = None) -> Column:
-    """`col` falls on a day in [d1, d2], both inclusive."""
-    end = _as_date(d2) + dt.timedelta(days=1)
-    return (F.col(col) >= day_start(df, col, d1, report_tz)) & (F.col(col) < day_start(df, col, end, report_tz))
+    """`col` falls on a day in [d1, d2], both inclusive.
+
+    Facts partitioned by `created_date` are pruned too, to a day more on either
+    side, as their zone may be another than the report's.
+    """
+    day = dt.timedelta(days=1)
+    first, end = _as_date(d1), _as_date(d2) + day
+    inside = (F.col(col) >= day_start(df, col, first, report_tz)) & (F.col(col) < day_start(df, col, end, report_tz))
+    if col == "created_at" and "created_date" in df.columns:
+        inside &= F.col("created_date").between(F.lit(first - day), F.lit(end))
+    return inside
 
 
 def report_date(df: DataFrame, col: str, report_tz: str | None = None) -> Column:

@@ -1,7 +1,6 @@
 """Ops 3-8: the recipe dimension (types, sizes, ingredients, recipes, lines).
 
-Dimensions are small next to orders, but nothing here assumes it: every
-broadcast goes through `sized_broadcast`, which falls back to a shuffle join.
+Dimensions are small next to orders, but nothing here assumes it: joins carry no hint: Spark picks by bytes, AQE re-plans from run-time sizes.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.money import margin_pct, to_qty
-from larder.functions.sizing import sized_broadcast
 from larder.schemas import ADDON
 
 
@@ -29,8 +27,8 @@ def recipe_catalog(recipes: DataFrame, types: DataFrame, sizes: DataFrame, is_ad
     s = sizes.select(F.col("id").alias("size_id"), F.col("name").alias("size_name"),
                      F.col("display_order").alias("_size_order"))
     r = recipes.filter(F.col("is_active") | F.lit(is_admin))
-    out = (r.join(sized_broadcast(t), "product_type_id", "left")
-            .join(sized_broadcast(s), "size_id", "left"))
+    out = (r.join(t, "product_type_id", "left")
+            .join(s, "size_id", "left"))
     return out.orderBy("_type_order", "_size_order", "id").drop("_type_order", "_size_order")
 
 
@@ -38,7 +36,7 @@ def recipe_lines_view(lines: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Op 3: each recipe's lines with the ingredient name, by display order."""
     ing = ingredients.select(F.col("id").alias("ingredient_id"), F.col("name").alias("ingredient_name"),
                              F.col("is_active").alias("ingredient_is_active"))
-    return (lines.join(sized_broadcast(ing), "ingredient_id", "left")
+    return (lines.join(ing, "ingredient_id", "left")
                  .orderBy("recipe_id", "display_order", "ingredient_id"))
 
 
@@ -59,14 +57,14 @@ def recipe_menu(recipes: DataFrame, sizes: DataFrame, lines: DataFrame, ingredie
     """
     ing = (ingredients.filter(F.col("is_active") & F.col("is_visible_to_customer"))
            .select(F.col("id").alias("ingredient_id"), "name", "is_customer_removable", "is_core", "is_allergen"))
-    shown = (lines.join(sized_broadcast(ing), "ingredient_id")
+    shown = (lines.join(ing, "ingredient_id")
              .withColumn("default_included", F.col("pricing_rule") != F.lit(ADDON)))
     arrays = shown.groupBy("recipe_id").agg(
         F.sort_array(F.collect_list(F.struct(*_MENU_FIELDS))).alias("ingredients"))
     active_sizes = sizes.filter(F.col("is_active")).select(F.col("id").alias("size_id"), "pricing_mode")
     base = (recipes.filter(F.col("is_active"))
             .select(F.col("id").alias("recipe_id"), "product_type_id", "size_id", "base_selling_price")
-            .join(sized_broadcast(active_sizes), "size_id"))
+            .join(active_sizes, "size_id"))
     menu = base.join(arrays, "recipe_id", "left")
     empty = F.array().cast(arrays.schema["ingredients"].dataType)
     return menu.select(
@@ -108,13 +106,12 @@ def scale_recipes(base_lines: DataFrame, recipes: DataFrame, sizes: DataFrame,
 
     quantity = round(base * size multiplier, 2); lines flagged unscaled keep the
     base quantity. An equi-join on the product type, then on the size; recipes
-    and sizes are dimension tables, broadcast behind a size check, so the base
-    lines are never shuffled.
+    and sizes are dimension tables, which Spark broadcasts while they are small.
     """
     r = recipes.select(F.col("id").alias("recipe_id"), "product_type_id", "size_id")
     s = sizes.select(F.col("id").alias("size_id"), "multiplier")
-    out = (base_lines.join(sized_broadcast(r), "product_type_id")
-                     .join(sized_broadcast(s), "size_id"))
+    out = (base_lines.join(r, "product_type_id")
+                     .join(s, "size_id"))
     scaled = F.when(F.coalesce(F.col(unscaled_col), F.lit(False)), F.col("quantity")) \
         .otherwise(F.round(F.col("quantity") * F.col("multiplier"), 2))
     return out.withColumn("quantity", to_qty(scaled)).drop("multiplier")
@@ -126,12 +123,11 @@ def unused_ingredients(recipe_id: object, ingredients: DataFrame, lines: DataFra
 
     One anti join: the catalog scan against that recipe's lines, which the
     filter pushes down and whose size is bounded by the catalog ((recipe,
-    ingredient) is unique), so they are broadcast within the bound and the
-    catalog is never shuffled.
+    ingredient) is unique).
     """
     used = lines.filter(F.col("recipe_id") == F.lit(recipe_id)).select("ingredient_id")
     active = ingredients.filter(F.col("is_active")).select(F.col("id").alias("ingredient_id"), "name")
-    return (active.join(sized_broadcast(used), "ingredient_id", "left_anti")
+    return (active.join(used, "ingredient_id", "left_anti")
             .withColumn("recipe_id", F.lit(recipe_id))
             .orderBy("name", "ingredient_id"))
 
@@ -162,8 +158,8 @@ def recipe_costing(recipes: DataFrame, types: DataFrame, sizes: DataFrame, lines
     s = sizes.select(F.col("id").alias("size_id"), F.col("name").alias("size_name"), "pricing_mode")
     r = recipes.select(F.col("id").alias("recipe_id"), F.col("name").alias("recipe_name"), "product_type_id",
                        "size_id", "packaging_cost", "extra_cost", "base_selling_price")
-    joined = (r.join(sized_broadcast(t), "product_type_id")
-               .join(sized_broadcast(s), "size_id")
+    joined = (r.join(t, "product_type_id")
+               .join(s, "size_id")
                .join(costs, "recipe_id", "left"))
     total = F.coalesce(F.col("lines_cost"), F.lit(0)) + F.col("packaging_cost") + F.col("extra_cost")
     joined = joined.withColumn("total_cost", total)

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.sizing import sized_broadcast
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
@@ -72,7 +71,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str | Sequence[str],
 def cascade_delete(child: DataFrame, deleted_keys: DataFrame, fk: str) -> DataFrame:
     """Op 35: child rows left after their parents are deleted (ON DELETE CASCADE)."""
     dead = deleted_keys.select(F.col(deleted_keys.columns[0]).alias(fk)).distinct()
-    return child.join(sized_broadcast(dead), fk, "left_anti")
+    return child.join(dead, fk, "left_anti")
 
 
 def restrict_check(child: DataFrame, deleted_keys: DataFrame, fk: str) -> DataFrame:
@@ -80,7 +79,7 @@ def restrict_check(child: DataFrame, deleted_keys: DataFrame, fk: str) -> DataFr
     number of blocking child rows. Children are counted per key first."""
     dead = deleted_keys.select(F.col(deleted_keys.columns[0]).alias(fk)).distinct()
     per_key = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("blocking_rows"))
-    return per_key.join(sized_broadcast(dead), fk, "left_semi")
+    return per_key.join(dead, fk, "left_semi")
 
 
 def new_line_defaults(lines: DataFrame, added: DataFrame, seq: str = "seq") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions.money import to_money
 from larder.functions.phones import standard_phone
@@ -27,13 +28,21 @@ def upsert_customers(existing: DataFrame, valid_orders: DataFrame, phone: str =
         F.max_by("_name", "_seq").alias("_new_name"),
         F.max_by("_addr", F.when(F.col("_addr").isNotNull(), F.col("_seq"))).alias("_new_addr"),
         F.min("_created").alias("_first_seen"))
-    id_type = existing.schema["id"].dataType
+    kinds = {f.name: f.dataType for f in existing.schema.fields}
+    # What a new customer starts with, as the data model has it.
+    start = {"created_at": F.col("_first_seen"), "total_orders": F.lit(0), "total_spent": F.lit(0)}
     j = existing.join(latest, "phone", "full_outer")
     return j.select(
-        F.coalesce(F.col("id"), F.xxhash64(F.col("phone")).cast(id_type)).alias("id"),
+        F.coalesce(F.col("id"), _new_id(F.col("phone"), kinds["id"])).alias("id"),
         F.coalesce("_new_name", "name").alias("name"), "phone",
         F.coalesce("_new_addr", "address").alias("address"),
-        *[c for c in existing.columns if c not in ("id", "name", "phone", "address")])
+        *[F.when(F.col("id").isNull(), start[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in start else F.col(c)
+          for c in existing.columns if c not in ("id", "name", "phone", "address")])
+
+
+def _new_id(phone: Column, kind: T.DataType) -> Column:
+    """From the phone, which is unique: a SHA-256 for string ids; integer ids have only a 64-bit hash's room."""
+    return F.sha2(phone, 256) if isinstance(kind, T.StringType) else F.xxhash64(phone).cast(kind)
 
 
 def customer_totals(customers: DataFrame, orders: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.sizing import sized_broadcast
-from larder.schemas import ALLERGY_NOTE_PATTERN, CANCELLED, ORDER_BOARD_LIMIT, UPCOMING_LIMIT
+from larder.schemas import ALLERGY_NOTE_PATTERN, CANCELLED
 
 
 def _names(customers: DataFrame, types: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,13 +26,13 @@ def _names(customers: DataFrame, types: DataFrame, sizes: DataFrame) -> tuple[Da
 def order_facts(orders: DataFrame, customers: DataFrame, types: DataFrame, sizes: DataFrame) -> DataFrame:
     """Op 14: orders with customer name and phone, type and size names.
 
-    Types and sizes are broadcast behind a size check; customers join on their
-    key (a shuffle; AQE splits a customer holding many orders).
+    Spark picks each join by the sides' bytes; AQE splits a customer holding
+    many orders.
     """
     c, t, s = _names(customers, types, sizes)
     return (orders.join(c, "customer_id", "left")
-                  .join(sized_broadcast(t), "product_type_id", "left")
-                  .join(sized_broadcast(s), "size_id", "left"))
+                  .join(t, "product_type_id", "left")
+                  .join(s, "size_id", "left"))
 
 
 def enrich_few(top: DataFrame, customers: DataFrame, types: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -46,8 +45,15 @@ def enrich_few(top: DataFrame, customers: DataFrame, types: DataFrame, sizes: Da
     ids = top.select("customer_id").distinct()
     needed = c.join(F.broadcast(ids), "customer_id", "left_semi")
     return (top.join(F.broadcast(needed), "customer_id", "left")
-               .join(sized_broadcast(t), "product_type_id", "left")
-               .join(sized_broadcast(s), "size_id", "left"))
+               .join(t, "product_type_id", "left")
+               .join(s, "size_id", "left"))
+
+
+def _enriched(orders: DataFrame, order: list[Column], limit: int | None, customers: DataFrame, types: DataFrame,
+              sizes: DataFrame) -> DataFrame:
+    if limit is None:
+        return order_facts(orders, customers, types, sizes)
+    return enrich_few(orders.orderBy(*order).limit(limit), customers, types, sizes)
 
 
 def _allergy_note(pattern: str) -> Column:
@@ -55,14 +61,13 @@ def _allergy_note(pattern: str) -> Column:
 
 
 def order_board(orders: DataFrame, customers: DataFrame, types: DataFrame, sizes: DataFrame,
-                status: str | None = None, limit: int = ORDER_BOARD_LIMIT,
+                status: str | None = None, limit: int | None = None,
                 allergy_pattern: str = ALLERGY_NOTE_PATTERN) -> DataFrame:
-    """Op 15: newest orders first, optional status filter, top `limit`, with
-    price-pending and allergy-note flags."""
+    """Op 15: newest orders first, optional status filter, with price-pending
+    and allergy-note flags; the first `limit` if the caller states one."""
     o = orders if status is None else orders.filter(F.col("status") == status)
     newest = [F.col("created_at").desc(), F.col("id").desc()]
-    top = o.orderBy(*newest).limit(limit)
-    return (enrich_few(top, customers, types, sizes)
+    return (_enriched(o, newest, limit, customers, types, sizes)
             .withColumn("price_pending", F.coalesce(F.col("needs_price_confirmation"), F.lit(False)))
             .withColumn("allergy_note", _allergy_note(allergy_pattern))
             .orderBy(*newest))
@@ -75,12 +80,12 @@ def pickups_on(facts: DataFrame, day: str | dt.date) -> DataFrame:
 
 
 def upcoming_orders(orders: DataFrame, customers: DataFrame, types: DataFrame, sizes: DataFrame,
-                    day: str | dt.date, limit: int = UPCOMING_LIMIT, cancelled: str = CANCELLED) -> DataFrame:
-    """Op 17: next pickups after `day`, cancelled excluded, first `limit`."""
+                    day: str | dt.date, limit: int | None = None, cancelled: str = CANCELLED) -> DataFrame:
+    """Op 17: pickups after `day`, cancelled excluded; the first `limit` if the caller states one."""
     d = F.lit(dt.date.fromisoformat(str(day)))
     key = [F.col("pickup_date").asc(), F.col("pickup_time").asc_nulls_last(), F.col("id").asc()]
-    top = orders.filter((F.col("pickup_date") > d) & (F.col("status") != cancelled)).orderBy(*key).limit(limit)
-    return enrich_few(top, customers, types, sizes).orderBy(*key)
+    ahead = orders.filter((F.col("pickup_date") > d) & (F.col("status") != cancelled))
+    return _enriched(ahead, key, limit, customers, types, sizes).orderBy(*key)
 
 
 def customer_list(customers: DataFrame) -> DataFrame:
@@ -91,7 +96,7 @@ def customer_list(customers: DataFrame) -> DataFrame:
 def customer_history(orders: DataFrame, customer_ids: DataFrame) -> DataFrame:
     """Op 19: orders of the given customers, newest first."""
     ids = customer_ids.select(F.col(customer_ids.columns[0]).alias("customer_id")).distinct()
-    return orders.join(sized_broadcast(ids), "customer_id", "left_semi") \
+    return orders.join(ids, "customer_id", "left_semi") \
         .orderBy("customer_id", F.col("created_at").desc(), F.col("id").desc())
 
 
@@ -100,7 +105,7 @@ def order_detail(lines: DataFrame, order_ids: DataFrame) -> DataFrame:
     allergen flag and the signed price delta (shown only when non-zero)."""
     ids = order_ids.select(F.col(order_ids.columns[0]).alias("order_id")).distinct()
     delta = F.col("price_delta_applied")
-    return (lines.join(sized_broadcast(ids), "order_id", "left_semi")
+    return (lines.join(ids, "order_id", "left_semi")
             .select("order_id", "ingredient_id", "ingredient_name_snapshot", "is_included", "is_allergen",
                     delta.alias("signed_delta"), (F.coalesce(delta, F.lit(0)) != 0).alias("delta_shown"))
             .orderBy("order_id", "ingredient_name_snapshot", "ingredient_id"))

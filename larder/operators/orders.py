@@ -1,8 +1,8 @@
 """Ops 9-13: validate, price, snapshot and number customised orders.
 
 The flagship. A recipe collapses to one row holding its lines as
-`array<struct>`; that dimension is joined to the orders once (broadcast behind a
-size check), and everything after is row-wise: order totals fold the array
+`array<struct>`; that dimension is joined to the orders once (broadcast where its
+lines are small in bytes), and everything after is row-wise: order totals fold the array
 with `aggregate` and `array_contains`, and order lines explode it (`inline`)
 and apply the same rules on flat columns. No shuffle of orders, and the same
 code serves batch and Structured Streaming micro-batches.
@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.money import money_zero, to_money
-from larder.functions.sizing import sized_broadcast
-from larder.schemas import ADDON, NOTE_MAX_CHARS, ORDER_NUMBER_PREFIX, REDUCE_ON_REMOVE
+from larder.schemas import ADDON, ORDER_NUMBER_PREFIX, REDUCE_ON_REMOVE
 from larder.session import checkpoint_dir
 
 # Fields of a recipe line inside the recipe dimension, in array sort order.
@@ -27,6 +26,10 @@ _LINE_FIELDS = ("display_order", "ingredient_id", "name", "quantity", "unit_pric
                 "is_addon", "ingredient_is_active", "ingredient_is_visible")
 
 
+#: Recipe lines, as Spark estimates them, whose dimension is broadcast.
+BROADCAST_BYTES = 128 << 20
+
+
 def recipe_dimension(recipes: DataFrame, lines: DataFrame, ingredients: DataFrame) -> DataFrame:
     """One row per recipe with its lines as a sorted `array<struct>`.
 
@@ -38,7 +41,7 @@ def recipe_dimension(recipes: DataFrame, lines: DataFrame, ingredients: DataFram
         F.col("id").alias("ingredient_id"), "name", "unit_price", "direct_cost", "cost_method", "is_allergen",
         "is_customer_removable", F.col("is_active").alias("ingredient_is_active"),
         F.col("is_visible_to_customer").alias("ingredient_is_visible"))
-    arrays = (lines.join(sized_broadcast(ing), "ingredient_id")
+    arrays = (lines.join(ing, "ingredient_id")
               .groupBy("recipe_id")
               .agg(F.sort_array(F.collect_list(F.struct(*_LINE_FIELDS))).alias("lines")))
     r = recipes.select(F.col("id").alias("recipe_id"), "product_type_id", "size_id", "base_selling_price",
@@ -48,10 +51,12 @@ def recipe_dimension(recipes: DataFrame, lines: DataFrame, ingredients: DataFram
     return dim.withColumn("lines", F.coalesce(F.col("lines"), empty))
 
 
-def broadcast_recipe_dimension(dim: DataFrame, lines: DataFrame) -> DataFrame:
-    """Hint the recipe dimension for broadcast when the recipe lines that build
-    it are within the broadcast bound; otherwise leave it to a shuffle join."""
-    return sized_broadcast(dim, probe=lines)
+def broadcast_recipe_dimension(dim: DataFrame, lines: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Hint the recipe dimension for broadcast if Spark's statistics of the
+    recipe lines that build it say at most `max_bytes` (default BROADCAST_BYTES); otherwise, and where
+    Spark knows no size, leave the join to Spark. Reads the plan, runs no job."""
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(dim) if size <= (BROADCAST_BYTES if max_bytes is None else max_bytes) else dim
 
 
 def _included(l: Column, excluded: Column, extras: Column) -> Column:
@@ -81,18 +86,21 @@ def _line_delta(l: Column, included: Column) -> Column:
 REJECT_REASONS = ("blank_name", "blank_phone", "size_unavailable", "recipe_unavailable", "null_selection")
 
 
-def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame) -> DataFrame:
+def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame,
+                 note_chars: int | None = None) -> DataFrame:
     """Op 9 in one pass: every request with its size and recipe attached and a
     `reject_reason` (NULL when valid; first match wins).
 
     blank name, blank phone (trim strips spaces only), size unknown or inactive,
     recipe unknown or inactive for (type, size), then an add-on whose inclusion
     is NULL because the extras array is NULL or holds a NULL. The product type's
-    own activity is not checked.
+    own activity is not checked. Notes stay whole (NULL becomes empty) unless
+    the caller states `note_chars`, a length to cut them to.
     """
+    note = F.coalesce(F.col("customer_notes"), F.lit(""))
     s = sizes.select(F.col("id").alias("size_id"), "pricing_mode", F.col("is_active").alias("size_is_active"))
     j = (requests
-         .join(sized_broadcast(s, probe=sizes), "size_id", "left")
+         .join(s, "size_id", "left")
          .join(recipe_dim, ["product_type_id", "size_id"], "left"))
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     null_selection = F.exists(
@@ -107,8 +115,7 @@ def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame) -
     return (j.withColumn("reject_reason", reason)
              .withColumn("customer_name", F.trim("customer_name"))
              .withColumn("customer_phone", F.trim("customer_phone"))
-             .withColumn("customer_notes", F.substring(F.coalesce(F.col("customer_notes"), F.lit("")), 1,
-                                                       NOTE_MAX_CHARS)))
+             .withColumn("customer_notes", note if note_chars is None else F.substring(note, 1, note_chars)))
 
 
 def validate_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +250,7 @@ def price_preview(requests: DataFrame, menu: DataFrame) -> DataFrame:
     """Op 13: preview price per request (needs `recipe_id`), from op 4's menu."""
     m = menu.select("recipe_id", F.col("pricing_mode").alias("_menu_mode"),
                     F.col("base_selling_price").alias("_menu_base"), F.col("ingredients").alias("_menu_lines"))
-    j = requests.join(sized_broadcast(m), "recipe_id", "left")
+    j = requests.join(m, "recipe_id", "left")
     return j.withColumn("preview_price", _preview_price(F.col("_menu_lines"), F.col("_menu_mode"),
                                                         F.col("_menu_base"), F.col("excluded_ids"),
                                                         F.col("extra_ids"))) \

@@ -66,7 +66,7 @@ def add_order_totals(customers: DataFrame, priced: DataFrame) -> DataFrame:
                                           + F.coalesce(F.col("_n"), F.lit(0))).cast("int"))
              .withColumn("total_spent", to_money(F.coalesce(F.col("total_spent"), F.lit(0))
                                                  + F.coalesce(F.col("_s"), F.lit(0))))
-             .withColumn("last_order_at", F.coalesce(F.col("_last"), F.col("last_order_at")))
+             .withColumn("last_order_at", F.greatest("_last", "last_order_at"))
              .drop("_n", "_s", "_last"))
 
 

@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.days import day_start, in_days
-from larder.functions.money import to_money
-from larder.functions.sizing import sized_broadcast
-from larder.schemas import CANCELLED, MISSING_NAME, RANKING_LIMIT
+from larder.schemas import CANCELLED, MISSING_NAME
 
 
 def _d(x: str | dt.date) -> dt.date:
@@ -27,20 +25,18 @@ def ingredient_needs(lines: DataFrame, orders: DataFrame, ingredients: DataFrame
     """Op 26: included quantity by (ingredient, snapshot name, current unit) for
     non-cancelled orders picked up in [d1, d2]; largest first.
 
-    The date-filtered orders are broadcast when within the bound, so lines are
-    never shuffled before their partial aggregation; the unit join comes after
-    aggregation, on one row per (ingredient, name).
+    The unit join comes after aggregation, on one row per (ingredient, name).
     """
     o = orders.filter((F.col("status") != cancelled)
                       & F.col("pickup_date").between(F.lit(_d(d1)), F.lit(_d(d2)))).select(
         F.col("id").alias("order_id"))
     per = (lines.filter(F.col("is_included"))
            .select("order_id", "ingredient_id", "ingredient_name_snapshot", "quantity_snapshot")
-           .join(sized_broadcast(o), "order_id")
+           .join(o, "order_id")
            .groupBy("ingredient_id", "ingredient_name_snapshot")
            .agg(F.sum("quantity_snapshot").alias("total_quantity")))
     unit = ingredients.select(F.col("id").alias("ingredient_id"), "unit")
-    return (per.join(sized_broadcast(unit), "ingredient_id")
+    return (per.join(unit, "ingredient_id")
                .select("ingredient_id", F.col("ingredient_name_snapshot").alias("ingredient_name"), "unit",
                        "total_quantity")
                .orderBy(F.col("total_quantity").desc(), "ingredient_id", "ingredient_name"))
@@ -52,23 +48,27 @@ def selection_stats(lines: DataFrame, orders: DataFrame, d1: str | dt.date, d2:
     created in [d1, d2]. Cancelled orders count; an add-on not taken counts as
     left out."""
     o = orders.filter(in_days(orders, "created_at", d1, d2, report_tz)).select(F.col("id").alias("order_id"))
-    return (lines.join(sized_broadcast(o), "order_id", "left_semi")
+    return (lines.join(o, "order_id", "left_semi")
             .groupBy(F.col("ingredient_name_snapshot").alias("ingredient_name"))
             .agg(F.count_if(F.col("is_included")).alias("included_count"),
                  F.count_if(~F.col("is_included")).alias("excluded_count")))
 
 
-def top_selected(stats: DataFrame, n: int = RANKING_LIMIT) -> DataFrame:
-    """Op 28: most included, top n (ties by name)."""
-    return (stats.filter(F.col("included_count") > 0)
-            .orderBy(F.col("included_count").desc(), "ingredient_name").limit(n)
+def _first(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else df.limit(n)
+
+
+def top_selected(stats: DataFrame, n: int | None = None) -> DataFrame:
+    """Op 28: most included first (ties by name); the top n if the caller states it."""
+    return (_first(stats.filter(F.col("included_count") > 0)
+                   .orderBy(F.col("included_count").desc(), "ingredient_name"), n)
             .select("ingredient_name", F.col("included_count").alias("count")))
 
 
-def top_excluded(stats: DataFrame, n: int = RANKING_LIMIT) -> DataFrame:
-    """Op 28: most left out, top n; ties keep the included-count order, then name."""
-    return (stats.filter(F.col("excluded_count") > 0)
-            .orderBy(F.col("excluded_count").desc(), F.col("included_count").desc(), "ingredient_name").limit(n)
+def top_excluded(stats: DataFrame, n: int | None = None) -> DataFrame:
+    """Op 28: most left out first, ties by included count, then name; the top n if stated."""
+    return (_first(stats.filter(F.col("excluded_count") > 0)
+                   .orderBy(F.col("excluded_count").desc(), F.col("included_count").desc(), "ingredient_name"), n)
             .select("ingredient_name", F.col("excluded_count").alias("count")))
 
 
@@ -79,7 +79,8 @@ def _not_cancelled(cancelled: str):
 
 def _money_sum(c: str, cond=None):
     v = F.coalesce(F.col(c), F.lit(0))
-    return to_money(F.coalesce(F.sum(v if cond is None else F.when(cond, v)), F.lit(0)))
+    # The sum keeps its own, wider decimal: a total outgrows the column's 12 digits.
+    return F.coalesce(F.sum(v if cond is None else F.when(cond, v)), F.lit(0))
 
 
 def sales_between(orders: DataFrame, d1: str | dt.date, d2: str | dt.date, cancelled: str = CANCELLED,
@@ -132,7 +133,7 @@ def sales_ranking(orders: DataFrame, types: DataFrame, sizes: DataFrame, d1: str
     t = types.select(F.col("id").alias("product_type_id"), F.col("name").alias("_tn"))
     s = sizes.select(F.col("id").alias("size_id"), F.col("name").alias("_sn"))
     named = (live.select("product_type_id", "size_id")
-             .join(sized_broadcast(t), "product_type_id", "left").join(sized_broadcast(s), "size_id", "left")
+             .join(t, "product_type_id", "left").join(s, "size_id", "left")
              .select(_shown_name("_tn").alias("type_name"), _shown_name("_sn").alias("size_name")))
     g = named.groupingSets([["type_name"], ["size_name"], []], "type_name", "size_name").agg(
         F.count(F.lit(1)).alias("order_count"), F.grouping_id().alias("_gid"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.money import to_money, to_qty
+from larder.plans.testdata import TESTDATA
 from larder.sources.tables import read_table
 
 # Binding parameters (fixed here; `oracle.py` uses the same numbers).
@@ -27,7 +28,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        return read_table(self.spark, self.sf_dir, name, schemas=TESTDATA)
 
 
 def _rid(col: str = "p_partkey") -> Column:

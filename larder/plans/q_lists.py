@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import lists as L
 from larder.plans import bindings as b
+from larder.schemas import ORDER_BOARD_LIMIT, UPCOMING_LIMIT
 from larder.plans.registry import _t, money_out, register
 
 # Allergy words in the test documents' languages, and the kitchen's own.
@@ -27,7 +28,8 @@ def q_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("order_board")
 def q_order_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
-    board = L.order_board(b.orders(t), b.customers(t), b.product_types(t), b.order_sizes(t))
+    board = L.order_board(b.orders(t), b.customers(t), b.product_types(t), b.order_sizes(t),
+                          limit=ORDER_BOARD_LIMIT)
     return money_out(board.select("id", "created_at", "status", "customer_name", "customer_phone", "type_name",
                                   "size_name", "selling_price", "price_pending", "allergy_note"))
 
@@ -43,7 +45,7 @@ def q_pickups_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_upcoming_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     up = L.upcoming_orders(b.orders(t), b.customers(t), b.product_types(t), b.order_sizes(t), b.TODAY,
-                           cancelled=b.CANCELLED)
+                           limit=UPCOMING_LIMIT, cancelled=b.CANCELLED)
     return money_out(up.select("id", "pickup_date", "pickup_time", "status", "customer_name", "customer_phone",
                                "type_name", "size_name", "selling_price"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder.operators import reports as R
 from larder.plans import bindings as b
+from larder.schemas import RANKING_LIMIT
 from larder.plans.registry import _t, money_out, register
 
 # Report ranges over the test data (orders span 1995-01 .. 2001-08).
@@ -30,12 +31,12 @@ def q_selection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("top_selected")
 def q_top_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_selected(stats(_t(spark, sf_dir)))
+    return R.top_selected(stats(_t(spark, sf_dir)), n=RANKING_LIMIT)
 
 
 @register("top_excluded")
 def q_top_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_excluded(stats(_t(spark, sf_dir)))
+    return R.top_excluded(stats(_t(spark, sf_dir)), n=RANKING_LIMIT)
 
 
 @register("sales_between")

@@ -11,11 +11,15 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.schemas import DOMAIN, TESTDATA
+from pyspark.sql import types as T
 
+from larder.schemas import DOMAIN
 
-def read_table(spark: SparkSession, base_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-    schema = TESTDATA.get(name) or DOMAIN.get(name)
+
+def read_table(spark: SparkSession, base_dir: str, name: str, columns: Iterable[str] | None = None,
+               schemas: dict[str, T.StructType] = DOMAIN) -> DataFrame:
+    """A table of the kitchen, or of other `schemas`; a name without a schema is read as stored."""
+    schema = schemas.get(name)
     path = f"{base_dir.rstrip('/')}/{name}.parquet"
     reader = spark.read.schema(schema) if schema is not None else spark.read
     df = reader.parquet(path)
@@ -23,8 +27,9 @@ def read_table(spark: SparkSession, base_dir: str, name: str, columns: Iterable[
 
 
 def load_tables(spark: SparkSession, base_dir: str, names: Iterable[str] | None = None,
-                columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+                columns: dict[str, list[str]] | None = None,
+                schemas: dict[str, T.StructType] = DOMAIN) -> dict[str, DataFrame]:
     """Lazily bind each table; nothing is read until an action runs."""
-    names = list(names) if names else list(TESTDATA)
+    names = list(names) if names else list(schemas)
     columns = columns or {}
-    return {n: read_table(spark, base_dir, n, columns.get(n)) for n in names}
+    return {n: read_table(spark, base_dir, n, columns.get(n), schemas) for n in names}

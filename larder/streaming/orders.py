@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.functions.sizing import sized_broadcast
 from larder.operators.orders import check_orders, order_lines, price_orders
 from larder.schemas import CANCELLED
 from larder.sources.sinks import write_batch
@@ -42,8 +41,7 @@ def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim
     """Op 36: price a stream of order requests; stateless and row-wise.
 
     Each micro-batch is validated and priced by the batch code against the
-    static recipe dimension (broadcast when within the bound), then written
-    idempotently by batch id. The static side's size probe runs once; for a
+    static recipe dimension, then written idempotently by batch id. For a
     long-running stream, persist `recipe_dim` first (it is then recomputed from
     its lineage only if an executor is lost) and unpersist it after the stream.
     """
@@ -62,14 +60,13 @@ def stream_ingredient_needs(lines_stream: DataFrame, ingredients: DataFrame) ->
 
     `lines_stream` holds order lines with their order's pickup date. A
     cancellation arrives as the same lines with negative quantity. The unit
-    comes from a stream-static join with the ingredient catalog (broadcast
-    within the bound). No watermark: pickups lie ahead of the order, so one on
+    comes from a stream-static join with the ingredient catalog. No watermark: pickups lie ahead of the order, so one on
     pickup would drop near pickups. The state is bounded by calendar days x
     catalog, not by the number of orders.
     """
     unit = ingredients.select(F.col("id").alias("ingredient_id"), "unit")
     return (lines_stream.filter(F.col("is_included"))
-            .join(sized_broadcast(unit), "ingredient_id")
+            .join(unit, "ingredient_id")
             .groupBy("pickup_date", "ingredient_id", "ingredient_name_snapshot", "unit")
             .agg(F.sum("quantity_snapshot").alias("total_quantity")))
 

@@ -5,7 +5,9 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from larder.schemas import TESTDATA
+import pytest
+from larder.plans.testdata import TESTDATA
+from larder.schemas import DOMAIN
 from larder.sources import load_tables, read_table, write_order_lines, write_orders
 from larder.sources.sinks import write_batch
 
@@ -13,12 +15,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_typed_reads_use_the_declared_schema(spark):
-    tables = load_tables(spark, SF, ["orders", "part"], columns={"part": ["p_partkey", "p_size"]})
+    tables = load_tables(spark, SF, ["orders", "part"], columns={"part": ["p_partkey", "p_size"]}, schemas=TESTDATA)
     assert tables["orders"].schema == TESTDATA["orders"]
     assert tables["part"].columns == ["p_partkey", "p_size"]
     plan = tables["part"].filter(F.col("p_size") > 10)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
-    assert read_table(spark, SF, "region").count() == 5
+    assert read_table(spark, SF, "region", schemas=TESTDATA).count() == 5
 
 
 def test_fact_sinks_partition_by_created_day(spark, tmp_path):
@@ -46,3 +48,26 @@ def test_batch_writes_are_idempotent(spark, tmp_path):
     write_batch(df.limit(2), out, 4)
     got = {r.batch_id: r.n for r in spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
     assert got == {3: 5, 4: 2}
+
+
+def test_each_domain_table_round_trips(spark, tmp_path):
+    for name, schema in DOMAIN.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        assert read_table(spark, str(tmp_path), name).schema == schema
+    spark.createDataFrame([("o1",)], "id string").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert read_table(spark, str(tmp_path), "orders", ["id"]).first()["id"] == "o1"
+
+
+def test_reports_prune_written_days(spark, tmp_path):
+    from larder.operators.reports import sales_between
+    rows = [(f"o{k}", f"2024-01-{k + 1:02d} 12:00:00", 99_999_999.99) for k in range(9)]
+    orders = spark.createDataFrame(rows, "id string, created_at string, selling_price double").selectExpr(
+        "id", "cast(created_at as timestamp) as created_at", "cast(selling_price as decimal(12,2)) as selling_price",
+        "cast(0 as decimal(12,2)) as profit", "'x' as status")
+    write_orders(orders.unionAll(orders.limit(0)), f"{tmp_path}/facts")
+    report = sales_between(spark.read.parquet(f"{tmp_path}/facts"), "2024-01-03", "2024-01-04")
+    assert "PartitionFilters: [isnotnull(created_date" in report._jdf.queryExecution().toString()
+    assert report.first()["order_count"] == 2
+    # More than the 12 digits of one order's column.
+    many = orders.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200))))
+    assert float(sales_between(many, "2024-01-01", "2024-01-31").first()["sales"]) == pytest.approx(99_999_999.99 * 1800)

@@ -14,12 +14,16 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_pricing_broadcasts_recipes_and_does_not_shuffle_orders(spark, kitchen):
+def test_pricing_broadcasts_recipes_and_does_not_shuffle_orders(spark, kitchen, tmp_path):
     from tests.seed import REQUEST_SCHEMA, request
-    k = kitchen
+
+    def stored(name):  # Spark knows the bytes of stored tables only
+        getattr(kitchen, name).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+    lines = stored("lines")
     reqs = spark.createDataFrame([request("A", 1, "t1", "s1", ["i7"])], REQUEST_SCHEMA)
-    dim = O.broadcast_recipe_dimension(O.recipe_dimension(k.recipes, k.lines, k.ingredients), k.lines)
-    valid, _ = O.validate_orders(reqs, k.sizes, dim)
+    dim = O.broadcast_recipe_dimension(O.recipe_dimension(stored("recipes"), lines, stored("ingredients")), lines)
+    valid, _ = O.validate_orders(reqs, stored("sizes"), dim)
     priced_plan = _plan(O.price_orders(valid))
     dim_plan = _plan(dim)
     assert "BroadcastHashJoin" in priced_plan

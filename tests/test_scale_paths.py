@@ -1,4 +1,4 @@
-"""The paths taken past the broadcast bound give the same results."""
+"""The joins past Spark's broadcast threshold give the same results."""
 
 from pyspark.sql import functions as F
 
@@ -7,16 +7,15 @@ from larder.plans import bindings as b
 from larder.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-CONF = "spark.larder.broadcastMaxRows"
 
 
 def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_pricing_over_the_bound_plans_a_shuffle_join_with_equal_results(spark):
+def test_pricing_over_the_threshold_plans_a_shuffle_join_with_equal_results(spark, monkeypatch):
     small = _rows(REGISTRY["price_orders"](spark, SF))
-    spark.conf.set(CONF, "3")
+    monkeypatch.setattr(O, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -24,14 +23,13 @@ def test_pricing_over_the_bound_plans_a_shuffle_join_with_equal_results(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         big = _rows(df)
     finally:
-        spark.conf.unset(CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan, plan
     assert small == big
 
 
-def test_hot_recipe_same_on_broadcast_and_shuffle_paths(spark):
+def test_hot_recipe_same_on_broadcast_and_shuffle_paths(spark, monkeypatch):
     """A third of all requests on one recipe; the shuffle-join path (where AQE
     splits the hot partition) prices exactly like the broadcast path."""
     t = b.Tables(spark, SF)
@@ -46,11 +44,10 @@ def test_hot_recipe_same_on_broadcast_and_shuffle_paths(spark):
         return _rows(O.price_orders(valid).select("order_id", "subtotal_cost", "selling_price", "profit"))
 
     broadcast_path = price()
-    spark.conf.set(CONF, "3")
+    monkeypatch.setattr(O, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         shuffle_path = price()
     finally:
-        spark.conf.unset(CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert broadcast_path == shuffle_path and len(broadcast_path) > 0
