@@ -1,9 +1,9 @@
 from larder.functions.money import to_money, to_qty, margin_pct, money_zero
-from larder.functions.days import day_start, in_days, report_date
+from larder.functions.days import day_start, in_days
 from larder.functions.phones import standard_phone
 
 __all__ = [
     "to_money", "to_qty", "margin_pct", "money_zero",
-    "day_start", "in_days", "report_date",
+    "day_start", "in_days",
     "standard_phone",
 ]

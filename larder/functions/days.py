@@ -46,11 +46,3 @@ def in_days(df: DataFrame, col: str, d1: str | dt.date, d2: str | dt.date,
     if col == "created_at" and "created_date" in df.columns:
         inside &= F.col("created_date").between(F.lit(first - day), F.lit(end))
     return inside
-
-
-def report_date(df: DataFrame, col: str, report_tz: str | None = None) -> Column:
-    """The report day of a timestamp, for grouping (not for filtering)."""
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, (T.DateType, T.TimestampNTZType)) or report_tz is None:
-        return F.to_date(col)
-    return F.to_date(F.convert_timezone(F.lit(report_tz), F.col(col).cast("timestamp_ntz")))

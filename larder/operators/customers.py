@@ -62,6 +62,32 @@ def customer_totals(customers: DataFrame, orders: DataFrame) -> DataFrame:
              .drop("_n", "_spent", "_last"))
 
 
+def ledger_chunks(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
+    """Partial results of the ledger: one row per customer and chunk of at most
+    `bucket_size` consecutive events of theirs.
+
+    Events are laid out by range of (customer, seq) and sorted, and a chunk is
+    cut by position in that layout, not by the value of `seq`. So a customer
+    has at most (their events / `bucket_size`) + (the range partitions they span)
+    + 1 chunks, however sparse `seq` is.
+    """
+    is_del = F.col("kind") == "delete"
+    d_amt = F.when(is_del, -F.col("amount")).otherwise(F.col("amount"))
+    d_cnt = F.when(is_del, F.lit(-1)).otherwise(F.lit(1))
+    laid = events.select("customer_id", "seq", "ts", is_del.alias("_del"),
+                         F.coalesce(d_amt, F.lit(0)).alias("_da"), d_cnt.alias("_dc")) \
+        .repartitionByRange("customer_id", "seq").sortWithinPartitions("customer_id", "seq")
+    ev = laid.withColumn("_pos", F.monotonically_increasing_id()) \
+        .withColumn("_b", F.expr(f"_pos div {int(bucket_size)}"))
+    w = Window.partitionBy("customer_id", "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("_sa", F.sum("_da").over(w)).withColumn("_sc", F.sum("_dc").over(w))
+    return ev.groupBy("customer_id", "_b").agg(
+        F.sum("_da").alias("_a_amt"), F.sum("_dc").alias("_a_cnt"),
+        F.min(F.when(F.col("_del"), F.col("_sa"))).alias("_m_amt"),
+        F.min(F.when(F.col("_del"), F.col("_sc"))).alias("_m_cnt"),
+        F.max_by("ts", F.when(~F.col("_del"), F.col("_pos"))).alias("_last"))
+
+
 def customer_ledger(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
     """Op 24: customer totals from an ordered log of order adds and deletes.
 
@@ -73,25 +99,11 @@ def customer_ledger(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
     Exact closed form: with S_k the plain prefix sum, clamping only at deletes
     gives  final = S_n - min(0, min over deletes k of S_k)  for any signs of
     the amounts. The prefix sums are computed in two levels so no customer is
-    one unbounded window: events are cut into `seq // bucket_size` buckets
-    (a window per (customer, bucket), bounded by `bucket_size` rows), each
-    bucket reduces to (sum, min prefix over deletes), and the per-customer
-    combine runs over one row per bucket. A customer with a third of all
-    events is spread over many tasks.
+    one unbounded window: each chunk of `ledger_chunks` reduces to (sum, min
+    prefix over deletes), and the per-customer combine runs over one row per
+    chunk. A customer with a third of all events is spread over many tasks.
     """
-    is_del = F.col("kind") == "delete"
-    d_amt = F.when(is_del, -F.col("amount")).otherwise(F.col("amount"))
-    d_cnt = F.when(is_del, F.lit(-1)).otherwise(F.lit(1))
-    ev = events.select("customer_id", "seq", "ts", is_del.alias("_del"),
-                       F.coalesce(d_amt, F.lit(0)).alias("_da"), d_cnt.alias("_dc"),
-                       F.expr(f"seq div {int(bucket_size)}").alias("_b"))
-    w = Window.partitionBy("customer_id", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("_sa", F.sum("_da").over(w)).withColumn("_sc", F.sum("_dc").over(w))
-    chunks = ev.groupBy("customer_id", "_b").agg(
-        F.sum("_da").alias("_a_amt"), F.sum("_dc").alias("_a_cnt"),
-        F.min(F.when(F.col("_del"), F.col("_sa"))).alias("_m_amt"),
-        F.min(F.when(F.col("_del"), F.col("_sc"))).alias("_m_cnt"),
-        F.max_by("ts", F.when(~F.col("_del"), F.col("seq"))).alias("_last"))
+    chunks = ledger_chunks(events, bucket_size)
     before = Window.partitionBy("customer_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (chunks.withColumn("_off_amt", F.coalesce(F.sum("_a_amt").over(before), F.lit(0)))
                     .withColumn("_off_cnt", F.coalesce(F.sum("_a_cnt").over(before), F.lit(0))))

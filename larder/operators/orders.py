@@ -266,11 +266,3 @@ def preview_mismatches(priced: DataFrame, menu: DataFrame) -> DataFrame:
     previewed = price_preview(priced, menu)
     return previewed.filter(~F.col("selling_price").eqNullSafe(F.col("preview_price"))) \
         .select("order_id", "recipe_id", "selling_price", "preview_price")
-
-
-def place_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame
-                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ops 9-11 together: (priced orders, their lines, rejected requests)."""
-    valid, rejected = validate_orders(requests, sizes, recipe_dim)
-    priced = price_orders(valid)
-    return priced, order_lines(priced), rejected

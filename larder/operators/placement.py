@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from larder.functions.money import to_money
 from larder.operators.customers import upsert_customers
 from larder.operators.orders import check_orders, number_orders, order_lines, price_orders
-from larder.schemas import ORDER_NUMBER_PREFIX, ORDER_STATUSES
+from larder.schemas import ORDER_NUMBER_PREFIX, ORDER_STATUSES, ORDERS
 
 
 class Placed:
@@ -44,6 +44,21 @@ class Placed:
         ids = self._upserted.select(F.col("id").alias("customer_id"), F.col("phone").alias("customer_phone"))
         return self._numbered.join(ids, "customer_phone", "left").withColumn("status", F.lit(ORDER_STATUSES[0]))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The orders in the shape of the stored table (`schemas.ORDERS`)."""
+        made = {"id": F.col("order_id"), "admin_notes": F.lit(None).cast("string"), "updated_at": F.col("created_at")}
+        return self.orders.select([made.get(n, F.col(n)).alias(n) for n in ORDERS.fieldNames()])
+
+    @cached_property
+    def confirmation(self) -> DataFrame:
+        """What the customer is told: number, price, whether it is pending, pickup,
+        and one row per ingredient with whether it is included. No cost leaves."""
+        told = self.orders.select("order_id", "order_number", "selling_price", "needs_price_confirmation",
+                                  "pickup_date", "pickup_time")
+        named = self.lines.select("order_id", F.col("ingredient_name_snapshot").alias("ingredient_name"), "is_included")
+        return told.join(named, "order_id", "left")
+
     @cached_property
     def lines(self) -> DataFrame:
         return order_lines(self._priced)

@@ -15,6 +15,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.schemas import COST_METHODS, ORDER_STATUSES, PRICING_MODES, PRICING_RULES
+
+# The data model's rules.
+NULLABLE = {
+    "product_types": {"description"},
+    "sizes": {"people_range"},
+    "ingredients": {"notes"},
+    "recipes": {"base_selling_price"},
+    "customers": {"address", "last_order_at"},
+    "orders": {"selling_price", "profit", "customer_notes", "admin_notes", "pickup_date", "pickup_time"},
+}
+UNIQUE = {
+    "product_types": [["id"], ["key"]],
+    "sizes": [["id"], ["key"]],
+    "ingredients": [["id"]],
+    "recipes": [["id"], ["product_type_id", "size_id"]],
+    "recipe_lines": [["id"], ["recipe_id", "ingredient_id"]],
+    "customers": [["id"], ["phone"]],
+    "orders": [["id"], ["order_number"]],
+    "order_lines": [["id"]],
+}
+REFERENCES = {
+    "recipes": {"product_type_id": "product_types", "size_id": "sizes"},
+    "recipe_lines": {"recipe_id": "recipes", "ingredient_id": "ingredients"},
+    "orders": {"customer_id": "customers", "product_type_id": "product_types", "size_id": "sizes", "recipe_id": "recipes"},
+    "order_lines": {"order_id": "orders", "ingredient_id": "ingredients"},
+}
+ALLOWED = {
+    "sizes": {"pricing_mode": PRICING_MODES},
+    "ingredients": {"cost_method": COST_METHODS},
+    "recipe_lines": {"pricing_rule": PRICING_RULES},
+    "orders": {"status": ORDER_STATUSES},
+}
+
 
 def _row(df: DataFrame, rule: str, violations: Column) -> DataFrame:
     return df.agg(F.coalesce(violations, F.lit(0)).cast("long").alias("violations")) \
@@ -30,13 +64,10 @@ def unique_check(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
 
 def foreign_key_check(child: DataFrame, fk: str, parent: DataFrame, pk: str, rule: str) -> DataFrame:
     """Child rows whose non-NULL key has no parent row."""
-    orphans = child.filter(F.col(fk).isNotNull()).select(F.col(fk).alias("_k")) \
-        .join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
-    return _row(orphans, rule, F.count(F.lit(1)))
-
-
-def not_null_check(df: DataFrame, col: str, rule: str) -> DataFrame:
-    return _row(df, rule, F.count_if(F.col(col).isNull()))
+    # Counted per key before the join: a key that a third of the rows hold is one row.
+    keys = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    orphans = keys.join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
+    return _row(orphans, rule, F.sum("_n"))
 
 
 def allowed_values_check(df: DataFrame, col: str, values: Sequence[str], rule: str) -> DataFrame:
@@ -74,3 +105,32 @@ def null_only_when_rule(col: str, allowed_when: Column) -> Column:
 
 def integrity_audit(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), checks)
+
+
+def kitchen_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """Op 29 over the kitchen's tables with the data model's own rules.
+
+    `tables` maps names of `schemas.DOMAIN` to frames; rules on a table or a
+    column that is not given are left out. All row rules of a table (not null,
+    allowed values) share one scan.
+    """
+    checks = []
+    for name, df in tables.items():
+        rules = {f"{name}.{c} not null": not_null_rule(c) for c in df.columns if c not in NULLABLE.get(name, ())}
+        rules |= {f"{name}.{c} allowed": allowed_values_rule(c, values)
+                  for c, values in ALLOWED.get(name, {}).items() if c in df.columns}
+        checks.append(row_checks(df, rules))
+        checks += [unique_check(df, keys, f"{name}.{', '.join(keys)} unique")
+                   for keys in UNIQUE.get(name, []) if set(keys) <= set(df.columns)]
+        for fk, parent in REFERENCES.get(name, {}).items():
+            if fk in df.columns and parent in tables:
+                # Ids are opaque; as text they compare whatever type a table gives them.
+                child = df.select(F.col(fk).cast("string").alias(fk))
+                ids = tables[parent].select(F.col("id").cast("string").alias("id"))
+                checks.append(foreign_key_check(child, fk, ids, "id", f"{name}.{fk} references {parent}"))
+    if "recipes" in tables and "sizes" in tables:
+        modes = tables["sizes"].select(F.col("id").alias("size_id"), "pricing_mode")
+        checks.append(null_only_when_check(tables["recipes"].join(modes, "size_id", "left"), "base_selling_price",
+                                           F.col("pricing_mode") == "custom",
+                                           "recipes.base_selling_price null only for custom sizes"))
+    return integrity_audit(checks)

@@ -463,12 +463,11 @@ ORACLE["stream_ingredient_needs"] = ORACLE["ingredient_needs"]
 ORACLE["stream_customer_ledger"] = ORACLE["customer_ledger"]
 
 ORACLE["stream_daily_sales"] = with_views("ord") + """,
-live as (select cast(created_at as date) created_date, selling_price, profit, created_at
+live as (select cast(created_at as date) created_date, selling_price, profit
          from ord where status is distinct from 'P'),
 days as (select created_date, count(*) order_count, cast(sum(coalesce(selling_price, 0)) as double) sales,
            cast(sum(coalesce(profit, 0)) as double) profit from live group by created_date)
-select * from days
-where created_date + interval 1 day <= (select max(created_at) - interval 1 day from live)"""
+select * from days"""
 
 # --------------------------------------------------- placing a batch of orders
 _PLACED = with_views(*PRICING_VIEWS, "customers") + ", " + PRICED_LINES + """,
@@ -493,3 +492,74 @@ select c.id, coalesce(l.name, c.name) name, coalesce(c.phone, l.phone) phone, l.
   cast(coalesce(l.n, 0) as int) total_orders, cast(cast(coalesce(l.s, 0) as decimal(12,2)) as double) total_spent,
   l.last last_order_at
 from customers c full outer join latest l on l.phone = c.phone"""
+
+_NUMBER = """'DLM-' || strftime(n.created_at, '%Y%m%d') || '-' ||
+    case when k < 10000 then lpad(k::varchar, 4, '0') else k::varchar end"""
+
+ORACLE["order_confirmation"] = _PLACED + """
+select n.order_id, """ + _NUMBER + """ order_number, cast(selling_price as double) selling_price,
+  needs_price_confirmation, pickup_date, pickup_time, pl.name ingredient_name, pl.inc is_included
+from n left join pl on pl.request_id = n.order_id"""
+
+ORACLE["stored_orders"] = _PLACED + """
+select n.order_id id, """ + _NUMBER + """ order_number, c.id customer_id, n.recipe_id % 5 product_type_id,
+  n.recipe_id size_id, n.recipe_id, 'جديد' status, cast(subtotal_cost as double) subtotal_cost,
+  cast(selling_price as double) selling_price, cast(cast(selling_price - subtotal_cost as decimal(12,2)) as double) profit,
+  needs_price_confirmation, coalesce(customer_notes, '') customer_notes, null::varchar admin_notes, pickup_date, pickup_time,
+  n.created_at, n.created_at updated_at
+from n left join customers c on c.phone = trim(n.customer_phone)"""
+
+# The data model's rules: not null, unique, references, allowed values.
+_RULE_COLUMNS = {
+    "product_types": "id name display_order is_active",
+    "sizes": "id name pricing_mode display_order is_active",
+    "ingredients": "id name unit unit_price cost_method direct_cost is_active is_visible_to_customer "
+                   "is_customer_removable is_core is_allergen",
+    "recipes": "id product_type_id size_id name packaging_cost extra_cost is_active",
+    "recipe_lines": "recipe_id ingredient_id quantity is_customer_optional pricing_rule price_delta is_addon display_order",
+    "customers": "id name phone total_orders total_spent",
+    "ord": "id customer_id product_type_id size_id status subtotal_cost needs_price_confirmation created_at",
+    "line": "order_id ingredient_id ingredient_name_snapshot is_included quantity_snapshot price_delta_applied is_allergen",
+}
+_SHOWN = {"ord": "orders", "line": "order_lines", "customers": "customers"}
+_READ = {"customers": "kitchen_customers"}
+_UNIQUE = [*((t, "id") for t in ("product_types", "sizes", "ingredients", "recipes", "customers", "ord")),
+           ("recipes", "product_type_id, size_id"), ("recipe_lines", "recipe_id, ingredient_id"), ("customers", "phone")]
+_REFERENCES = [("recipes", "product_type_id", "product_types"), ("recipes", "size_id", "sizes"),
+               ("recipe_lines", "recipe_id", "recipes"), ("recipe_lines", "ingredient_id", "ingredients"),
+               ("ord", "customer_id", "customers"), ("ord", "product_type_id", "product_types"), ("ord", "size_id", "sizes"),
+               ("line", "order_id", "ord"), ("line", "ingredient_id", "ingredients")]
+_ALLOWED = [("sizes", "pricing_mode", "'fixed', 'custom'"), ("ingredients", "cost_method", "'quantity', 'direct'"),
+            ("recipe_lines", "pricing_rule", "'included_fixed', 'included_reduce_on_remove', 'extra_cost_addon'"),
+            ("ord", "status", "'جديد', 'تم التأكيد', 'قيد التحضير', 'جاهز', 'تم التسليم', 'ملغي'")]
+
+
+def _audit_sql() -> str:
+    def shown(t: str) -> str:
+        return _SHOWN.get(t, t)
+
+    def read(t: str) -> str:
+        return _READ.get(t, t)
+
+    parts = [f"select '{shown(t)}.{c} not null' rule, count(*)::bigint violations from {read(t)} where {c} is null"
+             for t, cols in _RULE_COLUMNS.items() for c in cols.split()]
+    for t, cols in _UNIQUE:
+        known = " and ".join(f"{c} is not null" for c in cols.split(", "))
+        parts.append(f"select '{shown(t)}.{cols} unique', (count(*) - count(distinct ({cols})))::bigint "
+                     f"from {read(t)} where {known}")
+    for t, c, to in _REFERENCES:
+        parts.append(f"select '{shown(t)}.{c} references {shown(to)}', count(*)::bigint from {read(t)} x where {c} is not null "
+                     f"and not exists (select 1 from {read(to)} p where p.id::varchar = x.{c}::varchar)")
+    for t, c, values in _ALLOWED:
+        parts.append(f"select '{shown(t)}.{c} allowed', count(*)::bigint from {read(t)} where {c} not in ({values})")
+    parts.append("select 'recipes.base_selling_price null only for custom sizes', count(*)::bigint from recipes r "
+                 "left join sizes s on s.id = r.size_id where r.base_selling_price is null "
+                 "and not coalesce(s.pricing_mode = 'custom', false)")
+    return "\nunion all ".join(parts)
+
+
+ORACLE["kitchen_audit"] = with_views("customers", "ingredients", "recipe_lines", "recipes", "sizes", "product_types", "ord",
+                                     "line") + """,
+s1 as (select id, name, regexp_replace(phone, '[\\s-]', '', 'g') d from customers),
+kitchen_customers as (select id, name, """ + STD_PHONE + """ phone, 0 total_orders, 0 total_spent from s1)
+""" + _audit_sql()

@@ -40,9 +40,9 @@ def q_customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_events(t: b.Tables) -> DataFrame:
-    """Orders as an add/delete log: a 'P' order is a delete of its amount."""
+    """Orders as an add/delete log: a 'P' order is a delete of its amount. `seq` is as sparse as a clock's microseconds."""
     o = t.orders
-    return o.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("seq"),
+    return o.select(F.col("o_custkey").alias("customer_id"), (F.col("o_orderkey") * 1_000_003).alias("seq"),
                     F.when(F.col("o_orderstatus") == "P", "delete").otherwise("add").alias("kind"),
                     F.when(F.col("o_orderkey") % 10 == 0, F.lit(None)).otherwise(to_money("o_totalprice"))
                     .alias("amount"),
@@ -81,3 +81,16 @@ def q_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         Q.null_only_when_check(rs, "base_selling_price", F.col("pricing_mode") == "custom",
                                "recipes.price_null_only_custom"),
     ])
+
+
+@register("kitchen_audit")
+def q_kitchen_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data model's rules over the bound tables, with phones as sign-in spells
+    them. The bindings break some: shared phones, statuses and sizes of other names."""
+    t = _t(spark, sf_dir)
+    customers = CU.standardise_phones(b.customers(t)).drop("address", "last_order_at", "phone") \
+        .withColumnRenamed("phone_std", "phone")
+    return Q.kitchen_audit({
+        "product_types": b.product_types(t), "sizes": b.sizes(t), "ingredients": b.ingredients(t),
+        "recipes": b.recipes(t), "recipe_lines": b.recipe_lines(t), "customers": customers, "orders": b.orders(t),
+        "order_lines": b.order_lines(t)})

@@ -80,3 +80,15 @@ def q_create_orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = _placed(_t(spark, sf_dir))
     return money_out(placed.customers.select("id", "name", "phone", "address", "total_orders", "total_spent",
                                              "last_order_at"))
+
+
+@register("order_confirmation")
+def q_order_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmation of every placed order."""
+    return money_out(_placed(_t(spark, sf_dir)).confirmation)
+
+
+@register("stored_orders")
+def q_stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every placed order in the shape of the stored table."""
+    return money_out(_placed(_t(spark, sf_dir)).stored)

@@ -1,38 +1,60 @@
 """Registered streaming queries (ops 36-39).
 
 Each stages its binding's rows as Parquet files in the shared scratch folder
-(under `spark.checkpoint.dir`), runs the stream to completion with an
-`availableNow` trigger, and returns a batch read of what the sink wrote. The
-stream does the operator's work; the batch read only collects its output.
+(under `spark.checkpoint.dir`), runs the stream over them in several
+micro-batches with `availableNow` triggers, and returns a batch read of what
+the sink wrote. The stream does the operator's work; the batch read only
+collects its output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from larder.plans import bindings as b
 from larder.plans.q_customers import ledger_events
 from larder.plans.q_orders import recipe_dim
 from larder.plans.registry import _t, money_out, register
 from larder.session import scratch_path
+from larder.sources.sinks import latest_rows, write_batch
 from larder.streaming import (needs_between, stream_customer_ledger, stream_daily_sales, stream_ingredient_needs,
                               stream_price_orders)
 
 
-def _stage(df: DataFrame, name: str, files: int) -> tuple[str, DataFrame]:
-    path = scratch_path(df.sparkSession, name)
+#: Micro-batches that each query's input arrives in.
+BATCHES = 4
+
+
+def _stage(df: DataFrame, name: str) -> DataFrame:
+    """A stream of the rows of `df`, in no order: a file per shuffle partition, a quarter of them a micro-batch."""
+    spark = df.sparkSession
+    path, files = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(files).write.parquet(path)
-    return path, df.sparkSession.readStream.schema(df.schema)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // BATCHES)).parquet(path)
+
+
+def _arrive(df: DataFrame, by: Column, name: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The rows of `df` arrive in `BATCHES` parts in the order of the number `by`;
+    the stream that `start` makes takes up each part when it has come."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    shares = [k / BATCHES for k in range(1, BATCHES)]
+    cuts = df.agg(F.percentile_approx(by, shares).alias("cuts")).first()["cuts"] or []
+    part = sum((F.coalesce(by > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    for k in range(BATCHES):
+        df.where(part == k).write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @register("stream_price_orders")
 def q_stream_price_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 36 over the order requests: 16 files, four per micro-batch."""
+    """Op 36 over the order requests."""
     t = _t(spark, sf_dir)
-    src, reader = _stage(b.requests(t), "stream-requests", 16)
+    stream = _stage(b.requests(t), "stream-requests")
     out = scratch_path(spark, "stream-priced")
-    stream = reader.option("maxFilesPerTrigger", 4).parquet(src)
     dim = recipe_dim(t).persist()  # the static side, built once for all micro-batches
     try:
         stream_price_orders(stream, b.sizes(t), dim, out, scratch_path(spark, "stream-ckpt"),
@@ -58,53 +80,44 @@ def _line_events(t: b.Tables) -> DataFrame:
 
 @register("stream_ingredient_needs")
 def q_stream_ingredient_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 37's kept state, then the same date range as `ingredient_needs`."""
+    """Op 37's kept state, then the same date range as `ingredient_needs`. Each
+    micro-batch writes the keys it changed under its batch id."""
     t = _t(spark, sf_dir)
-    src, reader = _stage(_line_events(t), "stream-lines", 16)
-    state_path = scratch_path(spark, "stream-needs")
-
-    def keep(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(state_path)  # complete mode: the whole (bounded) state
-
-    agg = stream_ingredient_needs(reader.option("maxFilesPerTrigger", 4).parquet(src), b.ingredients(t))
-    (agg.writeStream.outputMode("complete").foreachBatch(keep)
+    out = scratch_path(spark, "stream-needs")
+    agg = stream_ingredient_needs(_stage(_line_events(t), "stream-lines"), b.ingredients(t))
+    (agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: write_batch(df, out, bid))
         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
         .trigger(availableNow=True).start().awaitTermination())
-    return money_out(needs_between(spark.read.parquet(state_path), b.TODAY, b.WEEK_END))
+    state = latest_rows(spark.read.parquet(out), ["pickup_date", "ingredient_id", "ingredient_name_snapshot", "unit"])
+    return money_out(needs_between(state, b.TODAY, b.WEEK_END))
 
 
 @register("stream_customer_ledger")
 def q_stream_customer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 39 over the order add/delete log, read in one micro-batch so the fold
-    order is seq order; each customer's latest emitted row is its state."""
+    """Op 39 over the order add/delete log, arriving in seq order; each
+    customer's latest emitted row is its state."""
     t = _t(spark, sf_dir)
     events = ledger_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    src, reader = _stage(events, "stream-ledger-in", 16)
-    out = scratch_path(spark, "stream-ledger-out")
-    (stream_customer_ledger(reader.parquet(src)).writeStream.outputMode("update")
-        .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{out}/batch_id={bid}"))
-        .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-        .trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.parquet(out)
-    latest = rows.groupBy("customer_id").agg(F.max_by(F.struct("total_orders", "total_spent", "last_order_at"),
-                                                      "as_of_seq").alias("s"))
-    return latest.select("customer_id", F.col("s.total_orders").alias("total_orders"),
-                         F.col("s.total_spent").cast("decimal(12,2)").cast("double").alias("total_spent"),
-                         F.col("s.last_order_at").cast("timestamp_ntz").alias("last_order_at"))
+    out, ckpt = scratch_path(spark, "stream-ledger-out"), scratch_path(spark, "stream-ckpt")
+    _arrive(events, F.col("seq"), "stream-ledger-in", lambda stream:
+            stream_customer_ledger(stream).writeStream.outputMode("update")
+            .foreachBatch(lambda df, bid: write_batch(df, out, bid))
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    latest = latest_rows(spark.read.parquet(out), ["customer_id"])
+    return latest.select("customer_id", "total_orders",
+                         F.col("total_spent").cast("decimal(12,2)").cast("double").alias("total_spent"),
+                         F.col("last_order_at").cast("timestamp_ntz").alias("last_order_at"))
 
 
 @register("stream_daily_sales")
 def q_stream_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 38 over the order facts in one micro-batch with a one-day delay: the
-    closing no-data batch moves the watermark to (latest order - 1 day), so
-    exactly the days ending by then are emitted."""
+    """Op 38 over the order facts, arriving in time order, in `update` mode:
+    every day, the days still open included."""
     t = _t(spark, sf_dir)
     facts = b.orders(t).select("id", "status", "selling_price", "profit", "created_at")
-    src, reader = _stage(facts, "stream-daily-in", 16)
-    out = scratch_path(spark, "stream-daily-out")
-    (stream_daily_sales(reader.parquet(src), delay="1 day", cancelled=b.CANCELLED)
-        .writeStream.outputMode("append")
-        .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{out}/batch_id={bid}"))
-        .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-        .trigger(availableNow=True).start().awaitTermination())
-    return money_out(spark.read.parquet(out).drop("batch_id"))
+    out, ckpt = scratch_path(spark, "stream-daily-out"), scratch_path(spark, "stream-ckpt")
+    _arrive(facts, F.unix_micros(F.col("created_at").cast("timestamp")), "stream-daily-in", lambda stream:
+            stream_daily_sales(stream, delay="1 day", cancelled=b.CANCELLED).writeStream.outputMode("update")
+            .foreachBatch(lambda df, bid: write_batch(df, out, bid))
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    return money_out(latest_rows(spark.read.parquet(out), ["created_date"]))

@@ -28,7 +28,6 @@ MISSING_NAME = "—"
 
 ADDON = "extra_cost_addon"
 REDUCE_ON_REMOVE = "included_reduce_on_remove"
-INCLUDED_FIXED = "included_fixed"
 
 MONEY = T.DecimalType(12, 2)
 QTY = T.DecimalType(12, 3)

@@ -28,3 +28,11 @@ def write_order_lines(lines: DataFrame, path: str, mode: str = "append") -> None
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Idempotent per-batch write: a retry of batch N overwrites batch N only."""
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
+def latest_rows(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The state that an `update` stream has reached: of each key, the row of its
+    last batch. `written` is what `write_batch` wrote, with its `batch_id`."""
+    values = [c for c in written.columns if c not in (*keys, "batch_id")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in values])

@@ -1,11 +1,9 @@
 """Op 39: the customer ledger folded per customer in arrival order.
 
-The one place Python runs: `applyInPandasWithState`, grouped by a hash bucket
-of the customer (`buckets`), not by the customer, so one call folds many
-customers at once with vectorised pandas. A bucket's state holds its
-customers' (count, total in cents, last order time, last seq) as parallel
-arrays. Within a micro-batch, each customer's events fold in `seq` order;
-across micro-batches, in arrival order, as the kitchen applies them.
+The one place Python runs: `applyInPandasWithState`, with one small state row
+per customer (count, total in cents, last order time, last seq). Within a
+micro-batch, a customer's events fold in `seq` order; across micro-batches, in
+arrival order, as the kitchen applies them.
 """
 
 from __future__ import annotations
@@ -31,84 +29,58 @@ OUTPUT = T.StructType([
     T.StructField("as_of_seq", T.LongType()),
 ])
 STATE = T.StructType([
-    T.StructField("customers", T.ArrayType(T.LongType())),
-    T.StructField("counts", T.ArrayType(T.LongType())),
-    T.StructField("cents", T.ArrayType(T.LongType())),
-    T.StructField("last", T.ArrayType(T.TimestampType())),
-    T.StructField("as_of", T.ArrayType(T.LongType())),
+    T.StructField("count", T.LongType()),
+    T.StructField("cents", T.LongType()),
+    T.StructField("last", T.TimestampType()),
+    T.StructField("as_of", T.LongType()),
 ])
 
 
-def _cents(amounts: pd.Series) -> np.ndarray:
-    return np.array([0 if a is None or a != a else int(Decimal(str(a)).scaleb(2)) for a in amounts], dtype=np.int64)
+def _fold_from(start: int, deltas: np.ndarray, is_del: np.ndarray) -> int:
+    """Fold x -> x + d (add) / max(0, x + d) (delete) from `start`.
 
-
-def _fold_from(start: pd.Series, customer: pd.Series, deltas: np.ndarray, is_del: np.ndarray) -> pd.Series:
-    """Per customer, fold x -> x + d (add) / max(0, x + d) (delete) from `start`.
-
-    Exact closed form on the running sums A_k of each customer's deltas:
+    Exact closed form on the running sums A_k of the deltas:
     A_n + max(start, -min over deletes of A_k).
     """
-    acc = pd.Series(deltas, index=customer.index).groupby(customer.values).cumsum()
-    by = acc.groupby(customer.values)
-    last_acc = by.last()
-    min_del = acc.where(is_del).groupby(customer.values).min()
-    s = start.reindex(last_acc.index).fillna(0).astype(np.int64)
-    floor = (-min_del).reindex(last_acc.index)
-    return last_acc + np.maximum(s, floor.fillna(s).astype(np.int64))
+    sums = np.cumsum(deltas)
+    floor = -int(sums[is_del].min()) if is_del.any() else start
+    return int(sums[-1]) + max(start, floor)
 
 
-def _fold_bucket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold_customer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     # pandas warns when Spark concatenates result frames holding an all-NULL column.
     warnings.filterwarnings("ignore", category=FutureWarning)
-    frames = [b for b in batches if len(b)]
-    pdf = pd.concat(frames, ignore_index=True).sort_values(["customer_id", "seq"], kind="stable")
-    if state.exists:
-        ids, counts, cents, last, as_of = state.get
-        prev = pd.DataFrame({"counts": counts, "cents": cents, "last": last, "as_of": as_of},
-                            index=pd.Index(ids, name="customer_id"))
-    else:
-        prev = pd.DataFrame({"counts": pd.Series(dtype=np.int64), "cents": pd.Series(dtype=np.int64),
-                             "last": pd.Series(dtype="datetime64[ns]"), "as_of": pd.Series(dtype=np.int64)},
-                            index=pd.Index([], name="customer_id", dtype=np.int64))
-    cust = pdf["customer_id"]
-    is_del = (pdf["kind"] == "delete").to_numpy()
-    cents_now = _fold_from(prev["cents"], cust, np.where(is_del, -_cents(pdf["amount"]), _cents(pdf["amount"])), is_del)
-    count_now = _fold_from(prev["counts"], cust, np.where(is_del, -1, 1), is_del)
-    adds = pdf[~is_del]
-    last_add = adds.groupby("customer_id")["ts"].last()
-    last_now = last_add.reindex(cents_now.index).combine_first(prev["last"].reindex(cents_now.index))
-    seq_max = pdf.groupby("customer_id")["seq"].max()
-    as_of_now = np.maximum(seq_max, prev["as_of"].reindex(seq_max.index).fillna(seq_max)).astype(np.int64)
-    touched = pd.DataFrame({"counts": count_now.astype(np.int64), "cents": cents_now.astype(np.int64),
-                            "last": last_now, "as_of": as_of_now.reindex(cents_now.index)})
-    merged = pd.concat([prev.drop(index=touched.index, errors="ignore"), touched])
-    state.update((merged.index.astype(np.int64).tolist(), merged["counts"].astype(np.int64).tolist(),
-                  merged["cents"].astype(np.int64).tolist(),
-                  [None if pd.isna(t) else pd.Timestamp(t).to_pydatetime() for t in merged["last"]],
-                  merged["as_of"].astype(np.int64).tolist()))
-    yield pd.DataFrame({
-        "customer_id": touched.index.astype(np.int64),
-        "total_orders": touched["counts"].astype(np.int32).to_numpy(),
-        "total_spent": [str(Decimal(int(c)).scaleb(-2).quantize(Decimal("0.01"))) for c in touched["cents"]],
-        "last_order_at": touched["last"].to_numpy(),
-        "as_of_seq": touched["as_of"].to_numpy(),
-    })
+    pdf = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values("seq", kind="stable")
+    count, cents, last, as_of = state.get if state.exists else (0, 0, None, None)
+    is_del = pdf["is_delete"].to_numpy(dtype=bool)
+    moved = pdf["cents"].to_numpy(dtype=np.int64)
+    count = _fold_from(count, np.where(is_del, -1, 1), is_del)
+    cents = _fold_from(cents, np.where(is_del, -moved, moved), is_del)
+    if not is_del.all():
+        newest = pdf["ts"][~is_del].iloc[-1]
+        last = None if pd.isna(newest) else newest.to_pydatetime()
+    seq = int(pdf["seq"].iloc[-1])
+    as_of = seq if as_of is None else max(seq, as_of)
+    state.update((count, cents, last, as_of))
+    yield pd.DataFrame({"customer_id": pd.Series([key[0]], dtype=object), "total_orders": [count],
+                        "total_spent": [str(Decimal(cents).scaleb(-2).quantize(Decimal("0.01")))],
+                        "last_order_at": pd.Series([last], dtype="datetime64[ns]"), "as_of_seq": [as_of]})
 
 
-def stream_customer_ledger(events_stream: DataFrame, buckets: int = 256) -> DataFrame:
+def stream_customer_ledger(events_stream: DataFrame) -> DataFrame:
     """Op 39: per-customer totals over a stream of order adds and deletes.
 
     `events_stream`: customer_id (long), seq, kind ('add' | 'delete'), amount,
     ts (TIMESTAMP). Run in `update` mode; each batch emits the touched
     customers' current totals, with `as_of_seq`, the highest seq folded in.
-    `total_spent` is exact decimal text. A Python call holds one bucket's
-    events of one micro-batch (bounded by the trigger's batch size); a bucket's
-    state holds about (customers / `buckets`) entries.
+    `total_spent` is exact decimal text. A Python call holds one customer's
+    events of one micro-batch, so bound the trigger (`maxFilesPerTrigger` or
+    `maxBytesPerTrigger`); a state row has a fixed size.
     """
     # Ship the fold by value: Python workers then need pandas and numpy, not this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    cols = events_stream.select("customer_id", "seq", "kind", "amount", "ts",
-                                F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).alias("_bucket"))
-    return cols.groupBy("_bucket").applyInPandasWithState(
-        _fold_bucket, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    cents = (F.coalesce(F.col("amount"), F.lit(0)) * 100).cast("long")
+    rows = events_stream.select("customer_id", "seq", (F.col("kind") == "delete").alias("is_delete"),
+                                cents.alias("cents"), "ts")
+    return rows.groupBy("customer_id").applyInPandasWithState(
+        _fold_customer, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -83,9 +83,11 @@ def needs_between(needs_state: DataFrame, d1: str | dt.date, d2: str | dt.date)
 
 def stream_daily_sales(orders_stream: DataFrame, delay: str = "1 day", cancelled: str = CANCELLED,
                        report_tz: str = "UTC") -> DataFrame:
-    """Op 38: op 30 per created day, over a stream; run it in `append` mode.
+    """Op 38: op 30 per created day, over a stream; run it in `append` or `update` mode.
 
-    A day is emitted once, when the watermark (latest event time - `delay`)
+    In `update` mode each micro-batch emits the days it touched with their
+    totals so far, open days included: a day's latest row holds its total
+    (`latest_rows`). In `append` mode a day is emitted once, when the watermark (latest event time - `delay`)
     passes its end, and its state is then dropped. Rows within `delay` are
     always counted; rows later than that may or may not be (Spark's watermark
     contract), and never after their day was emitted. Days are calendar days in

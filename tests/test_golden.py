@@ -144,3 +144,21 @@ def test_create_orders_places_numbers_and_updates_customers(spark, kitchen):
     assert cust["07900000009"].total_orders == 1 and cust["07900000009"].total_spent == D("0.00")
     assert [r.request_id for r in placed.rejected.collect()] == ["G"]
     assert placed.lines.filter("order_id = 'A'").count() == 10
+    told = placed.confirmation
+    assert not {"subtotal_cost", "profit", "cost_snapshot"} & set(told.columns)
+    assert told.filter("order_id = 'A'").count() == 10
+
+
+def test_stored_orders_round_trip_through_the_sink(spark, kitchen, tmp_path):
+    from larder.operators.placement import create_orders
+    from larder.schemas import CUSTOMERS, ORDERS
+    from larder.sources import read_table, write_orders
+    k = kitchen
+    reqs = spark.createDataFrame([request("A", 1, "t1", "s1", ["i7"]), request("B", 2, "t2", "s1", [], ["i14"])], REQUEST_SCHEMA)
+    dim = O.recipe_dimension(k.recipes, k.lines, k.ingredients)
+    placed = create_orders(reqs, k.sizes, dim, spark.createDataFrame([], CUSTOMERS))
+    assert [(f.name, f.dataType) for f in placed.stored.schema] == [(f.name, f.dataType) for f in ORDERS]
+    write_orders(placed.stored, f"{tmp_path}/orders.parquet")
+    back = read_table(spark, str(tmp_path), "orders").select(placed.stored.columns)
+    assert sorted(back.collect()) == sorted(placed.stored.collect())
+    assert back.filter("customer_id is null or order_number is null").count() == 0

@@ -71,3 +71,18 @@ def test_reports_prune_written_days(spark, tmp_path):
     # More than the 12 digits of one order's column.
     many = orders.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200))))
     assert float(sales_between(many, "2024-01-01", "2024-01-31").first()["sales"]) == pytest.approx(99_999_999.99 * 1800)
+
+
+def test_kitchen_audit_counts_each_kind_of_violation(spark):
+    from larder.operators.quality import kitchen_audit
+    sizes = spark.createDataFrame([("s1", "one", "fixed"), ("s2", None, "free")], "id string, name string, pricing_mode string")
+    recipes = spark.createDataFrame(
+        [("r1", "s1", "a", None), ("r2", "s1", "b", D("1.00")), ("r3", "s9", "c", D("1.00"))],
+        "id string, size_id string, name string, base_selling_price decimal(12,2)")
+    customers = spark.createDataFrame([("c1", "07"), ("c2", "07"), ("c3", "07")], "id string, phone string")
+    got = {r.rule: r.violations for r in kitchen_audit(
+        {"sizes": sizes, "recipes": recipes, "customers": customers}).collect() if r.violations}
+    assert got == {"sizes.name not null": 1, "sizes.pricing_mode allowed": 1, "customers.phone unique": 2,
+                   "recipes.size_id references sizes": 1, "recipes.base_selling_price null only for custom sizes": 1}
+    empty = kitchen_audit({"customers": customers.limit(0)}).collect()
+    assert empty and not any(r.violations for r in empty)

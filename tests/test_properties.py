@@ -143,3 +143,14 @@ def test_cascade_and_restrict(spark):
     dead = spark.createDataFrame([(1,), (3,)], "k long")
     assert sorted(r.v for r in CH.cascade_delete(child, dead, "fk").collect()) == ["c", "d"]
     assert [(r.fk, r.blocking_rows) for r in CH.restrict_check(child, dead, "fk").collect()] == [(1, 2)]
+
+
+def test_ledger_chunks_follow_positions_not_seq_values(spark):
+    n, size = 20_000, 1_000
+    ev = spark.range(n).select(F.lit(1).alias("customer_id"), (F.col("id") * 1_000_003).alias("seq"),
+                               F.lit("add").alias("kind"), F.lit(1).cast("decimal(12,2)").alias("amount"),
+                               F.lit(dt.datetime(2024, 1, 1)).alias("ts"))
+    chunks = CU.ledger_chunks(ev, bucket_size=size)
+    assert chunks.count() <= n // size + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = CU.customer_ledger(ev, bucket_size=size).first()
+    assert (got.total_orders, got.total_spent) == (n, n)

@@ -136,7 +136,7 @@ def test_stream_daily_sales_counts_rows_within_the_delay(spark, tmp_path):
     assert got[dt.date(2024, 1, 1)] == (1, D(10))
 
 
-def test_bucketed_ledger_state_equals_fold_across_batches(spark, tmp_path):
+def test_ledger_state_equals_fold_across_batches(spark, tmp_path):
     import random
     rnd = random.Random(5)
     ev = []
@@ -148,7 +148,7 @@ def test_bucketed_ledger_state_equals_fold_across_batches(spark, tmp_path):
     df = spark.createDataFrame(ev, "customer_id long, seq long, kind string, amount decimal(12,2), ts timestamp")
     src = _split_write(df.orderBy("seq"), str(tmp_path / "in"), 5)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = _memory(stream_customer_ledger(stream, buckets=3), "ledger_b3", "update")
+    out = _memory(stream_customer_ledger(stream), "ledger_b3", "update")
     latest = {}
     for r in sorted(out.collect(), key=lambda r: r.as_of_seq):
         latest[r.customer_id] = (r.total_orders, D(r.total_spent), r.last_order_at)
