@@ -143,6 +143,13 @@ def requests(t: Tables) -> DataFrame:
         F.col("o_orderstatus").alias("status"))
 
 
+def noted_requests(t: Tables) -> DataFrame:
+    """The requests, with the whole text of the document of the same number as the customer's note."""
+    notes = t.documents.select(F.col("doc_id").alias("request_id"), F.col("text").alias("customer_notes"))
+    r = requests(t)
+    return r.drop("customer_notes").join(notes, "request_id", "left").select(r.columns)
+
+
 def orders(t: Tables) -> DataFrame:
     """Order facts: 'P' plays cancelled; every 10th order has no price."""
     o = t.orders

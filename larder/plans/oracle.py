@@ -479,12 +479,16 @@ latest as (select phone, first(name order by seq desc) name,
     count(*) n, sum(coalesce(selling_price, 0)) s, max(created_at) last from inc group by phone)
 """
 
+# Each placed order's note is the whole text of the document of its number.
+_PLACED = _PLACED.replace("null::varchar customer_notes",
+                          "(select d.text from documents d where d.doc_id = o_orderkey) customer_notes")
+
 ORACLE["create_orders"] = _PLACED + """
 select n.order_id, 'DLM-' || strftime(n.created_at, '%Y%m%d') || '-' ||
     case when k < 10000 then lpad(k::varchar, 4, '0') else k::varchar end order_number,
   c.id customer_id, 'جديد' status, cast(subtotal_cost as double) subtotal_cost,
   cast(selling_price as double) selling_price, cast(cast(selling_price - subtotal_cost as decimal(12,2)) as double) profit,
-  needs_price_confirmation, left(coalesce(customer_notes, ''), 1000) customer_notes, pickup_date, pickup_time
+  needs_price_confirmation, coalesce(customer_notes, '') customer_notes, pickup_date, pickup_time
 from n left join customers c on c.phone = trim(n.customer_phone)"""
 
 ORACLE["create_orders_customers"] = _PLACED + """

@@ -62,7 +62,7 @@ def q_preview_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _placed(t: b.Tables):
     from larder.operators.placement import create_orders
     cust = b.customers(t).withColumn("address", F.lit(None).cast("string"))
-    return create_orders(b.requests(t), b.sizes(t), recipe_dim(t), cust)
+    return create_orders(b.noted_requests(t), b.sizes(t), recipe_dim(t), cust)
 
 
 @register("create_orders")
