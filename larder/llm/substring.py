@@ -12,7 +12,9 @@ starts at a multiple of `block` in either one, as 2 * block - 1 <= window. So:
    earlier document too are removed. Joined, they are the maximal repeats.
 
 Both exchanges send no text: a task packs the hashes of a batch of documents
-by hash range, so a window costs 5 (then 8) bytes and no row of its own.
+by hash range, so a window costs 5 (then 8) bytes and no row of its own. A pack
+sends copies of a text once, and settles what its own documents decide about a
+hash that many of them share, so a hot passage is reduced before the exchange.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from larder.llm.common import as_bytes, materialise, slices, tasks
 WINDOW, BLOCK = 50, 25
 #: Words of documents whose hashes are packed together.
 PACK_WORDS = 500_000
+#: Documents of a pack that share a hash from which on the pack settles what it can by itself.
+CROWD = 8
 _NO_ID = np.iinfo(np.int64).max
 _NAMELESS = 1 << 62  # ids are below this
 
@@ -104,15 +108,60 @@ def _large(b: bytes) -> np.ndarray:
     return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[b[0]], offset=1).astype(np.int64)
 
 
-def _pack(docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+def _settle(h: np.ndarray, ord_: np.ndarray, mark: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes of a pack must be sent, and which are known to be hits (see `_answer`) without.
+
+    Of a hash that more than CROWD windows of the pack have, the other packs
+    need the smallest marked and (`both`) the largest ord; a hit stays one
+    whatever they hold. So only these two and the open ones are sent.
+    """
+    send, known = np.ones(len(h), bool), np.zeros(len(h), bool)
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
+    size = np.diff(np.r_[start, len(h)])
+    order, size = order[np.repeat(size > CROWD, size)], size[size > CROWD]
+    if len(order):
+        start = np.cumsum(size) - size
+        o = ord_[order]
+        m = mark[order] & (o < _NAMELESS)
+        least = np.repeat(np.minimum.reduceat(np.where(m, o, _NO_ID), start), size)
+        most = np.repeat(np.maximum.reduceat(o, start), size)
+        hit, edge = o > least, m & (o == least)
+        if both:
+            hit |= m & (o < most)
+            edge |= o == most
+        known[order] = hit & ~edge
+        send[order] = ~hit | edge
+    return send, known
+
+
+def _pack(docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], buckets: int, width: int,
+          both: bool) -> Iterator[pa.RecordBatch]:
     """One row per bucket: the documents, how many hashes each has there, and the hashes.
 
-    docs: ord, and hash, bucket hash and mark of each window. `width` low bytes of a hash are sent.
+    docs: ord, and hash, bucket hash and mark of each window. `width` low bytes
+    of a hash are sent. Rows without `docs` hold known hits, a row per bucket of
+    ords: the hashes, and their ords as `marks`.
     """
     docs = sorted(docs, key=lambda x: x[0])
     ords = np.array([d[0] for d in docs], np.int64)
     h, b, m = (np.concatenate([d[k] for d in docs]) for k in (1, 2, 3))
     doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[1]) for d in docs])
+    if not len(h):
+        return
+    send, known = _settle(h, ords[doc], m, both)
+    if known.any():
+        row, low = ords[doc[known]], h[known] & np.uint64((1 << 8 * width) - 1)
+        to = row % buckets
+        order = np.lexsort((low, row, to))
+        row, low, to = row[order], low[order], to[order]
+        edge = np.searchsorted(to, np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(edge))
+        cut = [slice(edge[k], edge[k + 1]) for k in some]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary()), pa.array([low[x].tobytes() for x in cut], pa.binary()),
+             pa.array([row[x].tobytes() for x in cut], pa.binary())], names=["bucket", "docs", "hashes", "marks"])
+    h, b, m, doc = h[send], b[send], m[send], doc[send]
     b = (b % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(b, kind="stable")
     h, b, m, doc = h[order], b[order], m[order], doc[order]
@@ -131,11 +180,16 @@ def _pack(docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], buckets: i
                                          names=["bucket", "docs", "hashes", "marks"])
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...] | None:
-    """All hashes of a task's bucket, each with its ord and mark."""
+def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch | tuple[np.ndarray, ...]]:
+    """Known hits as answers, then all hashes of a task's bucket, each with its ord and mark."""
     ords, hashes, marks = [], [], []
     for b in batches:
+        known = b.filter(b.column("docs").is_null())
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column(k) for k in ("bucket", "marks", "hashes")], names=["to", "ords", "hits"])
         for d, h, m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            if d is None:
+                continue
             cut = 12 + int.from_bytes(d[8:12], "little")
             mine = np.cumsum(np.r_[np.frombuffer(d[:8], np.int64), _large(d[12:cut])])
             low = np.frombuffer(h, np.uint8).reshape(-1, width)
@@ -144,9 +198,8 @@ def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray,
             hashes.append(full.view(np.uint64).ravel())
             ords.append(np.repeat(mine, _large(d[cut:])))
             marks.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(low)).astype(bool))
-    if not hashes:
-        return None
-    return tuple(map(np.concatenate, (hashes, ords, marks)))
+    if hashes:
+        yield tuple(map(np.concatenate, (hashes, ords, marks)))
 
 
 def _answer(packed: DataFrame, n: int, width: int, both: bool) -> DataFrame:
@@ -156,11 +209,13 @@ def _answer(packed: DataFrame, n: int, width: int, both: bool) -> DataFrame:
     Which these are hangs on ord and hash alone, so rows with equal ids share an answer.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _unpack(batches, width)
-        if got is None:
-            return
-        h, ord_, mark = got
-        del got
+        for got in _unpack(batches, width):
+            if isinstance(got, pa.RecordBatch):
+                yield got
+            else:
+                yield from compare(*got)
+
+    def compare(h: np.ndarray, ord_: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(h)
         h, ord_, mark = h[order], ord_[order], mark[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -218,25 +273,34 @@ def _near(flag: np.ndarray, before: int, n: int) -> np.ndarray:
 
 
 def _probe(docs: DataFrame, buckets: int, block: int, window: int) -> DataFrame:
-    """Step 1's packed hashes: every rolling block, marked where it is one of the index."""
+    """Step 1's packed hashes: every rolling block, marked where it is one of the index.
+
+    Of equal texts in a pack the one of the smallest ord is sent: the others go whole, unasked.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, powers = {}, Powers(_MULT[0])
-        found, words = [], 0
+        found, words, seen = [], 0, {}
         for b in slices(batches):
             for o, text in zip(b.column("ord").to_pylist(), as_bytes(b.column("text"))):
                 ws = text.split()
                 if len(ws) < window:
                     continue
+                said = xxhash.xxh3_128_digest(b" ".join(ws))
+                at = seen.get(said)
+                if at is not None and (o == found[at][0] or min(o, found[at][0]) < _NAMELESS):
+                    found[at] = (min(o, found[at][0]), *found[at][1:])
+                    continue
+                seen[said] = len(found)
                 h = rolling(word_hashes(ws, memo), block, powers)
                 mark = np.zeros(len(h), bool)
                 mark[::block] = True
                 found.append((o, h, h >> np.uint64(40), mark))
                 words += len(ws)
                 if words >= PACK_WORDS:
-                    yield from _pack(found, buckets, 5)
-                    found, words = [], 0
+                    yield from _pack(found, buckets, 5, both=True)
+                    found, words, seen = [], 0, {}
         if found:
-            yield from _pack(found, buckets, 5)
+            yield from _pack(found, buckets, 5, both=True)
 
     return docs.mapInArrow(run, _PACKED)
 
@@ -256,10 +320,10 @@ def _extend(hit_docs: DataFrame, buckets: int, block: int, window: int) -> DataF
                 found.append((o, h[near], h2[near], np.ones(int(near.sum()), bool)))
                 words += int(near.sum())
                 if words >= PACK_WORDS:
-                    yield from _pack(found, buckets, 8)
+                    yield from _pack(found, buckets, 8, both=False)
                     found, words = [], 0
         if found:
-            yield from _pack(found, buckets, 8)
+            yield from _pack(found, buckets, 8, both=False)
 
     return hit_docs.mapInArrow(run, _PACKED)
 

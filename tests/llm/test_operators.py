@@ -118,6 +118,47 @@ def test_substrings_equal_brute_force(spark, odd):
     assert substring.dedup_substrings(d.limit(0)).count() == 0
 
 
+def test_a_passage_of_a_third_of_all_documents(spark):
+    """Crowded hashes, at one place and at any, are settled in the packs and between them alike."""
+    passage, rng = prose(90, 70), random.Random(9)
+    rows = []
+    for k in range(240):
+        before = prose(2000 + k, (50, rng.randrange(60))[k % 2])
+        rows.append((k * 7919 % 1009, {0: f"{before} {passage} {prose(3000 + k, 20)}", 1: prose(91, 90), 2: prose(4000 + k, 80)}[k % 3]))
+    rows += [(2000 + k, passage + f" end{k}") for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.repeated(dict(rows))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(d).collect()}
+    assert got == want
+
+
+def test_settled_hashes_are_what_the_whole_gives(spark):
+    """Sent and known hashes of packs, put together, give the hits of all hashes at once."""
+    rng = np.random.default_rng(4)
+    h, o, m = rng.integers(0, 40, 4000).astype(np.uint64), rng.integers(-50, 300, 4000), rng.random(4000) < 0.1
+    o = np.where(rng.random(4000) < 0.05, substring._NAMELESS + o, o)
+
+    def hits(h, o, m, both):
+        found = set()
+        for x in np.unique(h):
+            at = h == x
+            named = o[at & m & (o < substring._NAMELESS)]
+            for i, marked in zip(o[at], m[at] & (o[at] < substring._NAMELESS)):
+                if (len(named) and i > named.min()) or (both and marked and i < o[at].max()):
+                    found.add((int(x), int(i)))
+        return found
+
+    for both in (True, False):
+        sent, known = [], set()
+        for at in np.array_split(np.arange(4000), 7):
+            s, k = substring._settle(h[at], o[at], m[at], both)
+            sent.append(at[s])
+            known |= set(zip(h[at][k].tolist(), o[at][k].tolist()))
+        sent = np.concatenate(sent)
+        assert len(sent) < 4000 and known
+        assert hits(h[sent], o[sent], m[sent], both) | known == hits(h, o, m, both)
+
+
 def test_null_ids_lose_what_named_documents_hold_and_remove_nothing(spark):
     d = spark.createDataFrame([(None, prose(1, 80)), (None, prose(2, 80)), (3, prose(1, 80)), (None, prose(2, 80))], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring.dedup_substrings(d).collect())
