@@ -159,7 +159,7 @@ def _links(reps: DataFrame, threshold: float, sample: int, parts: int, parts_of_
         F.xxhash64(F.lit(t), "label", "dims", F.col("code").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])).alias("t", "k"))
     # A hot bucket of c chunks becomes c * (c + 1) / 2 cells, each of two chunks at most.
     c, own = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.least(own, j) * 65536 + F.greatest(own, j))
+    cells = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.shiftleft(F.least(own, j).cast("long"), 32) + F.greatest(own, j))
     dealt = (keyed.join(hot, "k", "left").withColumn("own", own).withColumn("cell", F.explode(cells))
              .select("id", "copies", "label", "e", "code", "t", "k", "own", "cell")
              .repartition(tasks(spark), "k", "cell").sortWithinPartitions("k", "cell"))
@@ -174,7 +174,7 @@ def _links(reps: DataFrame, threshold: float, sample: int, parts: int, parts_of_
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             at = np.cumsum(sizes) - sizes
             norm = np.sqrt(np.add.reduceat(flat * flat, at)) if len(flat) else np.zeros(0)
-            cross = cell // 65536 != cell % 65536
+            cross = cell >> 32 != cell & 0xFFFFFFFF
 
             def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 ok = (label[i] == label[j]) & (sizes[i] == sizes[j]) & (~cross[i] | (own_[i] != own_[j]))
