@@ -44,6 +44,12 @@ class Placed:
         ids = self._upserted.select(F.col("id").alias("customer_id"), F.col("phone").alias("customer_phone"))
         return self._numbered.join(ids, "customer_phone", "left").withColumn("status", F.lit(ORDER_STATUSES[0]))
 
+    @cached_property
+    def next_number(self) -> int:
+        """The number that follows the last one given here; runs the numbering."""
+        self.orders
+        return self._start + self._numbered.count()
+
     @cached_property
     def stored(self) -> DataFrame:
         """The orders in the shape of the stored table (`schemas.ORDERS`)."""
@@ -95,7 +101,12 @@ def create_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame,
     their running totals increased by the batch (op 23). Rejected requests are
     returned with their reason; nothing of theirs is written.
     """
-    checked = check_orders(requests, sizes, recipe_dim)
+    return place(check_orders(requests, sizes, recipe_dim), requests.columns, customers, start_number, prefix)
+
+
+def place(checked: DataFrame, request_columns: list[str], customers: DataFrame, start_number: int = 1,
+          prefix: str = ORDER_NUMBER_PREFIX) -> Placed:
+    """`create_orders` from requests checked before, which the caller may have persisted."""
     valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    rejected = checked.filter(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason")
+    rejected = checked.filter(F.col("reject_reason").isNotNull()).select(*request_columns, "reject_reason")
     return Placed(price_orders(valid), valid, rejected, customers, start_number, prefix)

@@ -19,6 +19,7 @@ TODAY = "1998-06-15"
 WEEK_END = "1998-06-22"
 RANGE_START = "1998-05-17"
 CANCELLED = "P"
+NATION = 7
 
 
 class Tables:

@@ -145,6 +145,10 @@ ORACLE["active_catalog"] = with_views("ingredients", "recipe_lines") + """
 select l.recipe_id, l.ingredient_id, i.name ingredient_name, l.display_order
 from recipe_lines l left join ingredients i on i.id = l.ingredient_id where i.is_active"""
 
+ORACLE["recipe_catalog"] = with_views("recipes", "sizes", "product_types") + """
+select r.id, r.name, t.name product_type_name, s.name size_name, cast(r.base_selling_price as double) base_selling_price
+from recipes r left join product_types t on t.id = r.product_type_id left join sizes s on s.id = r.size_id where r.is_active"""
+
 MENU = """menu_lines as (
   select l.recipe_id, l.ingredient_id, l.display_order, l.is_customer_optional, i.is_customer_removable,
          l.pricing_rule, l.is_addon, i.is_allergen, l.pricing_rule <> 'extra_cost_addon' default_included
@@ -279,12 +283,12 @@ select id, name, phone, total_orders, cast(total_spent as double) total_spent, l
 
 ORACLE["customer_history"] = _FACTS + """
 select customer_id, id, created_at, status, cast(selling_price as double) selling_price, type_name, size_name
-from facts where customer_id in (select id from customers)"""
+from facts where customer_id in (select c_custkey from customer where c_nationkey = 7)"""
 
-ORACLE["order_detail"] = with_views("line", "ord") + """
+ORACLE["order_detail"] = with_views("line") + """
 select order_id, ingredient_id, ingredient_name_snapshot, is_included, is_allergen,
   cast(price_delta_applied as double) signed_delta, coalesce(price_delta_applied, 0) <> 0 delta_shown
-from line where order_id in (select id from ord)"""
+from line where order_id in (select o_orderkey from orders join customer on c_custkey = o_custkey where c_nationkey = 7)"""
 
 ORACLE["flag_allergy_notes"] = with_views("line") + """
 select doc_id id, coalesce(regexp_matches(text, '""" + NOTE_PATTERN + """'), false) allergy_note,
@@ -325,8 +329,7 @@ def _sales(cond: str, suffix: str = "") -> str:
 ORACLE["sales_between"] = with_views("ord") + """
 select count(*) order_count, cast(coalesce(sum(coalesce(selling_price, 0)), 0) as double) sales,
   cast(coalesce(sum(coalesce(profit, 0)), 0) as double) profit
-from ord where cast(created_at as date) between date '1996-01-01' and date '1998-06-15'
-  and status is distinct from 'P'"""
+from ord where status is distinct from 'P'"""
 
 ORACLE["trailing_sales"] = with_views("ord") + "select " + ", ".join(
     _sales(f"cast(created_at as date) between date '1998-06-15' - interval {k - 1} day and date '1998-06-15'",
@@ -355,13 +358,17 @@ union all select 'total', null, count(*) from live"""
 # ------------------------------------------------------------ customers (22-25)
 ORACLE["upsert_customers"] = """
 with ex as (select c_custkey id, c_name name, c_custkey::varchar phone,
-    case when c_custkey % 2 = 0 then 'addr ' || c_nationkey::varchar end address from customer),
-inc as (select trim(user_id::varchar) phone, trim(event_type) name,
+    case when c_custkey % 2 = 0 then 'addr ' || c_nationkey::varchar end address, c_nationkey total_orders,
+    cast(c_acctbal as decimal(12,2)) total_spent from customer),
+inc as (select (user_id + case when user_id % 3 = 0 then 10000000 else 0 end)::varchar phone, ts, trim(event_type) name,
     case when event_id % 3 = 0 then props end address, event_id seq from events),
 latest as (select phone, first(name order by seq desc) name,
-    first(address order by seq desc) filter (where address is not null) address from inc group by phone)
+    first(address order by seq desc) filter (where address is not null) address, min(ts) first_seen
+  from inc group by phone)
 select coalesce(ex.phone, latest.phone) phone, coalesce(latest.name, ex.name) name,
-  coalesce(latest.address, ex.address) address, ex.id is null is_new
+  coalesce(latest.address, ex.address) address, case when ex.id is null then first_seen end created_at,
+  case when ex.id is null then 0 else total_orders end total_orders,
+  cast(case when ex.id is null then 0 else total_spent end as double) total_spent, ex.id is null is_new
 from ex full outer join latest on ex.phone = latest.phone"""
 
 ORACLE["customer_totals"] = with_views("customers", "ord") + ", " + TOTALS + """
@@ -391,7 +398,8 @@ STD_PHONE = """case when d like '+%' then d when d like '00%' then '+' || substr
   when d like '0%' then '+964' || substr(d, 2) else '+964' || d end"""
 
 ORACLE["phone_duplicates"] = with_views("customers") + """,
-s1 as (select id, phone, regexp_replace(phone, '[\\s-]', '', 'g') d from customers),
+own as (select id, case when id % 5 = 0 then '+1' || lpad(id::varchar, 10, '0') else phone end phone from customers),
+s1 as (select id, phone, regexp_replace(phone, '[\\s-]', '', 'g') d from own),
 s2 as (select id, phone, """ + STD_PHONE + """ phone_std from s1),
 s3 as (select *, count(*) over (partition by phone_std) n_customers from s2)
 select phone_std, id, phone, n_customers from s3 where n_customers > 1"""
@@ -448,6 +456,14 @@ select user_id,
 from j
 where case when reset_op = 'delete' then false when reset_op = 'insert' then true else in_base is not null end"""
 
+ORACLE["new_line_defaults"] = with_views("recipe_lines") + """,
+added as (select cast(floor(p_partkey / 8) as bigint) + 1 recipe_id, p_partkey ingredient_id, p_size from part)
+select a.recipe_id, a.ingredient_id, false is_customer_optional, 'included_fixed' pricing_rule,
+  cast(case when p_size % 4 = 0 then p_size else 0 end as double) price_delta, false is_addon,
+  cast((select count(*) from recipe_lines l where l.recipe_id = a.recipe_id)
+    + row_number() over (partition by a.recipe_id order by a.ingredient_id) as int) display_order
+from added a"""
+
 ORACLE["cascade_delete"] = """
 select l_orderkey, l_linenumber, l_partkey from lineitem l
 where not exists (select 1 from orders o where o.o_orderstatus = 'P' and o.o_orderkey = l.l_orderkey)"""
@@ -513,6 +529,8 @@ select n.order_id id, """ + _NUMBER + """ order_number, c.id customer_id, n.reci
   n.created_at, n.created_at updated_at
 from n left join customers c on c.phone = trim(n.customer_phone)"""
 
+ORACLE["stream_create_orders"] = ORACLE["stored_orders"]
+
 # The data model's rules: not null, unique, references, allowed values.
 _RULE_COLUMNS = {
     "product_types": "id name display_order is_active",

@@ -20,6 +20,14 @@ def q_active_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("recipe_id", "ingredient_id", "ingredient_name", "display_order")
 
 
+@register("recipe_catalog")
+def q_recipe_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3: the active recipes with their type and size names."""
+    t = _t(spark, sf_dir)
+    out = C.recipe_catalog(b.recipes(t), b.product_types(t), b.sizes(t), is_admin=False)
+    return money_out(out.select("id", "name", "product_type_name", "size_name", "base_selling_price"))
+
+
 @register("recipe_menu")
 def q_recipe_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)

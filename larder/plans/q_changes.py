@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.money import to_money
 from larder.operators import changes as CH
 from larder.plans import bindings as b
-from larder.plans.registry import _t, register
+from larder.plans.registry import _t, money_out, register
 
 
 def change_feed(events: DataFrame) -> DataFrame:
@@ -34,6 +35,18 @@ def q_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CH.apply_changes(base, change_feed(t.events), "user_id", ["name", "value", "props"])
 
 
+@register("new_line_defaults")
+def q_new_line_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 34's editor defaults: every part added to the recipe after its own, some with a delta of their own."""
+    t = _t(spark, sf_dir)
+    p = t.part
+    added = p.select((F.floor(F.col("p_partkey") / 8) + 1).cast("long").alias("recipe_id"),
+                     F.col("p_partkey").alias("ingredient_id"), F.col("p_partkey").alias("seq"),
+                     F.when(F.col("p_size") % 4 == 0, to_money("p_size")).alias("price_delta"))
+    return money_out(CH.new_line_defaults(b.recipe_lines(t), added).select(
+        "recipe_id", "ingredient_id", "is_customer_optional", "pricing_rule", "price_delta", "is_addon", "display_order"))
+
+
 @register("cascade_delete")
 def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleting the 'P' orders cascades to their lines."""

@@ -14,22 +14,24 @@ from larder.plans.registry import _t, money_out, register
 
 @register("upsert_customers")
 def q_upsert_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts from the event log (user = phone, event type = name, props =
-    address on every third event) merged into the customer table."""
+    """Contacts from the event log (user = phone, a third of them unknown so far;
+    event type = name, props = address on every third event) merged into the customer table."""
     t = _t(spark, sf_dir)
     existing = t.customer.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
         F.col("c_custkey").cast("string").alias("phone"),
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("addr "), F.col("c_nationkey").cast("string")))
-         .alias("address"))
+         .alias("address"), F.lit(None).cast(t.events.schema["ts"].dataType).alias("created_at"),
+        F.col("c_nationkey").alias("total_orders"), to_money("c_acctbal").alias("total_spent"))
+    phone = F.col("user_id") + F.when(F.col("user_id") % 3 == 0, F.lit(10_000_000)).otherwise(F.lit(0))
     contacts = t.events.select(
-        F.col("user_id").cast("string").alias("customer_phone"), F.col("event_type").alias("customer_name"),
+        phone.cast("string").alias("customer_phone"), F.col("event_type").alias("customer_name"),
         F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("customer_address"),
         F.col("event_id").alias("seq"), F.col("ts").alias("created_at"))
     out = CU.upsert_customers(existing, contacts)
     known = existing.select(F.col("id").alias("_known"))
-    return out.join(known, out.id == known._known, "left") \
-        .select("phone", "name", "address", F.col("_known").isNull().alias("is_new"))
+    return money_out(out.join(known, out.id == known._known, "left").select(
+        "phone", "name", "address", "created_at", "total_orders", "total_spent", F.col("_known").isNull().alias("is_new")))
 
 
 @register("customer_totals")
@@ -57,8 +59,10 @@ def q_customer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("phone_duplicates")
 def q_phone_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 25; every fifth customer has a phone of its own, the others share theirs."""
     t = _t(spark, sf_dir)
-    return CU.phone_duplicates(b.customers(t))
+    own = F.concat(F.lit("+1"), F.lpad(F.col("id").cast("string"), 10, "0"))
+    return CU.phone_duplicates(b.customers(t).withColumn("phone", F.when(F.col("id") % 5 == 0, own).otherwise(F.col("phone"))))
 
 
 @register("integrity_audit")

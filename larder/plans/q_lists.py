@@ -18,6 +18,11 @@ def facts(t: b.Tables) -> DataFrame:
     return L.order_facts(b.orders(t), b.customers(t), b.product_types(t), b.order_sizes(t))
 
 
+def _of_nation(t: b.Tables) -> DataFrame:
+    """The customers that the histories are asked for."""
+    return t.customer.filter(F.col("c_nationkey") == b.NATION)
+
+
 @register("order_facts")
 def q_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
@@ -60,16 +65,19 @@ def q_customer_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("customer_history")
 def q_customer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 19 for the customers of one nation."""
     t = _t(spark, sf_dir)
-    hist = L.customer_history(facts(t), b.customers(t).select("id"))
+    hist = L.customer_history(facts(t), _of_nation(t).select(F.col("c_custkey").alias("id")))
     return money_out(hist.select("customer_id", "id", "created_at", "status", "selling_price", "type_name",
                                  "size_name"))
 
 
 @register("order_detail")
 def q_order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 20 for the orders of one nation's customers."""
     t = _t(spark, sf_dir)
-    return money_out(L.order_detail(b.order_lines(t), b.orders(t).select("id")))
+    asked = t.orders.join(_of_nation(t), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"))
+    return money_out(L.order_detail(b.order_lines(t), asked))
 
 
 @register("flag_allergy_notes")

@@ -1,4 +1,4 @@
-"""Registered streaming queries (ops 36-39).
+"""Registered streaming queries (ops 36-39, and order placement).
 
 Each stages its binding's rows as Parquet files in the shared scratch folder
 (under `spark.checkpoint.dir`), runs the stream over them in several
@@ -21,8 +21,8 @@ from larder.plans.q_orders import recipe_dim
 from larder.plans.registry import _t, money_out, register
 from larder.session import scratch_path
 from larder.sources.sinks import latest_rows, write_batch
-from larder.streaming import (needs_between, stream_customer_ledger, stream_daily_sales, stream_ingredient_needs,
-                              stream_price_orders)
+from larder.streaming import (needs_between, stream_create_orders, stream_customer_ledger, stream_daily_sales,
+                              stream_ingredient_needs, stream_price_orders)
 
 
 #: Micro-batches that each query's input arrives in.
@@ -44,9 +44,13 @@ def _arrive(df: DataFrame, by: Column, name: str, start: Callable[[DataFrame], S
     shares = [k / BATCHES for k in range(1, BATCHES)]
     cuts = df.agg(F.percentile_approx(by, shares).alias("cuts")).first()["cuts"] or []
     part = sum((F.coalesce(by > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
-    for k in range(BATCHES):
-        df.where(part == k).write.mode("append").parquet(path)
-        start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
+    parts = df.withColumn("_part", part).persist()
+    try:
+        for k in range(BATCHES):
+            parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
+            start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
+    finally:
+        parts.unpersist()
 
 
 @register("stream_price_orders")
@@ -66,6 +70,21 @@ def q_stream_price_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "needs_price_confirmation"))
 
 
+@register("stream_create_orders")
+def q_stream_create_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order placement over the requests, arriving in time order: the orders as stored."""
+    t = _t(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "stream-placed"), scratch_path(spark, "stream-ckpt")
+    customers, sizes = b.customers(t), b.sizes(t)
+    dim = recipe_dim(t).persist()
+    try:
+        _arrive(b.noted_requests(t), F.unix_micros(F.col("created_at").cast("timestamp")), "stream-place-in", lambda stream:
+                stream_create_orders(stream, sizes, dim, customers, out, ckpt, available_now=True))
+    finally:
+        dim.unpersist()
+    return money_out(spark.read.parquet(f"{out}/orders").drop("batch_id"))
+
+
 def _line_events(t: b.Tables) -> DataFrame:
     """Order lines with their order's pickup day; a 'P' order's lines arrive a
     second time with negated quantity (its cancellation)."""

@@ -1,5 +1,7 @@
 from larder.streaming.orders import (
+    place_order_batch,
     process_order_batch,
+    stream_create_orders,
     stream_daily_sales,
     stream_ingredient_needs,
     stream_price_orders,
@@ -8,6 +10,6 @@ from larder.streaming.orders import (
 from larder.streaming.ledger import stream_customer_ledger
 
 __all__ = [
-    "process_order_batch", "stream_price_orders", "stream_ingredient_needs", "needs_between",
+    "process_order_batch", "place_order_batch", "stream_price_orders", "stream_create_orders", "stream_ingredient_needs", "needs_between",
     "stream_daily_sales", "stream_customer_ledger",
 ]

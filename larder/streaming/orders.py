@@ -1,4 +1,4 @@
-"""Ops 36-38: Structured Streaming forms of order pricing and two reports.
+"""Ops 36-38: Structured Streaming forms of order pricing, order placement and two reports.
 
 The semantics are those of the batch operators; the streaming part is only
 the state and the sink.
@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.orders import check_orders, order_lines, price_orders
-from larder.schemas import CANCELLED
-from larder.sources.sinks import write_batch
+from larder.operators.placement import place
+from larder.schemas import CANCELLED, ORDER_NUMBER_PREFIX
+from larder.sources.sinks import latest_rows, write_batch
 
 
 def process_order_batch(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, out_path: str,
@@ -53,6 +54,56 @@ def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim
     return writer.start()
 
 
+def place_order_batch(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, customers: DataFrame,
+                      out_path: str, batch_id: int, start_number: int = 1, prefix: str = ORDER_NUMBER_PREFIX) -> None:
+    """`create_orders` on one micro-batch. Orders as stored, lines, rejects, the
+    customers it touched and the next order number go under `batch_id=N`.
+
+    Numbers and customers go on from what earlier batches wrote, and from these
+    alone, so a retried batch reads the same state and replaces its own output.
+    """
+    spark, known, start = requests.sparkSession, customers, start_number
+    if batch_id > 0:
+        earlier = F.col("batch_id") < batch_id
+        last = spark.read.parquet(f"{out_path}/sequence").where(earlier).agg(F.max("next_number")).first()[0]
+        start = start_number if last is None else last
+        changed = latest_rows(spark.read.parquet(f"{out_path}/customers").where(earlier), ["phone"])
+        known = (customers.join(changed.select("phone"), "phone", "left_anti").select(*customers.columns)
+                 .unionByName(changed.select(*customers.columns)))
+    checked = check_orders(requests, sizes, recipe_dim).persist()
+    try:
+        phones = checked.filter(F.col("reject_reason").isNull()).select(F.col("customer_phone").alias("phone")).distinct()
+        mine = known.join(phones, "phone", "left_semi").select(*customers.columns)
+        placed = place(checked, requests.columns, mine, start, prefix)
+        write_batch(placed.stored, f"{out_path}/orders", batch_id)
+        write_batch(placed.lines, f"{out_path}/order_lines", batch_id)
+        write_batch(placed.customers.select(*customers.columns), f"{out_path}/customers", batch_id)
+        write_batch(placed.rejected, f"{out_path}/rejected", batch_id)
+        write_batch(spark.range(1).select(F.lit(placed.next_number).cast("long").alias("next_number")),
+                    f"{out_path}/sequence", batch_id)
+    finally:
+        checked.unpersist()
+
+
+def stream_create_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, customers: DataFrame,
+                         out_path: str, checkpoint_location: str, start_number: int = 1,
+                         available_now: bool = False) -> StreamingQuery:
+    """Order placement on a stream: the batch code on every micro-batch, with
+    numbers and customers going on across batches.
+
+    `customers` is the table as it stood before the stream; a customer's row
+    since is the last one under `out_path/customers` (`latest_rows` by phone).
+    Orders are numbered in creation order within a micro-batch, and batches in
+    the order they arrive. Of a customer's contacts the last batch's count.
+    """
+    writer = (requests_stream.writeStream
+              .foreachBatch(lambda df, bid: place_order_batch(df, sizes, recipe_dim, customers, out_path, bid, start_number))
+              .option("checkpointLocation", checkpoint_location))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def stream_ingredient_needs(lines_stream: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Op 37: included quantity per (pickup date, ingredient, snapshot name,
     current unit), kept as streaming state; run it in `update` (or

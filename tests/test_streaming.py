@@ -10,7 +10,7 @@ from larder.operators import customers as CU
 from larder.operators import orders as O
 from larder.operators import reports as R
 from larder.streaming import (needs_between, stream_customer_ledger, stream_daily_sales,
-                              stream_ingredient_needs, stream_price_orders)
+                              stream_ingredient_needs, stream_price_orders, stream_create_orders)
 from tests.seed import REQUEST_SCHEMA, request
 
 
@@ -44,6 +44,41 @@ def _memory(sdf, name, mode):
     return sdf.sparkSession.table(name)
 
 
+def test_stream_create_orders_numbers_on_and_keeps_customers(spark, kitchen, tmp_path):
+    """Two runs of a stream over three micro-batches: numbers go on, customers' totals are the batch's, a retry changes nothing."""
+    from larder.operators.placement import create_orders
+    from larder.sources.sinks import latest_rows
+    from larder.streaming import place_order_batch
+    k = kitchen
+    reqs = spark.createDataFrame(
+        [request(f"q{i}", i, t, s, ex, xt) for i, (t, s, ex, xt) in enumerate(
+            [("t1", "s1", ["i7"], []), ("t2", "s1", [], ["i14"]), ("t1", "s3", [], []), ("t2", "s2", ["i1"], None),
+             ("t3", "s2", ["i2", "i3"], []), ("t2", "s1", None, ["i14", "i14"]), ("t2", "s1", [], [])])], REQUEST_SCHEMA)
+    dim = O.recipe_dimension(k.recipes, k.lines, k.ingredients)
+    customers = spark.createDataFrame([], "id string, name string, phone string, address string, total_orders int, "
+                                          "total_spent decimal(12,2), last_order_at timestamp_ntz")
+    src, out = _split_write(reqs, str(tmp_path / "in"), 3), str(tmp_path / "out")
+    stream = spark.readStream.schema(reqs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream_create_orders(stream, k.sizes, dim, customers, out, str(tmp_path / "ckpt"), start_number=9998,
+                         available_now=True).awaitTermination()
+    batch = create_orders(reqs, k.sizes, dim, customers, start_number=9998)
+
+    def placed():
+        return sorted((r["id"], r["order_number"], r["customer_id"], r["selling_price"], r["batch_id"])
+                      for r in spark.read.parquet(f"{out}/orders").collect())
+
+    got = placed()
+    assert [x[:4] for x in got] == sorted((r["id"], r["order_number"], r["customer_id"], r["selling_price"]) for r in batch.stored.collect())
+    assert len({x[4] for x in got}) > 1
+    names = customers.columns
+    assert latest_rows(spark.read.parquet(f"{out}/customers"), ["phone"]).select(*names).exceptAll(batch.customers.select(*names)).count() == 0
+    last = max(x[4] for x in got)
+    again = spark.read.schema(reqs.schema).parquet(f"{src}/p{last}.parquet")
+    place_order_batch(again, k.sizes, dim, customers, out, last, start_number=9998)
+    assert placed() == got
+    assert spark.read.parquet(f"{out}/rejected").count() == batch.rejected.count()
+
+
 def test_stream_price_orders_equals_batch(spark, kitchen, tmp_path):
     k = kitchen
     reqs = spark.createDataFrame(
