@@ -292,8 +292,9 @@ def _logistic(rows: list[tuple[int, list[int]]], n1: int, n: int, names: list[st
     """L2 logistic weights over a cover of features.
 
     The cover is picked greedily: the feature that tells most of the label-1
-    texts told by fewer than COVER features so far, until none tells three. So
-    words that merely come along in many near copies of one text get no weight.
+    texts told by fewer than COVER features so far, until none tells three. One
+    that is too imprecise is passed over. So words that merely come along in
+    many near copies of one text get no weight.
     """
     docs_of: list[list[int]] = [[] for _ in names]
     label = np.array([y for y, _ in rows] or [0])
@@ -308,8 +309,9 @@ def _logistic(rows: list[tuple[int, list[int]]], n1: int, n: int, names: list[st
         left = np.array([int((told[d] < COVER).sum()) for d in own])
         left[chosen] = 0
         gain = left * np.log((left + 0.5) / (left + bad + 1) / rate)
+        gain[(left < 3) | (left < 2 * bad) | (gain < 5)] = -np.inf
         k = int(np.argmax(gain)) if len(gain) else -1
-        if k < 0 or left[k] < 3 or left[k] < 2 * bad[k] or gain[k] < 5:
+        if k < 0 or gain[k] == -np.inf:
             break
         chosen.append(k)
         told[own[k]] += 1

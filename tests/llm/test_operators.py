@@ -98,6 +98,13 @@ def test_toxicity_learns_and_handles_odd_rows(spark, odd):
     assert toxicity.toxicity_scores(odd.limit(0), scorer).count() == 0
 
 
+def test_a_common_imprecise_word_does_not_end_the_fit():
+    """1.5% label 1; 'half' stands in all of these and in as many others, each rare word in a few of them alone."""
+    rows = [(1, [0, 1 + k % 3]) for k in range(30)] + [(0, [0])] * 30
+    weight, _ = toxicity._logistic(rows, 30, 2000, ["half", "bad0", "bad1", "bad2"])
+    assert set(weight) == {"bad0", "bad1", "bad2"}
+
+
 # ---- op 3
 def test_substrings_equal_brute_force(spark, odd):
     passage = prose(77, 63)
