@@ -3,7 +3,8 @@
 A character trigram model is counted over all documents. A token that may be
 disguised (leetspeak, a letter drawn out, letters spaced or dotted apart)
 becomes a lattice: at each character the letters it may stand for, each with
-the channel's cost, or nothing where it repeats or only separates. Viterbi
+the channel's cost, nothing where it repeats or only separates, or a word end
+where it parts two words. Viterbi
 finds the likeliest reading under the model. The restored text is scored by a
 logistic model over the words, and the beginnings that many words share, that
 labelled rows show.
@@ -29,10 +30,9 @@ CLASSES = 28
 # Which letters a leet character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SEPARATORS = ".-_*~·'’/,"
 OUTER = ".,;:?\"'’“”„«»()[]{}<>…%&#*=~^`|/\\"
-#: Channel costs in nats: of a leet substitution, a dropped repeat, a dropped separator, a kept non-letter.
-COST_LEET, COST_REPEAT, COST_SEPARATOR, COST_KEEP = 1.0, 0.5, 0.5, 6.0
+#: Channel costs in nats: of a leet substitution, a dropped repeat, a dropped separator, a separator as a word end, a kept non-letter.
+COST_LEET, COST_REPEAT, COST_SEPARATOR, COST_END, COST_KEEP = 1.0, 0.5, 0.5, 0.5, 6.0
 #: Longest token or spaced run decoded as one lattice; a longer one is decoded piece by piece.
 PIECE = 48
 PREFIXES = (4, 5, 6, 7, 8)
@@ -104,8 +104,12 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(0.7 * share(counts) + 0.2 * share(counts.sum(axis=0))[None] + 0.1 * uni[None, None])
 
 
+def _separates(c: str) -> bool:
+    return not c.isalnum() and c not in LEET
+
+
 def _options(token: str, i: int) -> list[tuple[str, float]]:
-    """What the character at i may stand for, '' for nothing, with the channel's costs."""
+    """What the character at i may stand for, '' for nothing, ' ' for a word end, with the channel's costs."""
     c = token[i]
     out: list[tuple[str, float]] = []
     if c.isalpha():
@@ -116,13 +120,15 @@ def _options(token: str, i: int) -> list[tuple[str, float]]:
         out.append((letter, COST_LEET))
     if i and token[i - 1] == c:
         out.append(("", COST_REPEAT))
-    elif c in SEPARATORS or c == " ":
+    elif _separates(c):
         out.append(("", COST_SEPARATOR))
+    if _separates(c):
+        out.append((" ", COST_END))
     return out
 
 
 def decode(token: str, cost: list) -> str:
-    """The likeliest reading of one token (or of letters spaced apart) by Viterbi."""
+    """The likeliest reading of one token (or of letters spaced apart) by Viterbi, its words parted by a space."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for i in range(len(token)):
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -160,7 +166,19 @@ def restore_token(token: str, cost: list) -> str:
     return "".join(decode(core[at:at + PIECE], cost) for at in range(0, len(core), PIECE))
 
 
-def restored_words(text: str | None, cost: list, memo: dict[str, str]) -> set[str]:
+def readings(token: str, cost: list) -> tuple[str, ...]:
+    """The words a folded token may be read as: the lattice's, and what stands between its separators."""
+    found = restore_token(token, cost).split()
+    if not token.isalpha():
+        parts = "".join(" " if _separates(c) else c for c in token).split()
+        if len(parts) > 1:
+            for part in parts:
+                if len(part) > 1 and any(c.isalnum() for c in part):
+                    found += restore_token(part, cost).split()
+    return tuple(dict.fromkeys(found))
+
+
+def restored_words(text: str | None, cost: list, memo: dict[str, tuple[str, ...]]) -> set[str]:
     """The distinct words of the restored text; `memo` keeps the readings met so far."""
     if not text:
         return set()
@@ -173,8 +191,8 @@ def restored_words(text: str | None, cost: list, memo: dict[str, str]) -> set[st
         if r is None:
             if len(memo) >= MEMO:
                 memo.clear()
-            r = memo[w] = restore_token(w, cost)
-        out.add(r)
+            r = memo[w] = readings(w, cost)
+        out.update(r)
     out.update(_spaced(tokens, cost))
     return out
 
@@ -189,7 +207,7 @@ def _spaced(tokens: list[str], cost: list) -> Iterator[str]:
         if len(run) >= 3 and len(set(run)) > 1:
             whole = "".join(run)
             for at in range(0, len(whole), PIECE):
-                yield decode(whole[at:at + PIECE], cost)
+                yield from decode(whole[at:at + PIECE], cost).split()
         run = []
 
 
@@ -259,7 +277,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
              .join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).select("doc_id", "label", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str] = {}
+        memo: dict[str, tuple[str, ...]] = {}
         for b in batches:
             for i, y, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 found = sorted(features(restored_words(text, shared.value, memo)))

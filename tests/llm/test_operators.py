@@ -98,6 +98,23 @@ def test_toxicity_learns_and_handles_odd_rows(spark, odd):
     assert toxicity.toxicity_scores(odd.limit(0), scorer).count() == 0
 
 
+@pytest.fixture(scope="module")
+def cost(spark):
+    """A character model of sf0.001 and of plain prose with the words that are disguised below."""
+    plain = ("you are an idiot and a loser, he is a clown. such a stupid moron! hello to the good people of all the books, "
+             "she called off the meeting too soon and we will see them at school or at home. i was there to look for it. ") * 40
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").union(spark.createDataFrame([(plain,)] * 40, "text string"))
+    return toxicity.log_model(toxicity.char_model(d)).tolist()
+
+
+@pytest.mark.parametrize("seen, said", [
+    ("up,idiot", "up idiot"), ("idiot,loser", "idiot loser"), ("stupid/idiot", "stupid idiot"), ("idiot-loser", "idiot loser"),
+    ("idiot...you", "idiot you"), ("idiot…you", "idiot you"), ("idiot—moron", "idiot moron"), ("clown;loser", "clown loser"),
+    ("i.d.i.o.t", "idiot"), ("mo-ron", "moron"), ("s_t_u_p_i_d", "stupid")])
+def test_separators_part_words_or_letters(cost, seen, said):
+    assert set(said.split()) <= toxicity.restored_words(f"well {seen} then", cost, {})
+
+
 def test_a_common_imprecise_word_does_not_end_the_fit():
     """1.5% label 1; 'half' stands in all of these and in as many others, each rare word in a few of them alone."""
     rows = [(1, [0, 1 + k % 3]) for k in range(30)] + [(0, [0])] * 30
