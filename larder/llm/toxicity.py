@@ -13,6 +13,7 @@ labelled rows show.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +31,15 @@ CLASSES = 28
 # Which letters a leet character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: A number, amount or time, which is no disguise.
+NUMBER = re.compile(r"[-+$€£(#~<>=|]*\d+(?:[.,:/'’–-]\d+)*[)%$€£+!|]*")
 OUTER = ".,;:?\"'’“”„«»()[]{}<>…%&#*=~^`|/\\"
-#: Channel costs in nats: of a leet substitution, a dropped repeat, a dropped separator, a separator as a word end, a kept non-letter.
-COST_LEET, COST_REPEAT, COST_SEPARATOR, COST_END, COST_KEEP = 1.0, 0.5, 0.5, 0.5, 6.0
+# The outer marks that stand for no letter.
+EDGE = "".join(c for c in OUTER if c not in LEET)
+#: Channel costs in nats: of a leet substitution, a dropped repeat in a drawn-out run and in a double, a dropped separator, a separator as a word end, a kept non-letter.
+COST_LEET, COST_REPEAT, COST_DOUBLE, COST_SEPARATOR, COST_END, COST_KEEP = 1.0, 0.5, 2.0, 0.5, 0.5, 6.0
+#: Of a leet character taken as a bracket, bar or mark: dropped, or a word end.
+COST_MARK = 3.0
 #: Longest token or spaced run decoded as one lattice; a longer one is decoded piece by piece.
 PIECE = 48
 PREFIXES = (4, 5, 6, 7, 8)
@@ -119,11 +126,14 @@ def _options(token: str, i: int) -> list[tuple[str, float]]:
     for letter in LEET.get(c, ""):
         out.append((letter, COST_LEET))
     if i and token[i - 1] == c:
-        out.append(("", COST_REPEAT))
+        drawn = c == token[i - 2:i - 1] or c == token[i + 1:i + 2]
+        out.append(("", COST_REPEAT if drawn or _separates(c) else COST_DOUBLE))
     elif _separates(c):
         out.append(("", COST_SEPARATOR))
     if _separates(c):
         out.append((" ", COST_END))
+    elif not c.isalnum():
+        out += [("", COST_MARK), (" ", COST_MARK)]
     return out
 
 
@@ -151,39 +161,67 @@ def _drawn_out(w: str) -> bool:
     return any(w[i] == w[i - 1] == w[i - 2] for i in range(2, len(w)))
 
 
+def _plain(w: str) -> bool:
+    """Nothing to decode: letters without a double, a number, or marks alone."""
+    if w.isalpha():
+        return all(x != y for x, y in zip(w, w[1:]))
+    return not any(c.isalpha() or c in LEET for c in w) or NUMBER.fullmatch(w) is not None
+
+
+def _read(core: str, cost: list) -> str:
+    if _plain(core):
+        return core
+    return "".join(decode(core[at:at + PIECE], cost) for at in range(0, len(core), PIECE))
+
+
 def restore_token(token: str, cost: list) -> str:
-    """A folded token's reading; plain words come back as they are."""
+    """A folded token's reading without the marks at its ends; plain words come back as they are."""
     core = token.strip(OUTER)
     while len(core) > 3 and not core[-1].isalnum() and core[-1] == core[-2]:
         core = core.rstrip(core[-1])
     if core.endswith("!"):
         core = core.rstrip("!")
-    if core.isalpha():
-        if not _drawn_out(core):
-            return core
-    elif not any(ch.isalpha() for ch in core):
-        return core
-    return "".join(decode(core[at:at + PIECE], cost) for at in range(0, len(core), PIECE))
+    return _read(core, cost)
+
 
+class Words(set):
+    """All words a text may be read as; `first` has one reading of each token, of which shares are counted."""
 
-def readings(token: str, cost: list) -> tuple[str, ...]:
-    """The words a folded token may be read as: the lattice's, and what stands between its separators."""
-    found = restore_token(token, cost).split()
+    def __init__(self, first: set[str] = frozenset(), more: set[str] = frozenset()) -> None:
+        super().__init__(first)
+        self.update(more)
+        self.first = first
+
+
+def readings(token: str, cost: list) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The words a folded token may be read as: those of its first reading, and more.
+
+    First comes a word of letters as it is, and else what the lattice gives
+    without the marks at the ends. More are the lattice's reading of a word with
+    doubles, that with the marks that may be letters, and what stands between
+    separators.
+    """
+    core, read = token.strip(OUTER), restore_token(token, cost).split()
+    first, more = ([core], read) if core.isalpha() and not _drawn_out(core) else (read, [])
     if not token.isalpha():
+        whole = token.strip(EDGE)
+        if whole and not (whole[0].isalnum() and whole[-1].isalnum()):
+            more = more + _read(whole, cost).split()
         parts = "".join(" " if _separates(c) else c for c in token).split()
         if len(parts) > 1:
             for part in parts:
                 if len(part) > 1 and any(c.isalnum() for c in part):
-                    found += restore_token(part, cost).split()
-    return tuple(dict.fromkeys(found))
+                    more = more + restore_token(part, cost).split()
+    return tuple(first), tuple(w for w in dict.fromkeys(more) if w not in first)
 
 
-def restored_words(text: str | None, cost: list, memo: dict[str, tuple[str, ...]]) -> set[str]:
+def restored_words(text: str | None, cost: list, memo: dict[str, tuple]) -> Words:
     """The distinct words of the restored text; `memo` keeps the readings met so far."""
     if not text:
-        return set()
+        return Words()
     tokens = fold(text).split()
     out: set[str] = set()
+    others: set[str] = set()
     for w in set(tokens):
         if len(w) == 1:
             continue
@@ -192,9 +230,11 @@ def restored_words(text: str | None, cost: list, memo: dict[str, tuple[str, ...]
             if len(memo) >= MEMO:
                 memo.clear()
             r = memo[w] = readings(w, cost)
-        out.update(r)
+        out.update(r[0])
+        if r[1]:
+            others.update(r[1])
     out.update(_spaced(tokens, cost))
-    return out
+    return Words(out, others)
 
 
 def _spaced(tokens: list[str], cost: list) -> Iterator[str]:
@@ -220,13 +260,13 @@ def count_features(start: str, n: int, of: int) -> list[str]:
     return [f"{start}*{k}" for k in (2, 3) if n >= k] + ([f"{start}*%"] if 100 * n >= of else [])
 
 
-def features(words: set[str]) -> set[str]:
-    """The restored words, and the beginnings that many of them share: a stem under any ending."""
+def features(words: Words) -> set[str]:
+    """The restored words, and the beginnings that many first readings share: a stem under any ending."""
     counts: dict[str, int] = {}
-    for w in words:
+    for w in words.first:
         for start in beginnings(w):
             counts[start] = counts.get(start, 0) + 1
-    return words.union(x for start, n in counts.items() for x in count_features(start, n, len(words)))
+    return words.union(x for start, n in counts.items() for x in count_features(start, n, len(words.first)))
 
 
 @dataclass
@@ -240,10 +280,13 @@ class Scorer:
     def __post_init__(self) -> None:
         self.starts = {x[:x.rindex("*")] for x in self.weight if "*" in x}
 
-    def score(self, words: set[str], known: dict[str, tuple[str, ...]]) -> float:
-        """`known` keeps which weighted words and beginnings a word has."""
+    def score(self, words: Words, known: dict[str, tuple[str, ...]]) -> float:
+        """`known` keeps which weighted beginnings a word has."""
         z, counts = self.bias, {}
         for w in words:
+            if w in self.weight:
+                z += self.weight[w]
+        for w in words.first:
             f = known.get(w)
             if f is None:
                 if len(known) >= MEMO:
@@ -251,10 +294,8 @@ class Scorer:
                 f = known[w] = tuple(x for x in beginnings(w) if x in self.starts)
             for start in f:
                 counts[start] = counts.get(start, 0) + 1
-            if w in self.weight:
-                z += self.weight[w]
         for start, n in counts.items():
-            z += sum(self.weight.get(x, 0.0) for x in count_features(start, n, len(words)))
+            z += sum(self.weight.get(x, 0.0) for x in count_features(start, n, len(words.first)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -277,7 +318,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
              .join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).select("doc_id", "label", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, ...]] = {}
+        memo: dict[str, tuple] = {}
         for b in batches:
             for i, y, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 found = sorted(features(restored_words(text, shared.value, memo)))

@@ -115,6 +115,20 @@ def test_separators_part_words_or_letters(cost, seen, said):
     assert set(said.split()) <= toxicity.restored_words(f"well {seen} then", cost, {})
 
 
+@pytest.mark.parametrize("seen, said", [
+    ("stuupiid", "stupid"), ("idioot", "idiot"), ("iiddiioott", "idiot"), ("mmoorroonn", "moron"), ("10$3!", "lose"), ("(lown", "clown"),
+    ("|oser", "loser"), ("!diot", "idiot"), ("l0$er!", "loser"), ("(idiot)", "idiot"), ("idiot|moron", "idiot moron"),
+    ("stupid$$$", "stupid")])
+def test_disguises_that_pass_for_plain(cost, seen, said):
+    assert set(said.split()) <= toxicity.restored_words(f"well {seen} then", cost, {})
+
+
+def test_plain_words_and_numbers_stay(cost):
+    plain = "hello good books school off 455 $100 1,000.50 12:30 2024-05-01 see"
+    assert set(plain.split()) <= toxicity.restored_words(plain.replace("see", "see!"), cost, {})
+    assert toxicity.restored_words("in 1984 for 455 or $107", cost, {}).isdisjoint(("ass", "lot", "slot"))
+
+
 def test_a_common_imprecise_word_does_not_end_the_fit():
     """1.5% label 1; 'half' stands in all of these and in as many others, each rare word in a few of them alone."""
     rows = [(1, [0, 1 + k % 3]) for k in range(30)] + [(0, [0])] * 30
