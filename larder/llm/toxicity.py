@@ -31,6 +31,7 @@ CLASSES = 28
 # Which letters a leet character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+DOUBLE = re.compile(r"(.)\1")
 #: A number, amount or time, which is no disguise.
 NUMBER = re.compile(r"[-+$€£(#~<>=|]*\d+(?:[.,:/'’–-]\d+)*[)%$€£+!|]*")
 OUTER = ".,;:?\"'’“”„«»()[]{}<>…%&#*=~^`|/\\"
@@ -40,8 +41,14 @@ EDGE = "".join(c for c in OUTER if c not in LEET)
 COST_LEET, COST_REPEAT, COST_DOUBLE, COST_SEPARATOR, COST_END, COST_KEEP = 1.0, 0.5, 2.0, 0.5, 0.5, 6.0
 #: Of a leet character taken as a bracket, bar or mark: dropped, or a word end.
 COST_MARK = 3.0
-#: Longest token or spaced run decoded as one lattice; a longer one is decoded piece by piece.
-PIECE = 48
+#: Between spaced-out characters: a word end at a narrow gap, one reading for each price; a dropped wide gap.
+COSTS_GAP, COST_WIDE = (1.0, 0.0, -1.0, -2.0, -3.0), 4.0
+#: Letters of the longest word looked for within a run of groups.
+LONGEST = 30
+#: Of a gap dropped between two groups of letters.
+COST_JOIN = 1.0
+#: Characters of a run's own lattice for a narrow and a wide gap.
+NARROW, WIDE = " ", "\n"
 PREFIXES = (4, 5, 6, 7, 8)
 #: Bounds of the fit: labelled rows, and features kept of them.
 MAX_LABELLED, MAX_FEATURES = 20_000, 4_000
@@ -115,9 +122,13 @@ def _separates(c: str) -> bool:
     return not c.isalnum() and c not in LEET
 
 
-def _options(token: str, i: int) -> list[tuple[str, float]]:
+def _options(token: str, i: int, gap: float = COSTS_GAP[0]) -> list[tuple[str, float]]:
     """What the character at i may stand for, '' for nothing, ' ' for a word end, with the channel's costs."""
     c = token[i]
+    if c == NARROW:
+        return [("", 0.0), (" ", gap)]
+    if c == WIDE:
+        return [("", COST_WIDE), (" ", 0.0)]
     out: list[tuple[str, float]] = []
     if c.isalpha():
         out.append((c, 0.0))
@@ -137,24 +148,33 @@ def _options(token: str, i: int) -> list[tuple[str, float]]:
     return out
 
 
-def decode(token: str, cost: list) -> str:
-    """The likeliest reading of one token (or of letters spaced apart) by Viterbi, its words parted by a space."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(token: str, cost: list, gap: float = COSTS_GAP[0]) -> str:
+    """The likeliest reading of a token or a spaced-out run by Viterbi, its words parted by a space.
+
+    The state goes on to the end however long the token is; a reading is kept
+    as a chain of what was emitted.
+    """
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i in range(len(token)):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        options = _options(token, i)
-        for (a, b), (so_far, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        options = [(emit, price, _char_class(emit) if emit else 0) for emit, price in _options(token, i, gap)]
+        for (a, b), (so_far, chain) in best.items():
             row = cost[a][b]
-            for emit, price in options:
+            for emit, price, k in options:
                 if emit:
-                    k = _char_class(emit)
-                    state, total, said = (b, k), so_far + price + row[k], text + emit
+                    state, total = (b, k), so_far + price + row[k]
                 else:
-                    state, total, said = (a, b), so_far + price, text
-                if state not in after or total < after[state][0]:
-                    after[state] = (total, said)
+                    state, total = (a, b), so_far + price
+                old = after.get(state)
+                if old is None or total < old[0]:
+                    after[state] = (total, (chain, emit) if emit else chain)
         best = after
-    return min((s + cost[a][b][0], t) for (a, b), (s, t) in best.items())[1]
+    chain = min(((s + cost[a][b][0], c) for (a, b), (s, c) in best.items()), key=lambda x: x[0])[1]
+    said: list[str] = []
+    while chain is not None:
+        chain, emit = chain
+        said.append(emit)
+    return "".join(reversed(said))
 
 
 def _drawn_out(w: str) -> bool:
@@ -164,14 +184,12 @@ def _drawn_out(w: str) -> bool:
 def _plain(w: str) -> bool:
     """Nothing to decode: letters without a double, a number, or marks alone."""
     if w.isalpha():
-        return all(x != y for x, y in zip(w, w[1:]))
+        return not DOUBLE.search(w)
     return not any(c.isalpha() or c in LEET for c in w) or NUMBER.fullmatch(w) is not None
 
 
 def _read(core: str, cost: list) -> str:
-    if _plain(core):
-        return core
-    return "".join(decode(core[at:at + PIECE], cost) for at in range(0, len(core), PIECE))
+    return core if _plain(core) else decode(core, cost)
 
 
 def restore_token(token: str, cost: list) -> str:
@@ -219,7 +237,8 @@ def restored_words(text: str | None, cost: list, memo: dict[str, tuple]) -> Word
     """The distinct words of the restored text; `memo` keeps the readings met so far."""
     if not text:
         return Words()
-    tokens = fold(text).split()
+    text = fold(text)
+    tokens = text.split()
     out: set[str] = set()
     others: set[str] = set()
     for w in set(tokens):
@@ -233,22 +252,95 @@ def restored_words(text: str | None, cost: list, memo: dict[str, tuple]) -> Word
         out.update(r[0])
         if r[1]:
             others.update(r[1])
-    out.update(_spaced(tokens, cost))
+    for first, more in _runs(text, tokens, cost, memo):
+        out.update(first)
+        others.update(more)
     return Words(out, others)
 
 
-def _spaced(tokens: list[str], cost: list) -> Iterator[str]:
-    """Readings of runs of three or more single characters, joined."""
-    run: list[str] = []
-    for w in [*tokens, "  "]:
-        if len(w) == 1 and (w.isalnum() or w in LEET):
-            run.append(w)
+def _single(w: str) -> bool:
+    return len(w) == 1 and (w.isalnum() or w in LEET)
+
+
+def _letter_class(c: str) -> int:
+    """The class of a letter or of the first letter that a leet character stands for, 0 for others."""
+    return _char_class(LEET[c][0]) if c in LEET and c not in "!|+(" else _char_class(c)
+
+
+def _joins(left: str, right: str, cost: list) -> bool:
+    """Whether the model takes the gap between the ends of two groups of letters for a disguise rather than a word end.
+
+    Only the trigrams that see the gap differ, so two characters on each side decide.
+    """
+    a, b = [0, 0, *map(_letter_class, left)][-2:]
+    c, d = [*map(_letter_class, right), 0, 0][:2]
+    if not b or not c:
+        return False
+    parted = cost[a][b][0] + cost[b][0][c] + cost[0][c][d]
+    return cost[a][b][c] + cost[b][c][d] + COST_JOIN < parted
+
+
+def _spaced(run: list[str], gaps: list[str], cost: list) -> list[str]:
+    """Readings of a run's tokens, the likeliest first: with word ends from dear to cheap, and
+    with its first or last character apart, which may be a word beside it. A gap wider than the narrowest
+    is rather a word end.
+    """
+    least = min(map(len, gaps))
+    whole = run[0] + "".join((WIDE if len(g) > least else NARROW) + w for g, w in zip(gaps, run[1:]))
+    out = [decode(whole, cost, gap) for gap in COSTS_GAP]
+    if len(run[0]) == 1:
+        out.append(decode(whole[2:], cost))
+    if len(run[-1]) == 1:
+        out.append(decode(whole[:-2], cost))
+    return out
+
+
+def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple]) -> Iterator[tuple[list[str], list[str]]]:
+    """Words of what is spaced out: the likeliest reading's, which count, and more.
+
+    That is three or more single characters in a row; and groups of letters
+    whose gaps the model takes for no word ends, which give no more than more.
+    """
+    joined: dict[str, bool] = memo.setdefault("", {})  # no token is empty
+    gaps: list[str] = []
+    n, single, group = len(tokens), 0, 0
+    for i in range(n):
+        w = tokens[i]
+        after = tokens[i + 1] if i + 1 < n else ""
+        if len(w) > 1 or not (_single(w) and _single(after)):
+            at, single = single, i + 1
+            run = tokens[at:i + 1]
+            if len(run) >= 3 and len(set(run)) > 1:
+                gaps = gaps or re.findall(r"\s+", text.strip())
+                said = [[x for x in r.split() if len(x) > 1] for r in _spaced(run, gaps[at:i], cost)]
+                yield said[0], [x for r in said[1:] for x in r]
+        key = w[-2:] + " " + after[:2]
+        join = joined.get(key)
+        if join is None:
+            join = joined[key] = _joins(w[-2:], after[:2], cost)
+        if join:
+            continue
+        at, group = group, i + 1
+        if at == i:
             continue
-        if len(run) >= 3 and len(set(run)) > 1:
-            whole = "".join(run)
-            for at in range(0, len(whole), PIECE):
-                yield from decode(whole[at:at + PIECE], cost).split()
-        run = []
+        run = tokens[at:i + 1]
+        shortest = min(map(len, run))
+        if shortest > 1:
+            # Each gap is decided; the whole is read as one token, and so are its parts that may be a word.
+            wholes = {"".join(run)}
+            for k in range(len(run) - 1 if len(run) > 2 else 0):
+                part = run[k]
+                for x in run[k + 1:]:
+                    part += x
+                    if len(part) > LONGEST:
+                        break
+                    wholes.add(part)
+            for whole in wholes:
+                if not whole.isdigit():
+                    yield [], [whole] if _plain(whole) else [x for r in readings(whole, cost) for x in r]
+        elif max(map(len, run)) > 1 and not "".join(run).isdigit():
+            gaps = gaps or re.findall(r"\s+", text.strip())
+            yield [], [x for r in _spaced(run, gaps[at:i], cost) for x in r.split() if len(x) > 1]
 
 
 def beginnings(word: str) -> list[str]:

@@ -123,6 +123,20 @@ def test_disguises_that_pass_for_plain(cost, seen, said):
     assert set(said.split()) <= toxicity.restored_words(f"well {seen} then", cost, {})
 
 
+@pytest.mark.parametrize("seen, said", [
+    ("a s t u p i d", "stupid"), ("i a m a s t u p i d", "stupid"), ("s t u p i d i d i o t", "stupid idiot"), ("s t u p i d  m o r o n", "stupid moron"),
+    ("l 0 s e r", "loser"), ("id iot", "idiot"), ("lo ser", "loser"), ("then. well lo ser", "loser"), ("stu p id", "stupid"), ("i di ot", "idiot"), ("m o r o n", "moron"),
+    ("  ".join(" ".join(w) for w in ["hello", "people", "school"] * 8 + ["stupid", "idiot"] * 3 + ["good", "books"] * 8), "stupid idiot"),
+    (" ".join("you are an idiot and he is a clown such a stupid moron ".replace(" ", "") * 3), "idiot stupid moron")])
+def test_spaced_out_words(cost, seen, said):
+    assert set(said.split()) <= toxicity.restored_words(f"well, {seen}, then", cost, {})
+
+
+def test_long_tokens_are_decoded_whole(cost):
+    assert {"idiot", "moron"} <= toxicity.restored_words("-".join(["idiot", "moron"] * 40), cost, {})
+    assert toxicity.decode("x.y." * 50_000, cost)
+
+
 def test_plain_words_and_numbers_stay(cost):
     plain = "hello good books school off 455 $100 1,000.50 12:30 2024-05-01 see"
     assert set(plain.split()) <= toxicity.restored_words(plain.replace("see", "see!"), cost, {})
