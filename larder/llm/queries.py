@@ -110,3 +110,17 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm import html
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extract(pages, html.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the text that they decode to, as digests."""
+    import public_tokenizers
+
+    from larder.llm import pieces
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return pieces.decode_ids(ids, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
