@@ -11,7 +11,7 @@ whatever its length; merges are only replayed for pairs of tokens not met yet.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import inf
 
@@ -28,7 +28,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 #: Chunks and token pairs that a task remembers.
-MEMO_CHUNKS, MEMO_PAIRS = 300_000, 2_000_000
+MEMO_CHUNKS, MEMO_PAIRS = 500_000, 1_000_000
 #: A character that no piece contains.
 _STRANGE = -1
 
@@ -165,8 +165,20 @@ def _last_merge(symbols: list[int], joins: dict[tuple[int, int], int], made: lis
     return pair
 
 
+class _Memo(dict):
+    """Numbers of chunks; one that is not known yet is learnt."""
+
+    def __init__(self, learn: Callable[[str], int]) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = self.learn(chunk)
+        return k
+
+
 class Encoder:
-    """Encodes texts in one task; remembers chunks and the pairs of tokens that agree."""
+    """Encodes texts in one task; remembers the ids of chunks and the pairs of tokens that agree."""
 
     def __init__(self, model: PieceModel, merges: Merges) -> None:
         import ahocorasick
@@ -186,29 +198,55 @@ class Encoder:
             for a, b in zip(t, t[1:]):
                 self.meet[at[a], at[b]] = True
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks = _Memo(self._learn)
+        self.tokens, self.starts = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64)
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text, the end id last."""
-        out: list[int] = []
-        if text:
-            marked = SPACE + text.replace(" ", SPACE)
-            known = self.chunks
-            for c in self._chunks(marked):
-                ids = known.get(c)
-                if ids is None:
-                    if len(known) >= MEMO_CHUNKS:
-                        known.clear()
-                    ids = known[c] = self._ids(c)
-                out += ids
-        out.append(self.model.end_id)
-        return out
-
-    def _chunks(self, text: str) -> list[str]:
-        """The text cut between characters that meet in no piece, where nothing can merge."""
-        k = self.class_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        cuts = [0, *(np.flatnonzero(~self.meet[k[:-1], k[1:]]) + 1).tolist(), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and end."""
+        if len(self.chunks) >= MEMO_CHUNKS:
+            self._forget()
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        chunks, first = self._chunks(marked)
+        number = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        from_ = self.starts[number]
+        count = self.starts[number + 1] - from_
+        # The end ids stand between the texts: a text's tokens are put behind those of the texts before it.
+        so_far = np.concatenate([[0], np.cumsum(count)])
+        offsets = so_far[first] + np.arange(len(texts) + 1)
+        out = np.full(offsets[-1], self.model.end_id, dtype=np.int32)
+        source = np.arange(so_far[-1]) + np.repeat(from_ - so_far[:-1], count)
+        out[np.arange(so_far[-1]) + np.repeat(np.arange(len(texts)), np.diff(so_far[first]))] = self.tokens[source]
+        return out, offsets
+
+    def _chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The texts cut between characters that meet in no piece, where nothing can merge; and where each text's chunks begin."""
+        whole, ends = "".join(texts), np.cumsum([0, *map(len, texts)])
+        k = self.class_of[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        cut = np.ones(len(whole) + 1, dtype=bool)
+        cut[1:-1] = ~self.meet[k[:-1], k[1:]]
+        cut[ends] = True
+        cuts = np.flatnonzero(cut)
+        at = cuts.tolist()
+        return [whole[a:b] for a, b in zip(at, at[1:])], np.searchsorted(cuts, ends)
+
+    def _learn(self, chunk: str) -> int:
+        """Keeps a chunk's ids in `tokens` from `starts[k]` to `starts[k + 1]`; k is its number."""
+        ids, k = self._ids(chunk), len(self.chunks)
+        if k + 2 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * (k + 2))
+        at = self.starts[k]
+        if at + len(ids) > len(self.tokens):
+            self.tokens = np.resize(self.tokens, 2 * (at + len(ids)))
+        self.tokens[at:at + len(ids)] = ids
+        self.starts[k + 1] = at + len(ids)
+        return k
 
     def last_tokens(self, chunk: str) -> list[int]:
         """The last token of each prefix but the empty one."""
@@ -243,6 +281,21 @@ class Encoder:
         return back[::-1]
 
 
+class _Shared:
+    """A model as it is broadcast; a worker process keeps one encoder, with what it remembers, for all its tasks."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model, self.merges = model, compile_merges(model)
+
+    def __getstate__(self) -> dict:
+        return {"model": self.model, "merges": self.merges}
+
+    def encoder(self) -> Encoder:
+        if not hasattr(self, "_encoder"):
+            self._encoder = Encoder(self.model, self.merges)
+        return self._encoder
+
+
 class Decoder:
     """Texts of ids: pieces side by side, space marks as spaces but the first, bytes read as UTF-8."""
 
@@ -305,14 +358,15 @@ def encode_texts(docs: DataFrame, model: PieceModel, text: str = "text", ids: st
     result. A column called `ids` gives way, others stay whatever their names.
     What is sent to the workers is the model, as large as its vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model, compile_merges(model)))
+    shared = docs.sparkSession.sparkContext.broadcast(_Shared(model))
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
     work = fresh(["llm_text"], keep)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        encoder = Encoder(*shared.value)
-        for b in slices(batches, 256):
-            yield b, [pa.array([encoder.encode(t.as_py()) for t in b.column(work)], pa.list_(pa.int32()))]
+        encoder = shared.value.encoder()
+        for b in slices(batches, 128):
+            values, offsets = encoder.encode_all(b.column(work).to_pylist())
+            yield b, [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))]
 
     given = docs.select(*keep, F.col(text).cast("string").alias(work))
     out, (name,) = append_columns(given, [T.StructField("llm_ids", T.ArrayType(T.IntegerType()))], run)
@@ -331,8 +385,9 @@ def decode_ids(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         decoder = Decoder(shared.value)
-        for b in slices(batches, 256):
-            said = [decoder.decode([i for i in x.as_py() or [] if i is not None]) for x in b.column(work)]
+        for b in slices(batches, 128):
+            lists = b.column(work)
+            said = [decoder.decode(x.values.drop_null().to_numpy().tolist()) if x.is_valid else "" for x in lists]
             yield b, [pa.array(said, pa.string())]
 
     given = rows.select(*keep, F.col(ids).cast("array<int>").alias(work))
