@@ -28,7 +28,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 #: Chunks and token pairs that a task remembers.
-MEMO_CHUNKS, MEMO_PAIRS = 500_000, 1_000_000
+MEMO_CHUNKS, MEMO_PAIRS = 400_000, 500_000
 #: A character that no piece contains.
 _STRANGE = -1
 
@@ -177,6 +177,33 @@ class _Memo(dict):
         return k
 
 
+class _Any(dict):
+    """What may follow the start, or a character that no piece contains: every token."""
+
+    def __missing__(self, token: int) -> bool:
+        return True
+
+
+class _Row(dict):
+    """Whether each token met so far may follow token `a`."""
+
+    __slots__ = ("a", "encoder")
+
+    def __init__(self, a: int, encoder: Encoder) -> None:
+        super().__init__()
+        self.a, self.encoder = a, encoder
+
+    def __missing__(self, token: int) -> bool:
+        e = self.encoder
+        if e.pairs >= MEMO_PAIRS:
+            for row in e.rows:
+                row.clear()
+            e.pairs = 0
+        e.pairs += 1
+        fits = self[token] = e.merges.compatible(self.a, token)
+        return fits
+
+
 class Encoder:
     """Encodes texts in one task; remembers the ids of chunks and the pairs of tokens that agree."""
 
@@ -186,7 +213,7 @@ class Encoder:
         self.length = [1] * len(merges.made)
         self.automaton = ahocorasick.Automaton()
         for t, i in merges.ids.items():
-            self.automaton.add_word(t, i)
+            self.automaton.add_word(t, (i, len(t) - 1))
             self.length[i] = len(t)
         self.automaton.make_automaton()
         chars = sorted({c for t in merges.ids for c in t})
@@ -197,7 +224,8 @@ class Encoder:
         for t in merges.ids:
             for a, b in zip(t, t[1:]):
                 self.meet[at[a], at[b]] = True
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.any, self.rows = _Any(), [_Row(i, self) for i in range(len(merges.made))]
+        self.pairs = 0
         self._forget()
 
     def _forget(self) -> None:
@@ -250,23 +278,11 @@ class Encoder:
 
     def last_tokens(self, chunk: str) -> list[int]:
         """The last token of each prefix but the empty one."""
-        last = [_STRANGE] * len(chunk)
-        length, pairs = self.length, self.pairs
-        done = -1
-        for end, token in self.automaton.iter(chunk):
-            if end == done:
-                continue
-            before = end - length[token]
-            a = last[before] if before >= 0 else _STRANGE
-            if a != _STRANGE:
-                fits = pairs.get((a, token))
-                if fits is None:
-                    if len(pairs) >= MEMO_PAIRS:
-                        pairs.clear()
-                    fits = pairs[a, token] = self.merges.compatible(a, token)
-                if not fits:
-                    continue
-            last[end], done = token, end
+        last, fits = [_STRANGE] * len(chunk), [self.any] * (len(chunk) + 1)
+        rows, done = self.rows, -1
+        for end, (token, before) in self.automaton.iter(chunk):
+            if end != done and fits[end - before][token]:
+                last[end], fits[end + 1], done = token, rows[token], end
         return last
 
     def _ids(self, chunk: str) -> list[int]:

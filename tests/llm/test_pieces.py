@@ -72,7 +72,7 @@ def test_each_prefix_has_its_own_encodings_last_token(model, merges, library):
     for chunk in ("▁internationalisation", "▁▁▁▁return", "▁" * 40, "Donaudampfschifffahrt"):
         for end, token in enumerate(encoder.last_tokens(chunk)):
             assert encoder._ids(chunk[:end + 1])[-1] == token
-    assert len(encoder.pairs) > 50
+    assert encoder.pairs > 50
 
 
 def test_full_memos_change_nothing(model, merges, library, monkeypatch):
