@@ -142,3 +142,50 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
                 + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 ELSE 0 END))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_CRC32 = """list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of an SQL string, with the byte table as `tab`."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}),
+             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT"""
+
+
+# A subtree's nodes are those named by a member of its top and no higher than it.
+ORACLE["op12_prefix_trie"] = f"""
+WITH crc_table AS (SELECT {_CRC32} AS tab),
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc_table
+), r AS (
+  SELECT i.conv_id, 0 AS ord, place, role, text FROM ids i JOIN t ON t.conv_id = i.base WHERE place <= h
+  UNION ALL SELECT conv_id, 1, place, role, text FROM ids JOIN t USING (conv_id) WHERE place > h
+), d AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+         md5(string_agg(length(role) || ':' || role || text, '|') OVER w) AS key FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY ord, place)
+), m AS (
+  SELECT conv_id, depth, chars, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM d
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM d) FROM ids
+), n AS (
+  SELECT depth, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM m GROUP BY depth, key
+), k AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, key)),
+s AS (
+  SELECT m.depth, m.key, sum((o.n_children = 0)::INTEGER) AS n_leaves, sum(o.saved) AS saved_tokens
+  FROM m JOIN o ON o.conv_id = m.conv_id AND o.depth >= m.depth GROUP BY ALL
+)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs::BIGINT AS n_convs,
+       o.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM o JOIN s USING (depth, key) LEFT JOIN o p ON p.depth = o.depth - 1 AND p.key = o.up
+"""

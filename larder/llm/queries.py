@@ -124,3 +124,11 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode_ids(ids, model).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations, each rebuilt on the head of a common one."""
+    from larder.llm import prefix_trie as t
+    turns = t.conversation_turns(table(spark, sf_dir, "conversations"))
+    return t.prefix_trie(*t.shared_heads(turns, every=100, most=6)).drop("enter", "leave")
