@@ -15,7 +15,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,7 @@ CLASSES = 28
 # Which letters a leet character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+TOKEN = re.compile(r"\S+")
 DOUBLE = re.compile(r"(.)\1")
 #: A number, amount or time, which is no disguise.
 NUMBER = re.compile(r"[-+$€£(#~<>=|]*\d+(?:[.,:/'’–-]\d+)*[)%$€£+!|]*")
@@ -246,9 +248,7 @@ def restored_words(text: str | None, cost: list, memo: dict[str, tuple]) -> Word
             continue
         r = memo.get(w)
         if r is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            r = memo[w] = readings(w, cost)
+            r = _remember(w, cost, memo)
         out.update(r[0])
         if r[1]:
             others.update(r[1])
@@ -258,6 +258,13 @@ def restored_words(text: str | None, cost: list, memo: dict[str, tuple]) -> Word
     return Words(out, others)
 
 
+def _remember(token: str, cost: list, memo: dict[str, tuple]) -> tuple:
+    if len(memo) >= MEMO:
+        memo.clear()
+    r = memo[token] = readings(token, cost)
+    return r
+
+
 def _single(w: str) -> bool:
     return len(w) == 1 and (w.isalnum() or w in LEET)
 
@@ -295,13 +302,17 @@ def _spaced(run: list[str], gaps: list[str], cost: list) -> list[str]:
     return out
 
 
-def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple]) -> Iterator[tuple[list[str], list[str]]]:
+def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple],
+          wanted: bytes | None = None) -> Iterator[tuple[list[str], list[str]]]:
     """Words of what is spaced out: the likeliest reading's, which count, and more.
 
     That is three or more single characters in a row; and groups of letters
     whose gaps the model takes for no word ends, which give no more than more.
+    With `wanted`, a byte for each token, only runs and groups that hold a wanted one are read.
     """
     joined: dict[str, bool] = memo.setdefault("", {})  # no token is empty
+    if len(joined) >= MEMO:
+        joined.clear()
     gaps: list[str] = []
     n, single, group = len(tokens), 0, 0
     for i in range(n):
@@ -310,7 +321,7 @@ def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple]) -> I
         if len(w) > 1 or not (_single(w) and _single(after)):
             at, single = single, i + 1
             run = tokens[at:i + 1]
-            if len(run) >= 3 and len(set(run)) > 1:
+            if len(run) >= 3 and len(set(run)) > 1 and (wanted is None or any(wanted[at:i + 1])):
                 gaps = gaps or re.findall(r"\s+", text.strip())
                 said = [[x for x in r.split() if len(x) > 1] for r in _spaced(run, gaps[at:i], cost)]
                 yield said[0], [x for r in said[1:] for x in r]
@@ -321,7 +332,7 @@ def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple]) -> I
         if join:
             continue
         at, group = group, i + 1
-        if at == i:
+        if at == i or wanted is not None and not any(wanted[at:i + 1]):
             continue
         run = tokens[at:i + 1]
         shortest = min(map(len, run))
@@ -361,6 +372,92 @@ def features(words: Words) -> set[str]:
     return words.union(x for start, n in counts.items() for x in count_features(start, n, len(words.first)))
 
 
+def _alike() -> tuple[np.ndarray, np.ndarray]:
+    """What each character is taken as when it stands for a letter, and when leet marks stand for none; 0 is nothing.
+
+    Letters that one leet character may stand for are one, so whatever the
+    lattice reads looks like what it is read from.
+    """
+    as_letter = np.array([c if chr(c).isalnum() else 0 for c in range(0x110000)], dtype=np.uint32)
+    first = {}
+    for letters in LEET.values():
+        for x in letters:
+            first[x] = min(first.get(x, x), first.get(letters[0], letters[0]))
+    for x, y in first.items():
+        as_letter[ord(x)] = ord(y)
+    dropped = as_letter.copy()
+    for c, letters in LEET.items():
+        as_letter[ord(c)] = ord(first[letters[0]])
+        dropped[ord(c)] = as_letter[ord(c)] if c.isalnum() else 0
+    return as_letter, dropped
+
+
+class Sieve:
+    """Where a text may hold one of some strings in any reading; nothing is decoded to find out.
+
+    Text and strings are reduced alike: characters taken as letters, whatever
+    separates left out, repeats made one. A reading substitutes letters that are
+    taken alike and drops separators and repeats, so if it holds a string, the
+    reduced text holds the reduced string. A leet mark may be a letter or
+    nothing: the text is reduced both ways, and where two marks stand so near
+    that one word might take them differently, the place is kept.
+    """
+
+    def __init__(self, strings: set[str]) -> None:
+        import ahocorasick
+        self.as_letter, self.dropped = _alike()
+        self.automaton, self.longest = ahocorasick.Automaton(), 0
+        self.all = False
+        for x in strings:
+            key = self._reduced(_points(x), self.as_letter)[1]
+            self.all |= not key or len(set(x) & LEET.keys() - set("0123456789")) > 0
+            if key:
+                self.automaton.add_word(key, len(key))
+                self.longest = max(self.longest, len(key))
+        self.empty = not len(self.automaton)
+        if not self.empty:
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _reduced(points: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, str]:
+        taken = table[points]
+        at = np.flatnonzero(taken)
+        letters = taken[at]
+        if len(at):
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = letters[1:] != letters[:-1]
+            at, letters = at[new], letters[new]
+        return at, letters.tobytes().decode("utf-32-le", "surrogatepass")
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Spans of a folded text, first and last character, outside of which no reading holds a string."""
+        if self.all:
+            return [(0, len(text))]
+        if self.empty:
+            return []
+        points, out = _points(text), []
+        marks = self.as_letter[points] != self.dropped[points]
+        for table in (self.as_letter, self.dropped) if marks.any() else (self.dropped,):
+            at, reduced = self._reduced(points, table)
+            for end, n in self.automaton.iter(reduced):
+                out.append((int(at[end - n + 1]), int(at[end + 1]) - 1 if end + 1 < len(at) else len(text)))
+        where = np.flatnonzero(marks)
+        if len(where) > 1:
+            at, _ = self._reduced(points, self.as_letter)
+            # Equal marks side by side are one; the rest is measured in letters.
+            where = where[np.concatenate([[True], (np.diff(where) > 1) | (points[where[1:]] != points[where[:-1]])])]
+            place = np.searchsorted(at, where, side="right") - 1
+            near = np.diff(place) <= self.longest + 1
+            for k in np.flatnonzero(near):
+                low, high = max(0, place[k] - self.longest), min(len(at) - 1, place[k + 1] + self.longest + 1)
+                out.append((int(at[low]), int(at[high]) if high < len(at) - 1 else len(text)))
+        return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 @dataclass
 class Scorer:
     """What a fit leaves: the character model and the weight of each feature."""
@@ -372,12 +469,15 @@ class Scorer:
     def __post_init__(self) -> None:
         self.starts = {x[:x.rindex("*")] for x in self.weight if "*" in x}
 
-    def score(self, words: Words, known: dict[str, tuple[str, ...]]) -> float:
-        """`known` keeps which weighted beginnings a word has."""
-        z, counts = self.bias, {}
+    def sieve(self) -> Sieve:
+        return Sieve({x for x in self.weight if "*" not in x} | self.starts)
+
+    def score(self, words: Words, known: dict[str, tuple[str, ...]], common: Callable[[int], bool] | None = None) -> float:
+        """`known` keeps which weighted beginnings a word has; `common` says if n first readings are one in a hundred."""
+        found, counts = [self.bias], {}
         for w in words:
             if w in self.weight:
-                z += self.weight[w]
+                found.append(self.weight[w])
         for w in words.first:
             f = known.get(w)
             if f is None:
@@ -387,8 +487,44 @@ class Scorer:
             for start in f:
                 counts[start] = counts.get(start, 0) + 1
         for start, n in counts.items():
-            z += sum(self.weight.get(x, 0.0) for x in count_features(start, n, len(words.first)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            found += [self.weight[x] for x in count_features(start, n, 0) if x in self.weight and (x[-1] != "%" or (
+                common(n) if common else 100 * n >= len(words.first)))]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, math.fsum(found)))))
+
+    def score_text(self, text: str | None, sieve: Sieve, memo: dict[str, tuple], known: dict[str, tuple[str, ...]]) -> float:
+        """The score of `restored_words(text)`, but only what the sieve finds is decoded."""
+        folded = fold(text) if text else ""
+        spans = sieve.places(folded)
+        if not spans:
+            return self.score(Words(), known)
+        tokens, starts = folded.split(), [m.start() for m in TOKEN.finditer(folded)]
+        wanted = bytearray(len(tokens))
+        for first, last in spans:
+            a, b = max(0, bisect_right(starts, first) - 1), bisect_right(starts, last)
+            wanted[a:b] = b"\1" * (b - a)
+        out, others = set(), set()
+        for w in {tokens[k] for k in range(len(tokens)) if wanted[k]}:
+            if len(w) > 1:
+                r = memo.get(w) or _remember(w, self.cost, memo)
+                out.update(r[0])
+                others.update(r[1])
+        for first, more in _runs(folded, tokens, self.cost, memo, wanted):
+            out.update(first)
+            others.update(more)
+        least = total = None
+
+        def common(n: int) -> bool:
+            """Plain words are read as themselves, so there are as many first readings at least."""
+            nonlocal least, total
+            if least is None:
+                least = sum(len(w) > 1 and w.isalpha() and _plain(w) for w in set(tokens))
+            if 100 * n < least:
+                return False
+            if total is None:
+                total = len(restored_words(text, self.cost, memo).first)
+            return 100 * n >= total
+
+        return self.score(Words(out, others), known, common)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Scorer:
@@ -505,8 +641,9 @@ def toxicity_scores(docs: DataFrame, scorer: Scorer, score: str = "toxicity") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         s, memo, known = shared.value, {}, {}
+        sieve = s.sieve()
         for b in batches:
-            out = [s.score(restored_words(t.as_py(), s.cost, memo), known) for t in b.column(text)]
+            out = [s.score_text(t.as_py(), sieve, memo, known) for t in b.column(text)]
             yield b, [pa.array(out, pa.float64())]
 
     with_text = docs.select(*columns, F.col("text").cast("string").alias(text))
