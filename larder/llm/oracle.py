@@ -189,3 +189,33 @@ SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_con
        o.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
 FROM o JOIN s USING (depth, key) LEFT JOIN o p ON p.depth = o.depth - 1 AND p.key = o.up
 """
+
+# Near words share what is left when a character goes: at the same place of both, or the shorter word itself.
+ORACLE["op11_spelling_variants"] = f"""
+WITH RECURSIVE crc_table AS (SELECT {_CRC32} AS tab),
+t AS (
+  SELECT doc_id, {_LOWER.replace('text', 'r', 1)} AS r, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL
+), h AS (
+  SELECT r, k, {_crc("coalesce(doc_id::VARCHAR, 'null') || ':' || r")} AS h FROM t, crc_table
+), v AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::INTEGER) || substr(r, (h % length(r))::INTEGER + 2) ELSE r END AS word, sum(k)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2
+), e AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM e a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM e a JOIN v b ON a.rest = b.word
+), f AS (
+  SELECT word, v.n, count(near) AS n_near, first(near ORDER BY m DESC, encode(near)) AS best, max(m) AS m
+  FROM v LEFT JOIN p USING (word) GROUP BY ALL
+), g AS (
+  SELECT word, n, n_near, CASE WHEN m >= 10 * n THEN best END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM f
+), w AS (
+  SELECT word, word AS root, 0 AS d FROM g
+  UNION ALL SELECT w.word, g.form, d + 1 FROM w JOIN g ON g.word = w.root WHERE g.form IS NOT NULL
+)
+SELECT g.word, form, (SELECT first(root ORDER BY d DESC) FROM w WHERE w.word = g.word) AS root, n, n_near, form_n FROM g
+"""

@@ -132,3 +132,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm import prefix_trie as t
     turns = t.conversation_turns(table(spark, sf_dir, "conversations"))
     return t.prefix_trie(*t.shared_heads(turns, every=100, most=6)).drop("enter", "leave")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, usual forms and roots."""
+    from larder.llm import spelling
+    words = spelling.count_words(table(spark, sf_dir, "documents"), drop=31, length=7, least=2)
+    return spelling.group_variants(words, times=10).select("word", "form", "root", "n", "n_near", "form_n")
