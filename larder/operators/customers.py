@@ -85,7 +85,23 @@ def ledger_chunks(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
         F.sum("_da").alias("_a_amt"), F.sum("_dc").alias("_a_cnt"),
         F.min(F.when(F.col("_del"), F.col("_sa"))).alias("_m_amt"),
         F.min(F.when(F.col("_del"), F.col("_sc"))).alias("_m_cnt"),
-        F.max_by("ts", F.when(~F.col("_del"), F.col("_pos"))).alias("_last"))
+        F.max_by("ts", F.when(~F.col("_del"), F.col("_pos"))).alias("_last"),
+        F.max("seq").alias("_seq"))
+
+
+def ledger_summary(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
+    """The chunks of each customer merged to one row: `_s_*` sums, `_min_*` the
+    least running sum over deletes (null without any), last_order_at, last seq."""
+    chunks = ledger_chunks(events, bucket_size)
+    before = Window.partitionBy("customer_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (chunks.withColumn("_off_amt", F.coalesce(F.sum("_a_amt").over(before), F.lit(0)))
+                    .withColumn("_off_cnt", F.coalesce(F.sum("_a_cnt").over(before), F.lit(0))))
+    return chunks.groupBy("customer_id").agg(
+        F.sum("_a_amt").alias("_s_amt"), F.sum("_a_cnt").alias("_s_cnt"),
+        F.min(F.col("_off_amt") + F.col("_m_amt")).alias("_min_amt"),
+        F.min(F.col("_off_cnt") + F.col("_m_cnt")).alias("_min_cnt"),
+        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("last_order_at"),
+        F.max("_seq").alias("_last_seq"))
 
 
 def customer_ledger(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
@@ -103,15 +119,7 @@ def customer_ledger(events: DataFrame, bucket_size: int = 1 << 16) -> DataFrame:
     prefix over deletes), and the per-customer combine runs over one row per
     chunk. A customer with a third of all events is spread over many tasks.
     """
-    chunks = ledger_chunks(events, bucket_size)
-    before = Window.partitionBy("customer_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (chunks.withColumn("_off_amt", F.coalesce(F.sum("_a_amt").over(before), F.lit(0)))
-                    .withColumn("_off_cnt", F.coalesce(F.sum("_a_cnt").over(before), F.lit(0))))
-    per = chunks.groupBy("customer_id").agg(
-        F.sum("_a_amt").alias("_s_amt"), F.sum("_a_cnt").alias("_s_cnt"),
-        F.min(F.col("_off_amt") + F.col("_m_amt")).alias("_min_amt"),
-        F.min(F.col("_off_cnt") + F.col("_m_cnt")).alias("_min_cnt"),
-        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("last_order_at"))
+    per = ledger_summary(events, bucket_size)
 
     def clamp(total: str, low: str) -> Column:
         return F.col(total) - F.least(F.lit(0), F.coalesce(F.col(low), F.lit(0)))

@@ -9,7 +9,8 @@ collects its output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ from larder.plans.q_orders import recipe_dim
 from larder.plans.registry import _t, money_out, register
 from larder.session import scratch_path
 from larder.sources.sinks import latest_rows, write_batch
-from larder.streaming import (needs_between, stream_create_orders, stream_customer_ledger, stream_daily_sales,
-                              stream_ingredient_needs, stream_price_orders)
+from larder.streaming import (needs_between, stream_create_orders, stream_daily_sales, stream_ingredient_needs,
+                              stream_ledger_summaries, stream_price_orders, stream_summary_ledger)
+from larder.streaming.ledger import STATE_STORE, SUMMARY
 
 
 #: Micro-batches that each query's input arrives in.
 BATCHES = 4
+#: Files of a part.
+FILES = 4
 
 
 def _stage(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +57,20 @@ def _arrive(df: DataFrame, by: Column, name: str, start: Callable[[DataFrame], S
         parts.unpersist()
 
 
+def _arrived(df: DataFrame, by: Column, name: str) -> DataFrame:
+    """A stream of the rows of `df` that came in `BATCHES` parts in the order of the number `by`, a micro-batch each."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    cuts = df.agg(F.percentile_approx(by, [k / BATCHES for k in range(1, BATCHES)]).alias("cuts")).first()["cuts"] or []
+    part = sum((F.coalesce(by > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    parts = df.withColumn("_part", part).persist()
+    try:
+        for k in range(BATCHES):  # the file source takes files in the order of their times
+            parts.where(F.col("_part") == k).drop("_part").repartition(FILES).write.mode("append").parquet(path)
+    finally:
+        parts.unpersist()
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
 @register("stream_price_orders")
 def q_stream_price_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 36 over the order requests."""
@@ -111,17 +129,31 @@ def q_stream_ingredient_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return money_out(needs_between(state, b.TODAY, b.WEEK_END))
 
 
+@contextmanager
+def _conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """`key` set for what starts within."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 @register("stream_customer_ledger")
 def q_stream_customer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 39 over the order add/delete log, arriving in seq order; each
-    customer's latest emitted row is its state."""
+    """Op 39 over the order add/delete log, arriving in seq order: each micro-batch reduced to a row per
+    customer, these folded into state; each customer's latest emitted row is its state."""
     t = _t(spark, sf_dir)
     events = ledger_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    out, ckpt = scratch_path(spark, "stream-ledger-out"), scratch_path(spark, "stream-ckpt")
-    _arrive(events, F.col("seq"), "stream-ledger-in", lambda stream:
-            stream_customer_ledger(stream).writeStream.outputMode("update")
-            .foreachBatch(lambda df, bid: write_batch(df, out, bid))
-            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    made, out = scratch_path(spark, "stream-ledger-sums"), scratch_path(spark, "stream-ledger-out")
+    stream = _arrived(events, F.col("seq"), "stream-ledger-in")
+    stream_ledger_summaries(stream, made, scratch_path(spark, "stream-ckpt"), available_now=True).awaitTermination()
+    sums = spark.readStream.schema(SUMMARY).option("maxFilesPerTrigger", FILES).parquet(made)
+    with _conf(spark, *STATE_STORE):
+        (stream_summary_ledger(sums).writeStream.outputMode("update")
+         .foreachBatch(lambda df, bid: write_batch(df, out, bid))
+         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start().awaitTermination())
     latest = latest_rows(spark.read.parquet(out), ["customer_id"])
     return latest.select("customer_id", "total_orders",
                          F.col("total_spent").cast("decimal(12,2)").cast("double").alias("total_spent"),

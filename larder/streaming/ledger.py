@@ -1,9 +1,18 @@
 """Op 39: the customer ledger folded per customer in arrival order.
 
-The one place Python runs: `applyInPandasWithState`, with one small state row
-per customer (count, total in cents, last order time, last seq). Within a
-micro-batch, a customer's events fold in `seq` order; across micro-batches, in
-arrival order, as the kitchen applies them.
+Within a micro-batch a customer's events count in `seq` order; across
+micro-batches, in arrival order, as the kitchen applies them. There are two
+forms, both with one small state row per customer:
+
+- `stream_ledger_summaries` and `stream_summary_ledger`, for any customer and
+  trigger: Spark reduces a micro-batch to one summary row per customer, and
+  `transformWithState` folds only these rows;
+- `stream_customer_ledger`, in one query, for bounded triggers: a customer's
+  raw events of a micro-batch go into one Python call.
+
+A run of events acts on a customer's total x as x -> sum + max(x, floor), where
+sum adds all amounts and floor is minus the least running sum over the deletes
+(which clamp at 0). Two runs after each other act alike, so summaries merge.
 """
 
 from __future__ import annotations
@@ -19,8 +28,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larder.operators.customers import ledger_summary
+from larder.sources.sinks import write_batch
+
 OUTPUT = T.StructType([
     T.StructField("customer_id", T.LongType()),
     T.StructField("total_orders", T.IntegerType()),
@@ -84,3 +97,93 @@ def stream_customer_ledger(events_stream: DataFrame) -> DataFrame:
                                 cents.alias("cents"), "ts")
     return rows.groupBy("customer_id").applyInPandasWithState(
         _fold_customer, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+#: What one micro-batch does to one customer; `floor_*` is null where nothing was deleted.
+SUMMARY = T.StructType([
+    T.StructField("customer_id", T.LongType()),
+    T.StructField("sum_count", T.LongType()),
+    T.StructField("floor_count", T.LongType()),
+    T.StructField("sum_cents", T.LongType()),
+    T.StructField("floor_cents", T.LongType()),
+    T.StructField("last_order_at", T.TimestampType()),
+    T.StructField("as_of_seq", T.LongType()),
+    T.StructField("batch_id", T.LongType()),
+])
+#: transformWithState keeps its state in RocksDB.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def summarise_batch(events: DataFrame, batch_id: int, bucket_size: int = 1 << 16) -> DataFrame:
+    """One `SUMMARY` row per customer of a micro-batch's events (customer_id, seq, kind, amount, ts).
+
+    The chunks are those of op 24, so a customer with any share of the events
+    is spread over tasks and no window or Python call holds all of theirs.
+    """
+    cents = F.coalesce(F.col("amount"), F.lit(0)) * 100
+    rows = events.select("customer_id", "seq", "kind", cents.cast("long").alias("amount"), "ts")
+    s = ledger_summary(rows, bucket_size)
+    made = {"sum_count": "_s_cnt", "floor_count": "_min_cnt", "sum_cents": "_s_amt", "floor_cents": "_min_amt",
+            "as_of_seq": "_last_seq"}
+    return s.select(*[(F.lit(batch_id) if f.name == "batch_id" else -F.col(made[f.name]) if f.name.startswith("floor")
+                       else F.col(made.get(f.name, f.name))).cast(f.dataType).alias(f.name) for f in SUMMARY.fields])
+
+
+def stream_ledger_summaries(events_stream: DataFrame, path: str, checkpoint_location: str,
+                            bucket_size: int = 1 << 16, available_now: bool = False) -> StreamingQuery:
+    """Op 39, first step: each micro-batch's summaries under `path/batch_id=N`.
+
+    A retried micro-batch replaces its own rows, with equal ones.
+    """
+    writer = (events_stream.writeStream
+              .foreachBatch(lambda df, bid: write_batch(summarise_batch(df, bid, bucket_size).drop("batch_id"), path, bid))
+              .option("checkpointLocation", checkpoint_location))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+class _FoldSummaries(StatefulProcessor):
+    """State per customer: count, cents, microseconds of the last order, last seq, last micro-batch folded."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "count long, cents long, last long, as_of long, batch long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        count, cents, last, as_of, batch = self.total.get() or (0, 0, None, None, -1)
+        # One row per micro-batch that the trigger took up.
+        found = sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: r["batch_id"])
+        for r in found:
+            if r["batch_id"] <= batch:  # written again by a retry after it was folded
+                continue
+            batch = int(r["batch_id"])
+            count = _after(count, r["sum_count"], r["floor_count"])
+            cents = _after(cents, r["sum_cents"], r["floor_cents"])
+            last = last if pd.isna(r["last_order_at"]) else r["last_order_at"].value // 1000
+            as_of = int(r["as_of_seq"]) if as_of is None else max(as_of, int(r["as_of_seq"]))
+        self.total.update((count, cents, last, as_of, batch))
+        yield pd.DataFrame({"customer_id": pd.Series([key[0]], dtype="Int64"), "total_orders": [count],
+                            "total_spent": [str(Decimal(cents).scaleb(-2).quantize(Decimal("0.01")))],
+                            "last_order_at": pd.Series([pd.NaT if last is None else pd.Timestamp(last, unit="us")], dtype="datetime64[ns]"),
+                            "as_of_seq": [as_of]})
+
+    def close(self) -> None:
+        pass
+
+
+def _after(x: int, total: int, floor: float | None) -> int:
+    return int(total) + (x if floor is None or pd.isna(floor) else max(x, int(floor)))
+
+
+def stream_summary_ledger(summaries_stream: DataFrame) -> DataFrame:
+    """Op 39, second step: the totals per customer, from a stream of `SUMMARY` rows; run it in `update` mode.
+
+    A call gets one row per micro-batch summarised since the last trigger
+    (bound these with `maxFilesPerTrigger`). Micro-batches fold in the order of
+    their ids and each once, however often its summaries were written. Start
+    the query with `STATE_STORE` set. Output as `stream_customer_ledger`.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return summaries_stream.groupBy("customer_id").transformWithStateInPandas(
+        statefulProcessor=_FoldSummaries(), outputStructType=OUTPUT, outputMode="update", timeMode="None")
