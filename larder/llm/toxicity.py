@@ -56,7 +56,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 MAX_LABELLED, MAX_FEATURES = 20_000, 4_000
 #: Features that should tell each label-1 text.
 COVER = 4
-MEMO = 400_000
+MEMO = 300_000
 
 
 def fold(text: str) -> str:
@@ -150,6 +150,10 @@ def _options(token: str, i: int, gap: float = COSTS_GAP[0]) -> list[tuple[str, f
     return out
 
 
+#: Options with classes by what they depend on: two characters before, the next, and the price of a gap.
+_KNOWN_OPTIONS: dict[tuple[str, str, float], list[tuple[str, float, int]]] = {}
+
+
 def decode(token: str, cost: list, gap: float = COSTS_GAP[0]) -> str:
     """The likeliest reading of a token or a spaced-out run by Viterbi, its words parted by a space.
 
@@ -159,7 +163,12 @@ def decode(token: str, cost: list, gap: float = COSTS_GAP[0]) -> str:
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i in range(len(token)):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        options = [(emit, price, _char_class(emit) if emit else 0) for emit, price in _options(token, i, gap)]
+        around = token[max(0, i - 2):i], token[i:i + 2], gap
+        options = _KNOWN_OPTIONS.get(around)
+        if options is None:
+            if len(_KNOWN_OPTIONS) >= MEMO:
+                _KNOWN_OPTIONS.clear()
+            options = _KNOWN_OPTIONS[around] = [(emit, price, _char_class(emit) if emit else 0) for emit, price in _options(token, i, gap)]
         for (a, b), (so_far, chain) in best.items():
             row = cost[a][b]
             for emit, price, k in options:
@@ -302,6 +311,22 @@ def _spaced(run: list[str], gaps: list[str], cost: list) -> list[str]:
     return out
 
 
+def _linked(left: str, right: str, cost: list, memo: dict[str, tuple]) -> bool:
+    """Whether a run or a group goes on from one token to the next."""
+    return _single(left) and _single(right) or _joined(left, right, cost, memo)
+
+
+def _joined(left: str, right: str, cost: list, memo: dict[str, tuple]) -> bool:
+    known: dict[str, bool] = memo.setdefault("", {})  # no token is empty
+    key = left[-2:] + " " + right[:2]
+    join = known.get(key)
+    if join is None:
+        if len(known) >= MEMO:
+            known.clear()
+        join = known[key] = _joins(left[-2:], right[:2], cost)
+    return join
+
+
 def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple],
           wanted: bytes | None = None) -> Iterator[tuple[list[str], list[str]]]:
     """Words of what is spaced out: the likeliest reading's, which count, and more.
@@ -310,9 +335,6 @@ def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple],
     whose gaps the model takes for no word ends, which give no more than more.
     With `wanted`, a byte for each token, only runs and groups that hold a wanted one are read.
     """
-    joined: dict[str, bool] = memo.setdefault("", {})  # no token is empty
-    if len(joined) >= MEMO:
-        joined.clear()
     gaps: list[str] = []
     n, single, group = len(tokens), 0, 0
     for i in range(n):
@@ -325,11 +347,7 @@ def _runs(text: str, tokens: list[str], cost: list, memo: dict[str, tuple],
                 gaps = gaps or re.findall(r"\s+", text.strip())
                 said = [[x for x in r.split() if len(x) > 1] for r in _spaced(run, gaps[at:i], cost)]
                 yield said[0], [x for r in said[1:] for x in r]
-        key = w[-2:] + " " + after[:2]
-        join = joined.get(key)
-        if join is None:
-            join = joined[key] = _joins(w[-2:], after[:2], cost)
-        if join:
+        if _joined(w, after, cost, memo):
             continue
         at, group = group, i + 1
         if at == i or wanted is not None and not any(wanted[at:i + 1]):
@@ -439,8 +457,17 @@ class Sieve:
         marks = self.as_letter[points] != self.dropped[points]
         for table in (self.as_letter, self.dropped) if marks.any() else (self.dropped,):
             at, reduced = self._reduced(points, table)
-            for end, n in self.automaton.iter(reduced):
-                out.append((int(at[end - n + 1]), int(at[end + 1]) - 1 if end + 1 < len(at) else len(text)))
+            found = [(end - n + 1, end + 1) for end, n in self.automaton.iter(reduced)]
+            if not found:
+                continue
+            # A word begins at the text's start or after what is no letter or digit. Of equal letters any may be the first.
+            plain = self.dropped[points] > 0
+            begins = table[points] > 0
+            begins[1:] &= ~plain[:-1]
+            so_far, at = np.concatenate([[0], np.cumsum(begins)]), np.append(at, len(text) + 1)
+            for first, after in found:
+                if so_far[min(at[first + 1], len(text))] > so_far[at[first]]:
+                    out.append((int(at[first]), int(at[after]) - 1))
         where = np.flatnonzero(marks)
         if len(where) > 1:
             at, _ = self._reduced(points, self.as_letter)
@@ -508,9 +535,21 @@ class Scorer:
                 r = memo.get(w) or _remember(w, self.cost, memo)
                 out.update(r[0])
                 others.update(r[1])
-        for first, more in _runs(folded, tokens, self.cost, memo, wanted):
-            out.update(first)
-            others.update(more)
+        done, n = 0, len(tokens)
+        for k in range(n):
+            if k < done or not wanted[k]:
+                continue
+            low = done = k
+            while low and _linked(tokens[low - 1], tokens[low], self.cost, memo):
+                low -= 1
+            while done < n - 1 and _linked(tokens[done], tokens[done + 1], self.cost, memo):
+                done += 1
+            done += 1
+            if done - low > 1:
+                part = folded[starts[low]:starts[done - 1] + len(tokens[done - 1])]
+                for first, more in _runs(part, tokens[low:done], self.cost, memo, wanted[low:done]):
+                    out.update(first)
+                    others.update(more)
         least = total = None
 
         def common(n: int) -> bool:
