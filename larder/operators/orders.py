@@ -86,8 +86,12 @@ def _line_delta(l: Column, included: Column) -> Column:
 REJECT_REASONS = ("blank_name", "blank_phone", "size_unavailable", "recipe_unavailable", "null_selection")
 
 
+#: The order form's own rule, checked after name and phone where `form` asks for it.
+FORM_REASON = "pickup_missing"
+
+
 def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame,
-                 note_chars: int | None = None) -> DataFrame:
+                 note_chars: int | None = None, form: bool = False) -> DataFrame:
     """Op 9 in one pass: every request with its size and recipe attached and a
     `reject_reason` (NULL when valid; first match wins).
 
@@ -95,7 +99,8 @@ def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame,
     recipe unknown or inactive for (type, size), then an add-on whose inclusion
     is NULL because the extras array is NULL or holds a NULL. The product type's
     own activity is not checked. Notes stay whole (NULL becomes empty) unless
-    the caller states `note_chars`, a length to cut them to.
+    the caller states `note_chars`, a length to cut them to. With `form`, the
+    order form's rule holds too: a pickup day and a time that isn't empty.
     """
     note = F.coalesce(F.col("customer_notes"), F.lit(""))
     s = sizes.select(F.col("id").alias("size_id"), "pricing_mode", F.col("is_active").alias("size_is_active"))
@@ -106,8 +111,10 @@ def check_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame,
     null_selection = F.exists(
         "lines", lambda l: (l["pricing_rule"] == ADDON)
         & _included(l, F.col("excluded_ids"), F.col("extra_ids")).isNull())
+    no_pickup = F.col("pickup_date").isNull() | (F.coalesce(F.col("pickup_time").cast("string"), F.lit("")) == "")
     reason = (F.when(blank("customer_name"), "blank_name")
               .when(blank("customer_phone"), "blank_phone")
+              .when(no_pickup if form else F.lit(False), FORM_REASON)
               .when(~F.coalesce(F.col("size_is_active"), F.lit(False)), "size_unavailable")
               .when(F.col("recipe_id").isNull() | ~F.coalesce(F.col("recipe_is_active"), F.lit(False)),
                     "recipe_unavailable")
@@ -128,6 +135,38 @@ def validate_orders(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame
     return valid, rejected
 
 
+def selection_arrays(requests: DataFrame, menu: DataFrame, ticked: str = "ticked") -> DataFrame:
+    """What a customer ticked on the menu -> the request's `excluded_ids` and `extra_ids`, in menu order.
+
+    `requests` has `recipe_id` and a map `ticked` from ingredient to boolean.
+    Each menu line starts at its default; the map's entry, where there is one,
+    takes its place, a NULL one as not ticked. Left-out lines that are optional
+    and removable are excluded, ticked add-ons are extras; ids that the menu
+    doesn't show are ignored. Without a map the defaults hold; a recipe that
+    the menu lacks has NULL arrays. Row-wise on the recipe's menu array, which
+    the catalog bounds; the menu is joined once.
+    """
+    m = menu.select("recipe_id", F.col("ingredients").alias("_menu_lines"))
+    ids = F.map_keys(F.col(ticked))
+
+    def chosen(l: Column) -> Column:
+        given = F.coalesce(F.array_contains(ids, l["ingredient_id"]), F.lit(False))
+        return F.when(given, F.coalesce(F.try_element_at(F.col(ticked), l["ingredient_id"]), F.lit(False))) \
+            .otherwise(F.coalesce(l["default_included"], F.lit(False)))
+
+    def out(l: Column) -> Column:
+        free = l["is_customer_optional"] & l["is_customer_removable"] & (l["pricing_rule"] != ADDON)
+        return F.coalesce(free, F.lit(False)) & ~chosen(l)
+
+    def extra(l: Column) -> Column:
+        return F.coalesce(l["pricing_rule"] == ADDON, F.lit(False)) & chosen(l)
+
+    j = requests.join(m, "recipe_id", "left")
+    for name, taken in (("excluded_ids", out), ("extra_ids", extra)):
+        j = j.withColumn(name, F.transform(F.filter("_menu_lines", taken), lambda l: l["ingredient_id"]))
+    return j.drop("_menu_lines")
+
+
 def price_orders(valid: DataFrame) -> DataFrame:
     """Op 10: price and cost each order from its recipe row (row-wise).
 

@@ -585,3 +585,78 @@ ORACLE["kitchen_audit"] = with_views("customers", "ingredients", "recipe_lines",
 s1 as (select id, name, regexp_replace(phone, '[\\s-]', '', 'g') d from customers),
 kitchen_customers as (select id, name, """ + STD_PHONE + """ phone, 0 total_orders, 0 total_spent from s1)
 """ + _audit_sql()
+
+
+# Deletes through the key graph: orders and recipes first (their lines go with them), then what only they referred to.
+_DELETES = with_views("customers", "ord", "line", "ingredients", "recipe_lines", "recipes", "sizes", "product_types") + """,
+gone_orders as (select id from ord where status = 'P'),
+gone_recipes as (select id from recipes where id % 3 = 0),
+left_orders as (select * from ord where id not in (select id from gone_orders)),
+left_recipes as (select * from recipes where id not in (select id from gone_recipes)),
+left_lines as (select * from line where order_id not in (select id from gone_orders)),
+left_recipe_lines as (select * from recipe_lines where recipe_id not in (select id from gone_recipes)),
+blocks as (
+  select 'customers' table_name, customer_id id, count(*) n from left_orders group by 2
+  union all select 'sizes', size_id, count(*) from left_recipes group by 2
+  union all select 'product_types', id, sum(n) from (select product_type_id id, count(*) n from left_orders group by 1
+    union all select product_type_id, count(*) from left_recipes group by 1) group by 2
+  union all select 'ingredients', id, sum(n) from (select ingredient_id id, count(*) n from left_lines group by 1
+    union all select ingredient_id, count(*) from left_recipe_lines group by 1) group by 2),
+asked as (
+  select 'customers' table_name, id from customers where id % 5 = 0 union all select 'sizes', id from sizes where id % 2 = 0
+  union all select 'product_types', id from product_types union all select 'ingredients', id from ingredients where not is_active),
+told as (
+  select 'orders' table_name, g.id, 'deleted' outcome, (select count(*) from line l where l.order_id = g.id) n_cascaded, 0 n_blocking
+  from gone_orders g
+  union all select 'recipes', g.id, 'deleted', (select count(*) from recipe_lines l where l.recipe_id = g.id), 0 from gone_recipes g
+  union all select a.table_name, a.id, case when coalesce(n, 0) > 0 then 'blocked' else 'deleted' end, 0, coalesce(n, 0)
+  from asked a left join blocks b on a.table_name = b.table_name and a.id = b.id
+  union all select 'customers', -id - 1, 'missing', 0, 0 from customers where id % 50 = 0)
+"""
+ORACLE["delete_closure"] = _DELETES + """
+select table_name, id::varchar id, outcome, n_cascaded::bigint n_cascaded, n_blocking::bigint n_blocking from told"""
+ORACLE["delete_closure_left"] = _DELETES + """,
+kept as (select id from customers where id not in (select id from told where table_name = 'customers' and outcome = 'deleted'))
+select 'orders' table_name, (select count(*) from left_orders) n_left, null::double total_spent
+union all select 'order_lines', (select count(*) from left_lines), null
+union all select 'recipes', (select count(*) from left_recipes), null
+union all select 'recipe_lines', (select count(*) from left_recipe_lines), null
+union all select 'customers', count(*), (select cast(sum(coalesce(selling_price, 0)) as double) from left_orders
+  where customer_id in (select id from kept)) from kept
+union all select s.t, s.n - (select count(*) from told where table_name = s.t and outcome = 'deleted'), null from (
+  select 'sizes' t, count(*) n from sizes union all select 'product_types', count(*) from product_types
+  union all select 'ingredients', count(*) from ingredients) s"""
+
+ORACLE["edited_numbers"] = """
+with v as (select p_partkey, p_partkey % 16 kind, case p_partkey % 16
+    when 2 then p_size when 3 then (p_size * 1000 + p_partkey % 1000) / 1000.0 when 4 then p_size * 100 when 5 then 0.5 when 6 then p_size
+    when 7 then p_partkey when 8 then 5 when 9 then 15 when 13 then -p_size * 10 else 0 end::double x from part)
+select p_partkey, case when kind not in (10, 11, 14) then x end "value", kind in (10, 11, 14) is_infinite,
+  case when kind = 3 then cast(cast(cast(x as decimal(18,3)) as decimal(12,2)) as double) when kind not in (10, 11, 14) then x end money
+from v"""
+
+ORACLE["form_checks"] = _PRICING + """
+select request_id, case when reject_reason in ('blank_name', 'blank_phone') then reject_reason
+  when pickup_date is null or coalesce(pickup_time, '') = '' then 'pickup_missing' else reject_reason end reject_reason
+from checked"""
+
+ORACLE["selection_arrays"] = with_views("ingredients", "recipe_lines", "recipes", "sizes") + ", " + MENU.replace(
+    "menu_lines as (\n  select l.recipe_id,", "menu_lines as (\n  select l.price_delta, l.recipe_id,") + """,
+bought as (select l_orderkey k, l_partkey id, max(l_returnflag) = 'R' "on" from lineitem group by 1, 2),
+req as (select k, cast(floor(min(id) / 8) as bigint) recipe_id from bought group by k),
+own as (select k, recipe_id * 8 + (k + n) % 8 id, case when k % 6 <> n then k % 2 = n % 2 end "on"
+        from req, (values (0), (3)) x(n)),
+ticks as (select * from own union all select * from bought b where not exists (select 1 from own o where o.k = b.k and o.id = b.id)),
+sel as (select r.k, ml.*, coalesce(ml.is_customer_optional and ml.is_customer_removable and ml.pricing_rule <> 'extra_cost_addon', false) free,
+    case when t.id is not null and r.k % 11 <> 0 then coalesce(t."on", false) else ml.default_included end chosen
+  from req r join menu using (recipe_id) join menu_lines ml using (recipe_id) left join ticks t on t.k = r.k and t.id = ml.ingredient_id),
+arr as (select k, string_agg(ingredient_id::varchar, ',' order by display_order, ingredient_id) filter (free and not chosen) excluded_ids,
+    string_agg(ingredient_id::varchar, ',' order by display_order, ingredient_id) filter (pricing_rule = 'extra_cost_addon' and chosen) extra_ids,
+    sum(case when pricing_rule = 'included_reduce_on_remove' and free and not chosen then -price_delta
+             when pricing_rule = 'extra_cost_addon' and chosen then price_delta else 0 end) adjust
+  from sel group by k)
+select r.k request_id, case when m.recipe_id is not null then coalesce(excluded_ids, '') end excluded_ids,
+  case when m.recipe_id is not null then coalesce(extra_ids, '') end extra_ids,
+  case when m.recipe_id is not null and m.pricing_mode <> 'custom'
+       then cast(cast(coalesce(m.base_selling_price, 0) + coalesce(adjust, 0) as decimal(12,2)) as double) end preview_price
+from req r left join menu m using (recipe_id) left join arr using (k)"""

@@ -92,3 +92,35 @@ def q_order_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every placed order in the shape of the stored table."""
     return money_out(_placed(_t(spark, sf_dir)).stored)
+
+
+def ticked_requests(t: b.Tables) -> DataFrame:
+    """The requests with what was ticked in place of id arrays: their order's parts, by return flag, and two lines
+    of the recipe. Some have no map, a NULL tick or a recipe that the menu lacks."""
+    k = F.col("l_orderkey")
+    parts = t.lineitem.groupBy("l_orderkey", "l_partkey").agg((F.max("l_returnflag") == "R").alias("on"))
+    first = parts.groupBy("l_orderkey").agg(F.floor(F.min("l_partkey") / 8).cast("long").alias("recipe_id"),
+                                            F.collect_list(F.struct("l_partkey", "on")).alias("bought"))
+    own = F.array(*[F.struct((F.col("recipe_id") * 8 + (k + n) % 8).alias("l_partkey"), (F.when(k % 6 != n, k % 2 == n % 2)).alias("on"))
+                    for n in (0, 3)])
+    ids = F.transform("own", lambda x: x["l_partkey"])
+    every = F.concat("own", F.filter("bought", lambda x: ~F.array_contains(ids, x["l_partkey"])))
+    return first.withColumn("own", own).select(
+        k.alias("request_id"), "recipe_id", F.when(k % 11 != 0, F.map_from_entries(every)).alias("ticked"))
+
+
+@register("selection_arrays")
+def q_selection_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's ticks as excluded and extra ids, and the price shown for them."""
+    t = _t(spark, sf_dir)
+    menu = C.recipe_menu(b.recipes(t), b.sizes(t), b.recipe_lines(t), b.ingredients(t))
+    told = O.price_preview(O.selection_arrays(ticked_requests(t), menu), menu)
+    return money_out(told.select("request_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in
+                                                 ("excluded_ids", "extra_ids")], "preview_price"))
+
+
+@register("form_checks")
+def q_form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request with the form's rule and the server's: some have no pickup time."""
+    t = _t(spark, sf_dir)
+    return O.check_orders(b.requests(t), b.sizes(t), recipe_dim(t), form=True).select("request_id", "reject_reason")

@@ -9,12 +9,11 @@ collects its output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from larder.plans import bindings as b
 from larder.plans.q_customers import ledger_events
@@ -41,22 +40,6 @@ def _stage(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // BATCHES)).parquet(path)
 
 
-def _arrive(df: DataFrame, by: Column, name: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """The rows of `df` arrive in `BATCHES` parts in the order of the number `by`;
-    the stream that `start` makes takes up each part when it has come."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    shares = [k / BATCHES for k in range(1, BATCHES)]
-    cuts = df.agg(F.percentile_approx(by, shares).alias("cuts")).first()["cuts"] or []
-    part = sum((F.coalesce(by > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
-    parts = df.withColumn("_part", part).persist()
-    try:
-        for k in range(BATCHES):
-            parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
-            start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
-    finally:
-        parts.unpersist()
-
-
 def _arrived(df: DataFrame, by: Column, name: str) -> DataFrame:
     """A stream of the rows of `df` that came in `BATCHES` parts in the order of the number `by`, a micro-batch each."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
@@ -96,8 +79,8 @@ def q_stream_create_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers, sizes = b.customers(t), b.sizes(t)
     dim = recipe_dim(t).persist()
     try:
-        _arrive(b.noted_requests(t), F.unix_micros(F.col("created_at").cast("timestamp")), "stream-place-in", lambda stream:
-                stream_create_orders(stream, sizes, dim, customers, out, ckpt, available_now=True))
+        stream = _arrived(b.noted_requests(t), F.unix_micros(F.col("created_at").cast("timestamp")), "stream-place-in")
+        stream_create_orders(stream, sizes, dim, customers, out, ckpt, available_now=True).awaitTermination()
     finally:
         dim.unpersist()
     return money_out(spark.read.parquet(f"{out}/orders").drop("batch_id"))
@@ -167,8 +150,8 @@ def q_stream_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     facts = b.orders(t).select("id", "status", "selling_price", "profit", "created_at")
     out, ckpt = scratch_path(spark, "stream-daily-out"), scratch_path(spark, "stream-ckpt")
-    _arrive(facts, F.unix_micros(F.col("created_at").cast("timestamp")), "stream-daily-in", lambda stream:
-            stream_daily_sales(stream, delay="1 day", cancelled=b.CANCELLED).writeStream.outputMode("update")
-            .foreachBatch(lambda df, bid: write_batch(df, out, bid))
-            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    stream = _arrived(facts, F.unix_micros(F.col("created_at").cast("timestamp")), "stream-daily-in")
+    (stream_daily_sales(stream, delay="1 day", cancelled=b.CANCELLED).writeStream.outputMode("update")
+     .foreachBatch(lambda df, bid: write_batch(df, out, bid))
+     .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
     return money_out(latest_rows(spark.read.parquet(out), ["created_date"]))

@@ -7,8 +7,11 @@ the state and the sink.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from larder.operators.orders import check_orders, order_lines, price_orders
 from larder.operators.placement import place
 from larder.schemas import CANCELLED, ORDER_NUMBER_PREFIX
-from larder.sources.sinks import latest_rows, write_batch
+from larder.sources.keyed import KeyedTable
+from larder.sources.sinks import write_batch
 
 
 def process_order_batch(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, out_path: str,
@@ -54,50 +58,82 @@ def stream_price_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim
     return writer.start()
 
 
-def place_order_batch(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, customers: DataFrame,
-                      out_path: str, batch_id: int, start_number: int = 1, prefix: str = ORDER_NUMBER_PREFIX) -> None:
-    """`create_orders` on one micro-batch. Orders as stored, lines, rejects, the
-    customers it touched and the next order number go under `batch_id=N`.
+def _last_number(spark: SparkSession, path: str, batch_id: int, start_number: int) -> int:
+    """The order number after those of earlier batches; the newest two batches are kept, in turn."""
+    if batch_id == 0:
+        return start_number
+    kept = spark.read.schema("batch_id long, next_number long, turn int").parquet(path)
+    last = kept.where(F.col("batch_id") < batch_id).agg(F.max_by("next_number", "batch_id")).first()[0]
+    return start_number if last is None else last
+
 
-    Numbers and customers go on from what earlier batches wrote, and from these
-    alone, so a retried batch reads the same state and replaces its own output.
+def place_order_batch(requests: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, customers: DataFrame,
+                      out_path: str, batch_id: int, start_number: int = 1, prefix: str = ORDER_NUMBER_PREFIX,
+                      buckets: int = 64) -> None:
+    """`create_orders` on one micro-batch. Orders as stored, lines, rejects and
+    the customers it touched go under `batch_id=N`; the customer table as it
+    then stands is kept in buckets of the phone (`customer_table`).
+
+    A batch reads the number its predecessor ended with and the buckets of its
+    own phones, so its work doesn't grow with the batches run. What it reads is
+    what earlier batches wrote and nothing of its own, so a retried batch gives
+    the same and replaces its output. Batch 0 lays `customers` out.
     """
-    spark, known, start = requests.sparkSession, customers, start_number
-    if batch_id > 0:
-        earlier = F.col("batch_id") < batch_id
-        last = spark.read.parquet(f"{out_path}/sequence").where(earlier).agg(F.max("next_number")).first()[0]
-        start = start_number if last is None else last
-        changed = latest_rows(spark.read.parquet(f"{out_path}/customers").where(earlier), ["phone"])
-        known = (customers.join(changed.select("phone"), "phone", "left_anti").select(*customers.columns)
-                 .unionByName(changed.select(*customers.columns)))
+    spark = requests.sparkSession
+    table = KeyedTable(spark, f"{out_path}/customer_table", "phone", customers.schema, buckets)
+    if batch_id == 0:
+        table.create(customers)
+    start = _last_number(spark, f"{out_path}/sequence", batch_id, start_number)
     checked = check_orders(requests, sizes, recipe_dim).persist()
     try:
         phones = checked.filter(F.col("reject_reason").isNull()).select(F.col("customer_phone").alias("phone")).distinct()
+        touched = table.touched(phones)
+        known = table.read(batch_id, touched)
         mine = known.join(phones, "phone", "left_semi").select(*customers.columns)
         placed = place(checked, requests.columns, mine, start, prefix)
-        write_batch(placed.stored, f"{out_path}/orders", batch_id)
-        write_batch(placed.lines, f"{out_path}/order_lines", batch_id)
-        write_batch(placed.customers.select(*customers.columns), f"{out_path}/customers", batch_id)
-        write_batch(placed.rejected, f"{out_path}/rejected", batch_id)
-        write_batch(spark.range(1).select(F.lit(placed.next_number).cast("long").alias("next_number")),
-                    f"{out_path}/sequence", batch_id)
+        write_batch(placed.stored, f"{out_path}/orders", batch_id)  # numbers, and so fixes, the orders
+        changed = placed.customers.select(*customers.columns)
+
+        def keep_customers() -> None:
+            path = f"{out_path}/customers"
+            write_batch(changed, path, batch_id)
+            done = spark.read.schema(customers.schema).parquet(f"{path}/batch_id={batch_id}")
+            table.replace(known.join(phones, "phone", "left_anti").select(*customers.columns).unionByName(done), batch_id, touched)
+
+        def keep_number() -> None:
+            row = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
+                                        F.lit(placed.next_number).cast("long").alias("next_number"))
+            row.write.mode("overwrite").parquet(f"{out_path}/sequence/turn={batch_id % 2}")
+
+        _together(spark, [lambda: write_batch(placed.lines, f"{out_path}/order_lines", batch_id), keep_customers, keep_number,
+                          lambda: write_batch(placed.rejected, f"{out_path}/rejected", batch_id)])
     finally:
         checked.unpersist()
 
 
+def _together(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
+    """Independent jobs at the same time, so that small ones don't wait for each other; the first failure is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
+
+
 def stream_create_orders(requests_stream: DataFrame, sizes: DataFrame, recipe_dim: DataFrame, customers: DataFrame,
                          out_path: str, checkpoint_location: str, start_number: int = 1,
-                         available_now: bool = False) -> StreamingQuery:
+                         available_now: bool = False, buckets: int = 64) -> StreamingQuery:
     """Order placement on a stream: the batch code on every micro-batch, with
     numbers and customers going on across batches.
 
-    `customers` is the table as it stood before the stream; a customer's row
-    since is the last one under `out_path/customers` (`latest_rows` by phone).
-    Orders are numbered in creation order within a micro-batch, and batches in
-    the order they arrive. Of a customer's contacts the last batch's count.
+    `customers` is the table as it stood before the stream; as it stands since,
+    it is kept in `buckets` under `out_path/customer_table`, and what each batch
+    changed under `out_path/customers` (`latest_rows` by phone). Take about as
+    many buckets as give 100 MB each. Orders are numbered in creation order
+    within a micro-batch, and batches in the order they arrive. Of a customer's
+    contacts the last batch's count.
     """
     writer = (requests_stream.writeStream
-              .foreachBatch(lambda df, bid: place_order_batch(df, sizes, recipe_dim, customers, out_path, bid, start_number))
+              .foreachBatch(lambda df, bid: place_order_batch(df, sizes, recipe_dim, customers, out_path, bid, start_number,
+                                                              buckets=buckets))
               .option("checkpointLocation", checkpoint_location))
     if available_now:
         writer = writer.trigger(availableNow=True)
