@@ -200,6 +200,13 @@ def price_orders(valid: DataFrame) -> DataFrame:
                  .withColumnRenamed("request_id", "order_id"))
 
 
+def line_choices() -> Column:
+    """Of a priced order, its recipe's lines by name with whether each is included: what the customer may be told."""
+    ex, xt = F.col("excluded_ids"), F.col("extra_ids")
+    return F.transform("lines", lambda l: F.struct(l["name"].alias("ingredient_name"),
+                                                   F.coalesce(_included(l, ex, xt), F.lit(False)).alias("is_included")))
+
+
 class _Flat:
     """Field access on top-level columns, so the line rules serve exploded rows."""
 

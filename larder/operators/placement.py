@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.money import to_money
 from larder.operators.customers import upsert_customers
-from larder.operators.orders import check_orders, number_orders, order_lines, price_orders
+from larder.operators.orders import check_orders, line_choices, number_orders, order_lines, price_orders
 from larder.schemas import ORDER_NUMBER_PREFIX, ORDER_STATUSES, ORDERS
 
 
@@ -60,10 +60,11 @@ class Placed:
     def confirmation(self) -> DataFrame:
         """What the customer is told: number, price, whether it is pending, pickup,
         and one row per ingredient with whether it is included. No cost leaves."""
-        told = self.orders.select("order_id", "order_number", "selling_price", "needs_price_confirmation",
-                                  "pickup_date", "pickup_time")
-        named = self.lines.select("order_id", F.col("ingredient_name_snapshot").alias("ingredient_name"), "is_included")
-        return told.join(named, "order_id", "left")
+        # The names ride along the numbering, so orders are not joined with their own lines.
+        told = ["order_id", "order_number", "selling_price", "needs_price_confirmation", "pickup_date", "pickup_time"]
+        rows = self._priced.select("created_at", *[c for c in told if c != "order_number"], line_choices().alias("_told"))
+        numbered = number_orders(rows, start=self._start, prefix=self._prefix, order_cols=("created_at", "order_id"))
+        return numbered.select(*told, F.inline_outer("_told"))
 
     @cached_property
     def lines(self) -> DataFrame:

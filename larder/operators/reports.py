@@ -46,7 +46,10 @@ def selection_stats(lines: DataFrame, orders: DataFrame, d1: str | dt.date, d2:
                     report_tz: str | None = None) -> DataFrame:
     """Op 27: included / left-out line counts by snapshot name, for orders
     created in [d1, d2]. Cancelled orders count; an add-on not taken counts as
-    left out."""
+    left out. Lines that carry their order's `created_at` (op 11 gives it) are
+    bounded by it too, which prunes the folders of `write_order_lines`."""
+    if "created_at" in lines.columns:
+        lines = lines.filter(in_days(lines, "created_at", d1, d2, report_tz))
     o = orders.filter(in_days(orders, "created_at", d1, d2, report_tz)).select(F.col("id").alias("order_id"))
     return (lines.join(o, "order_id", "left_semi")
             .groupBy(F.col("ingredient_name_snapshot").alias("ingredient_name"))

@@ -103,28 +103,28 @@ PRICED_LINES = """v as (
 rl as (select l.*, i.name, i.unit_price, i.direct_cost, i.cost_method, i.is_allergen, i.is_customer_removable,
               i.is_active ing_active, i.is_visible_to_customer ing_visible
        from recipe_lines l join ingredients i on i.id = l.ingredient_id),
-lx as (select v.request_id, rl.*,
+lx as materialized (select v.request_id, rl.*,
          case when rl.pricing_rule = 'extra_cost_addon'
               then rl.is_customer_optional and list_contains(v.extra_ids, rl.ingredient_id)
               else not coalesce(rl.is_customer_optional and rl.is_customer_removable
                                 and list_contains(v.excluded_ids, rl.ingredient_id), false) end inc_raw
        from v join rl on rl.recipe_id = v.recipe_id),
+unknown as (select distinct request_id from lx where pricing_rule = 'extra_cost_addon' and inc_raw is null),
 checked as (select v.*, case
     when coalesce(trim(customer_name), '') = '' then 'blank_name'
     when coalesce(trim(customer_phone), '') = '' then 'blank_phone'
     when not coalesce(size_is_active, false) then 'size_unavailable'
     when recipe_id is null or not coalesce(recipe_is_active, false) then 'recipe_unavailable'
-    when exists (select 1 from lx where lx.request_id = v.request_id and lx.pricing_rule = 'extra_cost_addon'
-                 and lx.inc_raw is null) then 'null_selection' end reject_reason
-  from v),
-valid as (select * from checked where reject_reason is null),
-pl as (select lx.*, coalesce(inc_raw, false) inc,
+    when unknown.request_id is not null then 'null_selection' end reject_reason
+  from v left join unknown on unknown.request_id = v.request_id),
+valid as materialized (select * from checked where reject_reason is null),
+pl as materialized (select lx.*, coalesce(inc_raw, false) inc,
          cast(case when not coalesce(inc_raw, false) then 0 when cost_method = 'direct' then direct_cost
                    else quantity * unit_price end as decimal(12,2)) cost,
          cast(case when pricing_rule = 'included_reduce_on_remove' and not coalesce(inc_raw, false) then -price_delta
                    when pricing_rule = 'extra_cost_addon' and coalesce(inc_raw, false) then price_delta
                    else 0 end as decimal(12,2)) delta
-       from lx where lx.request_id in (select request_id from valid)),
+       from lx join (select request_id from valid) ok on ok.request_id = lx.request_id),
 pa as (select request_id, sum(cost) cost_sum, sum(delta) delta_sum from pl group by request_id),
 priced as (select v.request_id order_id, v.recipe_id, v.created_at, v.customer_phone, v.customer_name,
     v.customer_address, v.seq, v.pricing_mode, v.base_selling_price, v.excluded_ids, v.extra_ids,

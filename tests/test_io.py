@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import pytest
 from larder.plans.testdata import TESTDATA
 from larder.schemas import DOMAIN
-from larder.sources import load_tables, read_table, write_order_lines, write_orders
+from larder.sources import load_tables, read_table, write_load, write_order_lines, write_orders
 from larder.sources.sinks import write_batch
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,83 @@ def test_kitchen_audit_counts_each_kind_of_violation(spark):
                    "recipes.size_id references sizes": 1, "recipes.base_selling_price null only for custom sizes": 1}
     empty = kitchen_audit({"customers": customers.limit(0)}).collect()
     assert empty and not any(r.violations for r in empty)
+
+
+def _facts(spark, load):
+    """(orders, lines) of a load over three days."""
+    rows = [(f"{load}{k}", D(k), dt.datetime(2024, 1, 1 + k % 3, 9)) for k in range(9)]
+    orders = spark.createDataFrame(rows, "id string, selling_price decimal(12,2), created_at timestamp")
+    lines = orders.select(F.col("id").alias("order_id"), F.explode(F.array(F.lit("i1"), F.lit("i2"))).alias("ingredient_id"), "created_at")
+    return orders, lines
+
+
+def test_a_load_written_again_is_read_once(spark, tmp_path):
+    out = [str(tmp_path / x) for x in ("orders", "lines")]
+    for load in ("a", "b", "a"):
+        for facts, path in zip(_facts(spark, load), out):
+            write_load(facts, path, load)
+    for path, key, n in ((out[0], "id", 18), (out[1], "order_id", 36)):
+        back = spark.read.parquet(path)
+        assert back.count() == n and back.select(key, *[c for c in ("ingredient_id",) if c in back.columns]).distinct().count() == n
+    assert sorted({(r["created_date"].day, r["load_id"]) for r in spark.read.parquet(out[0]).collect()}) == [(d, x) for d in (1, 2, 3) for x in "ab"]
+
+
+def test_a_load_that_dies_halfway_leaves_nothing_and_is_run_again(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    write_load(_facts(spark, "a")[0], path, "a")
+    bad = _facts(spark, "b")[0].repartition(5).withColumn(
+        "selling_price", F.when(F.col("id") == "b7", F.raise_error(F.lit("killed")).cast("decimal(12,2)")).otherwise(F.col("selling_price")))
+    with pytest.raises(Exception, match="killed"):
+        write_load(bad, path, "b")
+    assert {r["load_id"] for r in spark.read.parquet(path).collect()} == {"a"}
+    for _ in range(2):
+        write_load(_facts(spark, "b")[0], path, "b")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [f"{x}{k}" for x in "ab" for k in range(9)]
+
+
+def test_co_located_facts_join_without_moving_lines(spark, kitchen, tmp_path):
+    from larder.operators import reports as R
+    from larder.operators.lists import order_detail
+    from larder.sources import save_co_located
+    orders, lines = _facts(spark, "a")
+    orders = orders.withColumn("status", F.lit("new")).withColumn("pickup_date", F.to_date("created_at"))
+    lines = (lines.withColumn("is_included", F.col("ingredient_id") == "i1").withColumn("quantity_snapshot", F.lit(2).cast("decimal(12,3)"))
+             .withColumn("ingredient_name_snapshot", F.concat(F.lit("name "), "ingredient_id")).withColumn("is_allergen", F.lit(False))
+             .withColumn("price_delta_applied", F.lit(0).cast("decimal(12,2)")))
+    names = [f"facts_{tmp_path.name}_{x}".replace("-", "_") for x in ("orders", "lines")]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        save_co_located(orders, lines, *names, buckets=4)
+        o, l = (spark.table(n) for n in names)
+        reports = {
+            "needs": lambda o, l: R.ingredient_needs(l, o, kitchen.ingredients, "2024-01-01", "2024-01-02"),
+            "stats": lambda o, l: R.selection_stats(l, o, "2024-01-01", "2024-01-02"),
+            "detail": lambda o, l: order_detail(l, o.where("selling_price < 5").select("id"))}
+        for name, fn in reports.items():
+            got = fn(o, l)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fn(orders, lines).collect())), name
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            join = plan.index("SortMergeJoin")
+            # All exchanges by order id are above no scan of the facts: below the join there are none.
+            assert "hashpartitioning(order_id" not in plan[join:] and "Bucketed: true" in plan, name
+        # Without buckets the lines are exchanged.
+        assert "hashpartitioning(order_id" in reports["stats"](orders, lines)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        for n in names:
+            spark.sql(f"drop table if exists {n}")
+
+
+def test_selection_stats_prune_lines(spark, tmp_path):
+    from larder.operators.reports import selection_stats
+    orders, lines = _facts(spark, "a")
+    lines = lines.withColumn("is_included", F.lit(True)).withColumn("ingredient_name_snapshot", F.col("ingredient_id"))
+    write_orders(orders, str(tmp_path / "o"))
+    write_order_lines(lines, str(tmp_path / "l"))
+    o, l = spark.read.parquet(str(tmp_path / "o")), spark.read.parquet(str(tmp_path / "l"))
+    got = selection_stats(l, o, "2024-01-02", "2024-01-02")
+    assert got._jdf.queryExecution().toString().count("PartitionFilters: [isnotnull(created_date") >= 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, selection_stats(lines.drop("created_at"), orders, "2024-01-02", "2024-01-02").collect()))
