@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.llm import decontaminate, mixing, sharding, simhash, toxicity
-from larder.llm.common import materialise
+from larder.llm.common import fresh, materialise, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,8 +17,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents scored 0.5 or more go; the scorer learns from `labels` and the stage's own documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scorer = toxicity.fit(docs, toxicity.train_labels(labels, "toxic"))
-    scored = toxicity.toxicity_scores(docs, scorer, "_llm_toxicity")
-    return scored.where("_llm_toxicity < 0.5").select(*docs.columns)
+    score = fresh(["llm_toxicity"], docs.columns)[0]
+    return toxicity.toxicity_scores(docs, scorer, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again by the next."""
+    """All stages over `documents`, each written as Parquet and read again by the next.
+
+    Null and empty texts are kept by every filter and have no words; a row
+    without a doc_id can't be a copy's name and stays. Rows that repeat are rows
+    each, until the near-duplicate stage leaves one. A table without rows gives
+    no rows, and other columns pass through whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name)
+            release(before)  # nothing reads the stage's input any more
     return docs

@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.session import checkpoint_dir
@@ -54,6 +55,26 @@ def fresh(names: list[str], taken: list[str]) -> list[str]:
     return out
 
 
+def first_by_hash(rows: DataFrame, order: Column, n: int, name: str) -> DataFrame:
+    """The `n` of the distinct `rows` that come first by the 64-bit hash `order`, then by value.
+
+    Sorting all and taking n would send n rows of every partition to one place.
+    Here the hash is cut first, for about 2n rows over all partitions, and only
+    these are written, made distinct and sorted; the cut is widened where too
+    few pass. So what arrives in one place follows n and not the partitions.
+    """
+    hash_ = fresh(["llm_order"], rows.columns)[0]
+    hashed = rows.withColumn(hash_, order)
+    share = min(1.0, 2 * n / max(1, hashed.agg(F.approx_count_distinct(hash_)).first()[0]))
+    while True:
+        cut = -(1 << 63) + int(share * (1 << 64)) - 1
+        some = materialise((hashed if share >= 1 else hashed.where(F.col(hash_) <= cut)).distinct(), name)
+        if share >= 1 or some.count() >= n:
+            return some.orderBy(hash_, *rows.columns).limit(n).select(*rows.columns)
+        release(some)
+        share = min(1.0, 4 * share)
+
+
 def as_bytes(col: pa.Array) -> list[bytes | None]:
     """A string column's UTF-8 values."""
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()

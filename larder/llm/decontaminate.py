@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import append_columns, as_bytes, materialise
+from larder.llm.common import append_columns, as_bytes, fresh, materialise
 
 # Fixed by the contract: words are runs of bytes outside 00-2F, 3A-60 and 7B-7F after A-Z is lower-cased.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -218,16 +218,16 @@ _FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.Long
            T.StructField("longest_match", T.IntegerType()), T.StructField("longest_at", T.IntegerType())]
 
 
-def _search_block(df: DataFrame, block: Suffixes, before: list[str] | None) -> tuple[DataFrame, list[str]]:
-    """`df` with the finds of one block of items, joined to those of the blocks `before`."""
+def _search_block(df: DataFrame, text: str, block: Suffixes, before: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """`df` with the finds of one block of items in column `text`, joined to those of the blocks `before`."""
     shared = df.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         q = shared.value
         for b in batches:
             docs, n, part, found = [], [], 0, []
-            for text in as_bytes(b.column("_llm_text")):
-                ws = words_of(text)
+            for one in as_bytes(b.column(text)):
+                ws = words_of(one)
                 ids = np.fromiter((q.vocab.get(w, 0) for w in ws), np.int64, len(ws)) if q.vocab else np.zeros(0, int)
                 n.append(len(ws))
                 docs.append(ids)
@@ -274,15 +274,16 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, bloc
                          F.coalesce("text", F.lit("")).alias("text"))
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0  # no fewer characters than words
     blocks = words // (2 * block_words) + 1
-    out = docs.drop("contamination").withColumn("_llm_text", F.col("text").cast("string"))
-    names: list[str] | None = None
     columns = [c for c in docs.columns if c.lower() != "contamination"]
+    text = fresh(["llm_text"], columns)[0]
+    out = docs.select(*columns, F.col("text").cast("string").alias(text))
+    names: list[str] | None = None
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         block = suffixes([(r[0], r[1].encode()) for r in mine.collect()], window)
         if names:
-            out = materialise(out.select(*columns, "_llm_text", *names), "contamination")
-        out, new = _search_block(out, block, names)
+            out = materialise(out.select(*columns, text, *names), "contamination")
+        out, new = _search_block(out, text, block, names)
         names = new
     found = F.struct(*[F.col(n).alias(f.name) for n, f in zip(names, _FIELDS)])
     return out.select(*columns, found.alias("contamination"))
@@ -295,7 +296,12 @@ def is_contaminated(found: str = "contamination") -> F.Column:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
-    """`docs` without the contaminated documents, columns unchanged."""
-    found = find_contamination(docs.withColumn("_llm_keep", F.struct("*")) if "contamination" in docs.columns else docs,
-                               bench, window).where(~is_contaminated())
-    return found.select("_llm_keep.*") if "contamination" in docs.columns else found.select(*docs.columns)
+    """`docs` without the contaminated documents, columns unchanged, one called `contamination` too.
+
+    A null or empty text is not contaminated and stays, as do all rows where
+    the benchmark is empty; repeated rows stay or go together.
+    """
+    kept = fresh(["llm_kept"], docs.columns)[0]
+    own = [c for c in docs.columns if c.lower() == "contamination"]
+    found = find_contamination(docs.withColumn(kept, F.col(own[0])) if own else docs, bench, window).where(~is_contaminated())
+    return found.select(*[F.col(kept).alias(c) if c in own else F.col(c) for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import materialise, tasks
+from larder.llm.common import first_by_hash, materialise, tasks
 from larder.llm.components import components
 from larder.llm.runs import forest, pairs, whole_runs
 
@@ -124,7 +124,7 @@ def _links(reps: DataFrame, threshold: float, sample: int, parts: int, parts_of_
     part_mask = [((1 << width) - 1) << (width * k) for k in range(parts)]
     masks = np.array([sum(part_mask[k] for k in t) for t in tables], dtype=np.uint64)
     # Bounded: at most `sample` vectors, those first by a hash.
-    drawn = reps.orderBy(F.xxhash64("h1", "id"), "id").limit(sample).select("e").collect()
+    drawn = first_by_hash(reps.select("id", "h1", "e"), F.xxhash64("h1", "id"), sample, "vec_sample").select("e").collect()
     by_dims: dict[int, list] = {}
     for r in drawn:
         by_dims.setdefault(len(r["e"]), []).append(r["e"])

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import append_columns, fresh
+from larder.llm.common import append_columns, first_by_hash, fresh
 
-#: Bounds of the fit: pages, and blocks of a page that training reads (labelling reads all).
-SAMPLE_PAGES, TRAIN_BLOCKS = 300, 96
+#: Bounds of the fit: distinct pages; blocks of a window, and windows of a longer page, its first and last blocks among them.
+SAMPLE_PAGES, TRAIN_BLOCKS, TRAIN_WINDOWS = 300, 96, 8
 PATH_DIM, WORD_DIM, HIDDEN = 96, 32, 24
 EPOCHS, PAGES_A_STEP, RATE = 10, 24, 0.01
 
@@ -320,18 +320,31 @@ def train(pages: list[list[Block]], labels: list[np.ndarray], seed: int = 6) ->
     return Labeller(w)
 
 
+def _windows(page: list[Block]) -> list[list[Block]]:
+    """A page in windows of TRAIN_BLOCKS at most, whole if it fits; its first and last blocks are in one."""
+    if len(page) <= TRAIN_BLOCKS:
+        return [page] if page else []
+    n = min(TRAIN_WINDOWS, -(-len(page) // TRAIN_BLOCKS))
+    return [page[at:at + TRAIN_BLOCKS] for at in np.linspace(0, len(page) - TRAIN_BLOCKS, n).astype(int)]
+
+
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, seed: int = 6) -> Labeller | None:
-    """Train on at most `sample_pages` rows of `pages(html)`, the first by a hash; None without any block."""
-    drawn = (pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
-             .orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect())
+    """Train on at most `sample_pages` distinct pages of `pages(html)`, the first by a hash; None without any block.
+
+    Null pages teach nothing and equal pages count once, however many there
+    are. A page of more than TRAIN_BLOCKS blocks is read in windows spread
+    evenly from its first block to its last.
+    """
+    html = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
+    drawn = first_by_hash(html, F.xxhash64("html"), sample_pages, "pages").collect()
     rng = np.random.default_rng(seed)
-    plain = [p[:TRAIN_BLOCKS] for p in (blocks(r["html"]) for r in drawn) if p]
+    plain = [w for r in drawn for w in _windows(blocks(r["html"]))]
     if not plain:
         return None
     seen, labels = [], []
     for k, p in enumerate(plain):
-        scoped = any(x in MAIN_TAGS for b in p for x in b.path)
-        for q in (p, _varied(p, plain[k - 1], rng), _varied(p, plain[k - 2], rng)) if scoped else (p,):
+        scoped = any(tag in MAIN_TAGS or name in MAIN_NAMES for b in p for tag, _, name in (x.partition(".") for x in b.path))
+        for q in (p, _varied(p, plain[k - 1], rng), _varied(p, plain[(k - 2) % len(plain)], rng)) if scoped else (p,):
             seen.append(q)
             labels.append(np.array([named_label(b.path, scoped) for b in q]))
     return train(seen, labels)

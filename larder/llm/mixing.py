@@ -70,23 +70,26 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS,
     beyond it AQE splits the hot sources of a sort-merge join.
     """
     columns = [c for c in docs.columns if c.lower() != "mix"]
-    size, key = fresh(["llm_size", "llm_source"], columns)
+    size, key, t, of = fresh(["llm_size", "llm_source", "llm_target", "llm_of"], columns)
     sized = docs.select(*columns).withColumn(size, n_tokens(F.col("text"))).withColumn(key, F.col("source").cast("string"))
     totals = sized.groupBy(F.col(key).alias("source")).agg(F.sum(size).alias("source_size"))
     # Written first: Spark then knows the table's bytes, and broadcasts it or not by its own threshold.
     targets = materialise(source_targets(totals, weights, max_repeats), "targets").select(
-        F.struct("source_size", "target").alias("_llm_t"), F.col("source").alias("_llm_s"))
-    joined = sized.join(targets, F.col(key).eqNullSafe(F.col("_llm_s")))
-    rate = F.when(F.col("_llm_t.source_size") > 0, F.col("_llm_t.target") / F.col("_llm_t.source_size")).otherwise(F.lit(0.0))
+        F.struct("source_size", "target").alias(t), F.col("source").alias(of))
+    joined = sized.join(targets, F.col(key).eqNullSafe(F.col(of)))
+    rate = F.when(F.col(f"{t}.source_size") > 0, F.col(f"{t}.target") / F.col(f"{t}.source_size")).otherwise(F.lit(0.0))
     draw = unit_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    mix = F.struct(F.col(size).alias("size"), F.col("_llm_t.source_size").alias("source_size"),
-                   F.col("_llm_t.target").alias("target"), copies.alias("copies"), (F.col(size) * copies).alias("taken"))
+    mix = F.struct(F.col(size).alias("size"), F.col(f"{t}.source_size").alias("source_size"),
+                   F.col(f"{t}.target").alias("target"), copies.alias("copies"), (F.col(size) * copies).alias("taken"))
     return joined.select(*columns, mix.alias("mix"))
 
 
 def mix_sources(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, columns unchanged."""
+    """The mix itself: each document as many times as it is taken, columns unchanged, whatever they are called.
+
+    Nulls, ties, repeated rows and an empty table as in `plan_mix`.
+    """
     plan = plan_mix(docs.select(F.struct("*").alias("_llm_row"), F.col("doc_id").alias("doc_id"),
                                 F.col("text").alias("text"), F.col("source").alias("source")), seed, weights, max_repeats)
     times = F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int")))

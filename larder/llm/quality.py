@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import append_columns, as_bytes, fresh
+from larder.llm.common import append_columns, as_bytes, first_by_hash, fresh
 
 #: Bounds of the fit: trusted positives and unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
@@ -130,10 +130,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = MAX_POSITIVE,
     known = labelled.where("doc_id is not null and label is not null")
     n, n1 = known.agg(F.count("*"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0))).first()
     prior = (n1 + 1) / (n + 2)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # Broadcasts: at most max_positive and max_unlabelled ids.
-    positive = known.where("label = 1").select("doc_id").distinct().orderBy(*order).limit(max_positive)
-    unlabelled = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
+    positive = first_by_hash(known.where("label = 1").select("doc_id"), F.xxhash64("doc_id"), max_positive, "positive")
+    unlabelled = first_by_hash(docs.select("doc_id").where("doc_id is not null"), F.xxhash64("doc_id", F.lit(1)), max_unlabelled, "unlabelled")
     texts = docs.select("doc_id", "text")
     pos = _collect_statistics(texts.join(F.broadcast(positive), "doc_id"))
     unl = _collect_statistics(texts.join(F.broadcast(unlabelled), "doc_id"))

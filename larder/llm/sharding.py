@@ -34,19 +34,18 @@ def _numbered(df: DataFrame, group: list[str], slice_: str, order: list[Column],
 
     `slice_` must rise with `order`. Null group values are a group.
     """
-    counts = df.groupBy(*group, slice_).agg(F.count("*").alias("_llm_n"))
+    keys = [*group, slice_]
+    n, before, at, *of = fresh(["llm_n", "llm_ahead", "llm_place", *[f"llm_of_{k}" for k in range(len(keys))]], [*df.columns, number, total])
+    counts = df.groupBy(*keys).agg(F.count("*").alias(n))
     up = Window.partitionBy(*group).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select(*[F.col(c).alias(f"_g_{c}") for c in [*group, slice_]],
-                          F.coalesce(F.sum("_llm_n").over(up), F.lit(0)).alias("_llm_ahead"),
-                          F.sum("_llm_n").over(Window.partitionBy(*group)).alias(total))
+    ahead = counts.select(*[F.col(c).alias(x) for c, x in zip(keys, of)], F.coalesce(F.sum(n).over(up), F.lit(0)).alias(before),
+                          F.sum(n).over(Window.partitionBy(*group)).alias(total))
     same = None
-    for c in [*group, slice_]:
-        eq = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    for c, x in zip(keys, of):
+        eq = F.col(c).eqNullSafe(F.col(x))
         same = eq if same is None else same & eq
-    place = F.row_number().over(Window.partitionBy(*group, slice_).orderBy(*order))
-    return (df.withColumn("_llm_place", place).join(ahead, same)
-            .withColumn(number, F.col("_llm_ahead") + F.col("_llm_place"))
-            .drop("_llm_place", "_llm_ahead", *[f"_g_{c}" for c in [*group, slice_]]))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(at, place).join(ahead, same).withColumn(number, F.col(before) + F.col(at)).drop(at, before, *of)
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, slices: int = SLICES) -> DataFrame:
@@ -88,4 +87,5 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, slices: int = S
 
 
 def _numbered_all(df: DataFrame, slice_: str, order: list[Column], number: str, total: str) -> DataFrame:
-    return _numbered(df.withColumn("_llm_one", F.lit(0)), ["_llm_one"], slice_, order, number, total).drop("_llm_one")
+    one = fresh(["llm_one"], [*df.columns, number, total])[0]
+    return _numbered(df.withColumn(one, F.lit(0)), [one], slice_, order, number, total).drop(one)

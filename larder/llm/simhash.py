@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import as_bytes, materialise, tasks
+from larder.llm.common import as_bytes, fresh, materialise, tasks
 from larder.llm.components import components
 from larder.llm.runs import forest, pairs, whole_runs
 
@@ -141,11 +141,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """`docs` with one document of each component: the one that names it.
 
     Rows without a doc_id cannot be named and stay. Of rows that repeat the
-    naming doc_id one stays.
+    naming doc_id one stays. Columns are unchanged, whatever they are called.
     """
-    found = simhash_components(docs, shingle, radius)
-    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_llm_rows"))
-    kept = docs.join(named.withColumnRenamed("doc_id", "_llm_id"), F.col("doc_id") == F.col("_llm_id"))
-    one = kept.where("_llm_rows = 1")
-    more = kept.where("_llm_rows > 1").dropDuplicates(["doc_id"])
+    found = simhash_components(docs.select("doc_id", "text"), shingle, radius)
+    rows, own = fresh(["llm_rows", "llm_id"], docs.columns)
+    named = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows))
+    kept = docs.join(named, F.col("doc_id") == F.col(own))
+    one = kept.where(F.col(rows) == 1)
+    more = kept.where(F.col(rows) > 1).dropDuplicates(["doc_id"])
     return one.unionByName(more).select(*docs.columns).unionByName(docs.where("doc_id is null"))

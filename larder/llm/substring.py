@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import as_bytes, materialise, slices, tasks
+from larder.llm.common import as_bytes, fresh, materialise, slices, tasks
 
 WINDOW, BLOCK = 50, 25
 #: Words of documents whose hashes are packed together.
@@ -393,15 +393,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
 
 
 def cut_texts(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """`docs` with `text` less its repeated words; texts that lose none stay as they are."""
-    base, cut = _dedup(docs, window, block)
-    gone = base.where("whole").select(F.col("row").alias("_llm_row"), F.lit("").alias("_llm_kept"))
+    """`docs` with `text` less its repeated words; texts that lose none stay as they are, null ones too.
+
+    What goes, nulls, ties, repeated rows and an empty table as in
+    `dedup_substrings`; other columns stay, whatever they are called.
+    """
+    base, cut = _dedup(docs.select("doc_id", "text"), window, block)
+    row, kept, own = fresh(["llm_row", "llm_cut", "llm_key"], docs.columns)
+    gone = base.where("whole").select(F.col("row").alias(row), F.lit("").alias(kept))
     new = gone.union(cut.join(base.where("whole").select("row"), "row", "left_anti").where("n_removed > 0")
                      .select("row", "kept")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id").cast("long"), text)
-    return (docs.withColumn("_llm_key", key).join(new, F.col("_llm_key") == F.col("_llm_row"), "left")
-            .withColumn("text", F.coalesce("_llm_kept", "text")).select(*docs.columns))
+    return (docs.withColumn(own, key).join(new, F.col(own) == F.col(row), "left")
+            .withColumn("text", F.coalesce(kept, "text")).select(*docs.columns))
 
 
 def _dedup(docs: DataFrame, window: int, block: int) -> tuple[DataFrame, DataFrame]:

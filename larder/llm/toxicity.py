@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import append_columns, fresh, materialise, release
+from larder.llm.common import append_columns, first_by_hash, fresh, materialise, release
 
 #: Classes of the character model: 0 word end, 1-26 letters, 27 any other letter.
 CLASSES = 28
@@ -496,6 +496,15 @@ class Scorer:
     def __post_init__(self) -> None:
         self.starts = {x[:x.rindex("*")] for x in self.weight if "*" in x}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+    def keep(self) -> tuple[Sieve, dict, dict]:
+        """The sieve and what is remembered of words, which a worker process keeps from task to task."""
+        if "kept" not in self.__dict__:
+            self.kept = self.sieve(), {}, {}
+        return self.kept
+
     def sieve(self) -> Sieve:
         return Sieve({x for x in self.weight if "*" not in x} | self.starts)
 
@@ -573,22 +582,23 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
     used; texts that are equal count once. Features come from counts over them;
     the `MAX_FEATURES` with the strongest positive association go to the driver,
     with each text's list of them. Without labelled rows of both kinds all
-    weights are 0 and the score is the smoothed share of label 1.
+    weights are 0 and the score is the smoothed share of label 1. A doc_id with
+    two labels has the larger; null and empty texts teach that no feature stands
+    there; rows of a null doc_id or label teach nothing.
     """
     cost = log_model(char_model(docs)).tolist()
-    shared = docs.sparkSession.sparkContext.broadcast(cost)
-    sample = (labelled.where("doc_id is not null and label is not null")
-              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(cost, {}, 0.0))
+    known = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sample = first_by_hash(known, F.xxhash64("doc_id"), max_labelled, "labelled")
     # Broadcast: at most max_labelled rows of 12 bytes.
     texts = (docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
              .join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).select("doc_id", "label", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple] = {}
+        memo = shared.value.keep()[1]
         for b in batches:
             for i, y, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
-                found = sorted(features(restored_words(text, shared.value, memo)))
+                found = sorted(features(restored_words(text, shared.value.cost, memo)))
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()),
                                                   pa.array([found], pa.list_(pa.string()))], names=["doc_id", "label", "found"])
 
@@ -606,8 +616,8 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
     odds = F.col("p") * F.log(F.col("p") * n / (F.col("c") * n1))
     top = counts.orderBy(odds.desc(), "x").limit(MAX_FEATURES).select("x")
     number = {r["x"]: k for k, r in enumerate(top.collect())}
-    known = F.broadcast(top.withColumnRenamed("x", "y"))  # MAX_FEATURES rows at most
-    rows = (once.select("h", "label", F.explode("found").alias("x")).join(known, F.col("x") == F.col("y"))
+    kept = F.broadcast(top.withColumnRenamed("x", "y"))  # MAX_FEATURES rows at most
+    rows = (once.select("h", "label", F.explode("found").alias("x")).join(kept, F.col("x") == F.col("y"))
             .groupBy("h", "label").agg(F.collect_list("x").alias("xs")).select("label", "xs").collect())
     weight, bias = _logistic([(r["label"], [number[x] for x in r["xs"]]) for r in rows], n1, n, list(number))
     release(once)
@@ -679,8 +689,8 @@ def toxicity_scores(docs: DataFrame, scorer: Scorer, score: str = "toxicity") ->
     text = fresh(["_llm_text"], columns)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        s, memo, known = shared.value, {}, {}
-        sieve = s.sieve()
+        s = shared.value
+        sieve, memo, known = s.keep()
         for b in batches:
             out = [s.score_text(t.as_py(), sieve, memo, known) for t in b.column(text)]
             yield b, [pa.array(out, pa.float64())]

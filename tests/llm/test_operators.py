@@ -31,7 +31,10 @@ def odd(spark):
 
 def clash(df):
     """The same rows with columns called like the operators' own."""
-    for c in ("mix", "sharding", "contamination", "score", "n_words", "n_hit", "row", "ord", "hits", "k_hash", "llm_size", "fp", "llm_score"):
+    for c in ("mix", "sharding", "contamination", "score", "n_words", "n_hit", "row", "ord", "hits", "k_hash", "llm_size", "fp", "llm_score",
+              "_llm_place", "_llm_one", "_llm_ahead", "_llm_rows", "_llm_id", "_llm_row", "_llm_kept", "_llm_key", "_llm_t", "_llm_s", "_llm_text",
+              "_llm_keep", "llm_n", "llm_ahead", "llm_place", "llm_of_0", "llm_of_1", "llm_one", "llm_target", "llm_of", "llm_text", "llm_kept",
+              "llm_row", "llm_cut", "llm_key", "llm_rows", "llm_id", "llm_order", "g", "n", "h", "found", "label", "component_id", "fingerprint"):
         df = df.withColumn(c, F.lit("mine"))
     return df
 
@@ -431,3 +434,70 @@ def test_quality_learns_from_positives_and_unlabelled(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, label int")
     assert quality.fit(odd.select("doc_id", "text"), empty) == 0.5
     assert quality.quality_scores(odd.limit(0), net).count() == 0
+
+
+# ---- shared helpers, names and samples
+def test_columns_of_the_operators_own_names_pass_through(odd):
+    """Filters, cuts and mixes leave every other column as it is, whatever it is called."""
+    docs = clash(odd)
+    extra = [c for c in docs.columns if c not in odd.columns]
+    bench = odd.sparkSession.createDataFrame([(1, prose(2, 200))], "item_id long, text string")
+    for out in (simhash.keep_one(docs), substring.cut_texts(docs), mixing.mix_sources(docs), decontaminate.decontaminate(docs, bench)):
+        assert out.columns == docs.columns
+        assert 0 < out.count() == out.where(" and ".join(f"`{c}` = 'mine'" for c in extra)).count()
+    plain = decontaminate.decontaminate(odd, bench)
+    assert sorted(str(r["doc_id"]) for r in decontaminate.decontaminate(docs, bench).collect()) == sorted(str(r["doc_id"]) for r in plain.collect())
+
+
+@pytest.mark.parametrize("partitions", [1, 60])
+def test_first_by_hash_is_the_sorted_head_of_the_distinct_rows(spark, partitions):
+    from larder.llm.common import first_by_hash
+    rows = spark.range(3000).select((F.col("id") % 900).alias("x"), (F.col("id") % 900 % 7).cast("string").alias("y")).repartition(partitions)
+    order = F.xxhash64("x", "y")
+    for n in (1, 40, 500, 5000):
+        want = [tuple(r) for r in rows.distinct().orderBy(order, "x", "y").limit(n).collect()]
+        assert [tuple(r) for r in first_by_hash(rows, order, n, "t").collect()] == want
+    assert first_by_hash(rows.limit(0), order, 5, "t").count() == 0
+    same = spark.range(500).select(F.lit(1).alias("x"))
+    assert first_by_hash(same, F.xxhash64("x"), 10, "t").count() == 1
+
+
+def test_training_pages_are_distinct_and_read_to_the_end(spark, monkeypatch):
+    """Thousands of equal pages count once; the windows of a long page hold its first and last blocks."""
+    seen = []
+    monkeypatch.setattr(html, "train", lambda pages, labels, seed=6: seen.append(pages))
+    body = "<html><body><div class='post'>" + "".join(f"<p>word {k}</p>" for k in range(1000)) + "</div><div class='tail'>end</div></body></html>"
+    rows = [("<p>same</p>",)] * 2000 + [(f"<div>{k}</div>",) for k in range(30)] + [(body,), (None,), ("",)]
+    html.fit(spark.createDataFrame(rows, "html string"), sample_pages=40)
+    texts = [[b.text for b in p] for p in seen[0]]
+    assert sum(t == ["same"] for t in texts) == 1 and sum(t == ["3"] for t in texts) == 1
+    assert any(t and t[0] == "word 0" for t in texts) and any(t and t[-1] == "end" for t in texts)
+    assert max(map(len, texts)) <= 2 * html.TRAIN_BLOCKS
+
+
+def test_a_page_with_a_named_article_has_no_main_text_outside_it(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html, "train", lambda pages, labels, seed=6: seen.append((pages, labels)))
+    html.fit(spark.createDataFrame([("<div class='post'><p>in</p></div><div><p>out</p></div>",)], "html string"))
+    first = {b.text: bool(y) for b, y in zip(seen[0][0][0], seen[0][1][0])}
+    assert first == {"in": True, "out": False}
+
+
+def test_recall_of_vectors_by_band():
+    """The share of pairs that meet in a table, by cosine: of codes of a rotation learnt on others."""
+    rng = np.random.default_rng(3)
+    for dims in (64, 384):
+        base = rng.normal(size=(3000, dims))
+        base /= np.linalg.norm(base, axis=1)[:, None]
+        r = embeddings.learn_rotation(base[:2000])
+        for low, least in ((0.93, 0.9), (0.94, 0.93), (0.96, 0.97), (0.98, 0.99)):
+            c = rng.uniform(low, low + 0.01, 6000)
+            x = rng.normal(size=(6000, dims))
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            z = rng.normal(size=x.shape)
+            z -= (z * x).sum(axis=1)[:, None] * x
+            z /= np.linalg.norm(z, axis=1)[:, None]
+            y = c[:, None] * x + np.sqrt(1 - c * c)[:, None] * z
+            a, b = ((v @ r >= 0).reshape(len(x), embeddings.PARTS, -1) for v in (x, y))
+            met = (a == b).all(axis=2).sum(axis=1) >= embeddings.PARTS_OF_KEY
+            assert met.mean() >= least, (dims, low, met.mean())
