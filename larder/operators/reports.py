@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.days import day_start, in_days
@@ -133,13 +133,17 @@ def sales_ranking(orders: DataFrame, types: DataFrame, sizes: DataFrame, d1: str
     the grand total, in one grouping-sets pass; `grouping_id` tells the sets
     apart even where a name is NULL."""
     live = orders.filter(in_days(orders, "created_at", d1, d2, report_tz) & _not_cancelled(cancelled))
+    return ranking_of(live, types, sizes, F.count(F.lit(1)))
+
+
+def ranking_of(live: DataFrame, types: DataFrame, sizes: DataFrame, count: Column) -> DataFrame:
+    """The ranking over rows with product_type_id and size_id, each counting as the aggregate `count` has it."""
     t = types.select(F.col("id").alias("product_type_id"), F.col("name").alias("_tn"))
     s = sizes.select(F.col("id").alias("size_id"), F.col("name").alias("_sn"))
-    named = (live.select("product_type_id", "size_id")
-             .join(t, "product_type_id", "left").join(s, "size_id", "left")
-             .select(_shown_name("_tn").alias("type_name"), _shown_name("_sn").alias("size_name")))
+    named = (live.join(t, "product_type_id", "left").join(s, "size_id", "left")
+             .withColumn("type_name", _shown_name("_tn")).withColumn("size_name", _shown_name("_sn")))
     g = named.groupingSets([["type_name"], ["size_name"], []], "type_name", "size_name").agg(
-        F.count(F.lit(1)).alias("order_count"), F.grouping_id().alias("_gid"))
+        count.alias("order_count"), F.grouping_id().alias("_gid"))
     dim = F.when(F.col("_gid") == 1, "type").when(F.col("_gid") == 2, "size").otherwise("total")
     return (g.select(dim.alias("dimension"),
                      F.when(F.col("_gid") == 1, F.col("type_name")).when(F.col("_gid") == 2, F.col("size_name"))

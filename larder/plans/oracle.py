@@ -660,3 +660,10 @@ select r.k request_id, case when m.recipe_id is not null then coalesce(excluded_
   case when m.recipe_id is not null and m.pricing_mode <> 'custom'
        then cast(cast(coalesce(m.base_selling_price, 0) + coalesce(adjust, 0) as decimal(12,2)) as double) end preview_price
 from req r left join menu m using (recipe_id) left join arr using (k)"""
+
+ORACLE["daily_rollup"] = with_views("ord") + """
+select cast(created_at as date) created_date, product_type_id, size_id, status, count(*) order_count,
+  cast(sum(coalesce(selling_price, 0)) as double) sales, cast(sum(coalesce(profit, 0)) as double) profit
+from ord group by 1, 2, 3, 4"""
+ORACLE["rollup_trailing"] = ORACLE["trailing_sales"]
+ORACLE["rollup_ranking"] = ORACLE["sales_ranking"]
