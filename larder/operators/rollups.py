@@ -2,8 +2,9 @@
 
 A rollup has one row per report day, product type, size and status, so a report
 over any days reads days x catalog rows however many orders there are. It is
-kept in folders by day: after a load, or when orders of some days change, only
-those days are computed again and replaced.
+written in numbered versions: after a load, or when orders of some days change,
+a version with only those days is added, and of each day the last version
+counts. From time to time, write what `read_rollup` gives to a new folder.
 """
 
 from __future__ import annotations
@@ -39,14 +40,13 @@ def daily_rollup(orders: DataFrame, report_tz: str | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("order_count"), *money))
 
 
-def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Replace the days that `rollup` has, and no others; writing the same again changes nothing."""
-    (rollup.hint("rebalance", "created_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("created_date").parquet(path))
+def write_rollup(rollup: DataFrame, path: str, version: int) -> None:
+    """Replace the days that `rollup` has, and no others. A version written again takes its own place."""
+    rollup.hint("rebalance").write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
 
 
-def refresh_rollup(orders: DataFrame, path: str, days: Iterable[str | dt.date], report_tz: str | None = None) -> None:
-    """Compute some days again from the orders, of which only those days are read, and replace them.
+def refresh_rollup(orders: DataFrame, path: str, version: int, days: Iterable[str | dt.date], report_tz: str | None = None) -> None:
+    """Compute some days again from the orders, of which only those days are read, as a version of their own.
 
     A day that has no orders any more is left with a row of zeros.
     """
@@ -58,12 +58,15 @@ def refresh_rollup(orders: DataFrame, path: str, days: Iterable[str | dt.date],
     kinds = {f.name: f.dataType for f in fresh.schema.fields}
     zero = [F.lit(0 if n in MEASURES else None).cast(kinds[n]).alias(n) for n in fresh.columns if n != "created_date"]
     calendar = orders.sparkSession.createDataFrame([(d,) for d in days], "created_date date")
-    write_rollup(fresh.unionByName(calendar.select("created_date", *zero)), path)
+    write_rollup(fresh.unionByName(calendar.select("created_date", *zero)), path, version)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The rollup as it stands, without the rows of zeros."""
-    return spark.read.parquet(path).where("order_count > 0")
+    """The rollup as it stands: of each day the last version, without the rows of zeros."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(F.col("created_date").alias("_day")).agg(F.max("version").alias("_last"))  # a row for each day
+    newest = F.col("created_date").eqNullSafe(F.col("_day")) & (F.col("version") == F.col("_last"))
+    return rows.join(last, newest, "left_semi").where("order_count > 0").drop("version")
 
 
 def _live(rollup: DataFrame, d1: dt.date, d2: dt.date, cancelled: str) -> DataFrame:

@@ -73,10 +73,10 @@ def _rollup(t: b.Tables) -> DataFrame:
     third one of some days were cancelled, loaded in two parts of days; then those days again, as they are."""
     orders, path = b.orders(t), scratch_path(t.spark, "rollup")
     wrong = orders.withColumn("status", F.when((F.day("created_at") <= 2) & (F.col("id") % 3 == 0), b.CANCELLED).otherwise(F.col("status")))
-    for part in (F.month("created_at") <= 6, F.month("created_at") > 6):
-        RU.write_rollup(RU.daily_rollup(wrong.where(part)), path)
+    for k, part in enumerate((F.month("created_at") <= 6, F.month("created_at") > 6)):
+        RU.write_rollup(RU.daily_rollup(wrong.where(part)), path, k)
     days = orders.where(F.day("created_at") <= 2).select(F.to_date("created_at").alias("d")).distinct().collect()  # calendar days
-    RU.refresh_rollup(orders, path, [r["d"] for r in days])
+    RU.refresh_rollup(orders, path, 2, [r["d"] for r in days])
     return RU.read_rollup(t.spark, path)
 
 

@@ -34,7 +34,7 @@ def _same(a, b):
 @pytest.mark.parametrize("kind,tz", [("timestamp", None), ("timestamp", "Asia/Baghdad"), ("timestamp_ntz", "Asia/Baghdad")])
 def test_reports_from_the_rollup(spark, tmp_path, kind, tz):
     orders, (types, sizes) = _orders(spark, kind=kind), _dims(spark)
-    RU.write_rollup(RU.daily_rollup(orders, tz), str(tmp_path / "r"))
+    RU.write_rollup(RU.daily_rollup(orders, tz), str(tmp_path / "r"), 0)
     rollup = RU.read_rollup(spark, str(tmp_path / "r"))
     money = ["sales", "profit"]
     for d1, d2 in (("2024-01-05", "2024-01-20"), ("2024-01-08", "2024-01-08"), ("2030-01-01", "2030-01-02")):
@@ -47,7 +47,7 @@ def test_reports_from_the_rollup(spark, tmp_path, kind, tz):
 
 def test_a_changed_status_replaces_only_its_days(spark, tmp_path):
     path, orders = str(tmp_path / "r"), _orders(spark)
-    RU.write_rollup(RU.daily_rollup(orders), path)
+    RU.write_rollup(RU.daily_rollup(orders), path, 0)
 
     def files():
         return {f"{d}/{f}": os.path.getmtime(f"{d}/{f}") for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
@@ -55,15 +55,14 @@ def test_a_changed_status_replaces_only_its_days(spark, tmp_path):
     before, day = files(), dt.date(2024, 1, 9)
     changed = orders.withColumn("status", F.when(F.to_date("created_at") == F.lit(day), "gone").otherwise(F.col("status")))
     for _ in range(2):  # the second time changes nothing
-        RU.refresh_rollup(changed, path, [day])
-        after = files()
-        other = {f: t for f, t in before.items() if "2024-01-09" not in f}
-        assert other == {f: t for f, t in after.items() if "2024-01-09" not in f}
+        RU.refresh_rollup(changed, path, 1, [day])
+        assert before == {f: t for f, t in files().items() if "version=0" in f}
+        assert {r["created_date"] for r in spark.read.parquet(f"{path}/version=1").collect()} == {day}
         _same(RU.read_rollup(spark, path).select(*RU.KEYS, *RU.MEASURES), RU.daily_rollup(changed).select(*RU.KEYS, *RU.MEASURES))
     # A day whose orders are all deleted.
     left = changed.where(F.to_date("created_at") != F.lit(day))
-    RU.refresh_rollup(left, path, [day, "2024-01-10"])
-    RU.refresh_rollup(left, path, [])
+    RU.refresh_rollup(left, path, 2, [day, "2024-01-10"])
+    RU.refresh_rollup(left, path, 3, [])
     _same(RU.read_rollup(spark, path).select(*RU.KEYS, *RU.MEASURES), RU.daily_rollup(left).select(*RU.KEYS, *RU.MEASURES))
 
 
@@ -71,8 +70,8 @@ def test_a_refresh_reads_only_the_folders_of_its_days(spark, tmp_path):
     from larder.sources import write_orders
     write_orders(_orders(spark), str(tmp_path / "o"))
     facts = spark.read.parquet(str(tmp_path / "o"))
-    RU.write_rollup(RU.daily_rollup(facts.drop("created_date")), str(tmp_path / "r"))
-    RU.refresh_rollup(facts, str(tmp_path / "r"), ["2024-01-03"])
+    RU.write_rollup(RU.daily_rollup(facts.drop("created_date")), str(tmp_path / "r"), 0)
+    RU.refresh_rollup(facts, str(tmp_path / "r"), 1, ["2024-01-03"])
     _same(RU.read_rollup(spark, str(tmp_path / "r")).select(*RU.KEYS, *RU.MEASURES), RU.daily_rollup(facts).select(*RU.KEYS, *RU.MEASURES))
 
 
