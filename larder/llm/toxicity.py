@@ -56,7 +56,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 MAX_LABELLED, MAX_FEATURES = 20_000, 4_000
 #: Features that should tell each label-1 text.
 COVER = 4
-MEMO = 300_000
+#: Tokens, gaps and words, and lattice places, that a worker remembers.
+MEMO, MEMO_OPTIONS = 100_000, 20_000
 
 
 def fold(text: str) -> str:
@@ -166,7 +167,7 @@ def decode(token: str, cost: list, gap: float = COSTS_GAP[0]) -> str:
         around = token[max(0, i - 2):i], token[i:i + 2], gap
         options = _KNOWN_OPTIONS.get(around)
         if options is None:
-            if len(_KNOWN_OPTIONS) >= MEMO:
+            if len(_KNOWN_OPTIONS) >= MEMO_OPTIONS:
                 _KNOWN_OPTIONS.clear()
             options = _KNOWN_OPTIONS[around] = [(emit, price, _char_class(emit) if emit else 0) for emit, price in _options(token, i, gap)]
         for (a, b), (so_far, chain) in best.items():
