@@ -484,13 +484,14 @@ def test_a_page_with_a_named_article_has_no_main_text_outside_it(spark, monkeypa
 
 
 def test_recall_of_vectors_by_band():
-    """The share of pairs that meet in a table, by cosine: of codes of a rotation learnt on others."""
+    """The share of pairs that meet in a table, by cosine, where nothing helps: vectors uniform on the sphere, a rotation
+    learnt on others. The README states these figures; tables with structure do better."""
     rng = np.random.default_rng(3)
     for dims in (64, 384):
         base = rng.normal(size=(3000, dims))
         base /= np.linalg.norm(base, axis=1)[:, None]
         r = embeddings.learn_rotation(base[:2000])
-        for low, least in ((0.93, 0.9), (0.94, 0.93), (0.96, 0.97), (0.98, 0.99)):
+        for low, least in ((0.93, 0.85), (0.94, 0.88), (0.95, 0.92), (0.96, 0.95), (0.97, 0.97), (0.98, 0.99)):
             c = rng.uniform(low, low + 0.01, 6000)
             x = rng.normal(size=(6000, dims))
             x /= np.linalg.norm(x, axis=1)[:, None]
