@@ -57,7 +57,7 @@ MAX_LABELLED, MAX_FEATURES = 20_000, 4_000
 #: Features that should tell each label-1 text.
 COVER = 4
 #: Tokens, gaps and words, and lattice places, that a worker remembers.
-MEMO, MEMO_OPTIONS = 100_000, 20_000
+MEMO, MEMO_OPTIONS = 200_000, 20_000
 
 
 def fold(text: str) -> str:
