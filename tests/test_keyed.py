@@ -5,6 +5,7 @@ import os
 import random
 from decimal import Decimal as D
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from larder.operators import customers as CU
@@ -13,7 +14,7 @@ from larder.operators.placement import create_orders
 from larder.sources.keyed import KeyedTable
 from larder.sources.sinks import latest_rows, write_batch
 from larder.streaming import place_order_batch, stream_ledger_summaries, stream_summary_ledger, summarise_batch
-from larder.streaming.ledger import STATE_STORE, SUMMARY
+from larder.streaming.ledger import STATE_STORE, SUMMARY, _FoldSummaries
 from tests.seed import REQUEST_SCHEMA, request
 from tests.test_streaming import _memory, _split_write
 
@@ -120,3 +121,33 @@ def test_two_step_ledger_equals_the_fold_and_folds_rewritten_batches_once(spark,
         assert run("b") == want
     finally:
         spark.conf.unset(key)
+
+
+def test_one_call_folds_all_customers_of_a_bucket():
+    """Calls are per bucket, state per customer: whole numbers stay exact beside nulls, a batch counts once."""
+    none, big = -(1 << 63), (1 << 60) + 1
+    kept, asked = {}, []
+
+    class Totals:
+        def getValue(self, key):
+            asked.append(key[0])
+            return kept.get(key[0])
+
+        def updateValue(self, key, value):
+            kept[key[0]] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Totals()
+
+    def rows(*found):
+        return pd.DataFrame(found, columns=["customer_id", "sum_count", "floor_count", "sum_cents", "floor_cents", "last", "as_of", "batch_id"])
+
+    fold = _FoldSummaries()
+    fold.init(Handle())
+    first = rows((str(big), 1, none, big, none, 5, 7, 1), ("", -1, 1, -50, 50, none, 3, 0), (str(big), -1, 1, -2, 2, none, 6, 0))
+    out, = fold.handleInputRows((3,), iter([first[:1], first[1:]]), None)
+    assert {r[0]: r[1:] for r in out.itertuples(index=False)} == {str(big): (1, "11529215046068469.77", 5, 7), "": (0, "0.00", none, 3)}
+    out, = fold.handleInputRows((3,), iter([first[:1], rows((str(big), 1, none, 3, none, 8, 9, 2))]), None)
+    assert [tuple(r) for r in out.itertuples(index=False)] == [(str(big), 2, "11529215046068469.80", 8, 9)]
+    assert asked.count("") == 1 and asked.count(str(big)) == 2
