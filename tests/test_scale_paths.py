@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from larder.operators import orders as O
 from larder.plans import bindings as b
+from larder.plans.q_orders import recipe_dim
 from larder.plans.queries import REGISTRY
+from larder.streaming.orders import _checked
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,18 @@ def test_hot_recipe_same_on_broadcast_and_shuffle_paths(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert broadcast_path == shuffle_path and len(broadcast_path) > 0
+
+
+def test_a_batch_of_one_file_is_read_in_shares(spark):
+    """Rows that carry their recipe's lines are many times as wide as they came; no task keeps a whole file's."""
+    t = b.Tables(spark, SF)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "4k")
+    try:
+        checked = _checked(b.requests(t).coalesce(1), b.sizes(t), recipe_dim(t)).persist()
+        per_task = [r["count"] for r in checked.groupBy(F.spark_partition_id()).count().collect()]
+        checked.unpersist()
+    finally:
+        spark.conf.unset(key)
+    assert len(per_task) > 1 and max(per_task) < sum(per_task) / 2
+    assert sum(per_task) == b.requests(t).count()
