@@ -73,7 +73,7 @@ def delete_closure(tables: Mapping[str, DataFrame], deletes: DataFrame, referenc
         if t not in live or "id" not in live[t].columns:
             continue
         there = live[t].select(F.col("id").cast("string").alias("id")).distinct().withColumn("there", F.lit(True))
-        roots = asked.where(F.col("table_name") == t).select("id").join(there, "id", "left")
+        roots = asked.where(F.col("table_name") == t).select("id").join(there, "id", "left").checkpoint()
         parts = _closure(t, roots.where("there").select(F.col("id").alias("root"), "id"), live, references, cascades)
         told = roots
         for name, counts in (("n_cascaded", _cascaded(parts, live)), ("n_blocking", _blocking(parts, live, references, cascades))):
@@ -83,7 +83,9 @@ def delete_closure(tables: Mapping[str, DataFrame], deletes: DataFrame, referenc
         what = F.when(F.col("there").isNull(), "missing").when(F.col("n_blocking") > 0, "blocked").otherwise("deleted")
         outcomes.append(told.select(F.lit(t).alias("table_name"), "id", what.alias("outcome"), "n_cascaded", "n_blocking"))
         gone = told.where("there and n_blocking = 0").select(F.col("id").alias("root"))
-        live = live | {p.table: _left(live[p.table], p.by, p.keys.join(gone, "root", "left_semi")) for p in parts}
+        # Followed from the deleted keys alone, so that what is left of a table doesn't look for its keys again.
+        goes = _closure(t, gone.withColumn("id", F.col("root")), live, references, cascades)
+        live = live | {p.table: _left(live[p.table], p.by, p.keys) for p in goes}
     return Deletion(reduce(DataFrame.unionByName, outcomes), live)
 
 

@@ -77,3 +77,15 @@ def test_customers_after_deletes(spark):
                                  "customer_id string, selling_price decimal(12,2)")
     got = {r["id"]: (r["total_orders"], r["total_spent"]) for r in correct_customers(customers, gone).collect()}
     assert got == {"a": (1, D("30.00")), "b": (0, D("0.00")), "c": (1, D("0.00")), "d": (None, D("1.00"))}
+
+
+def test_what_is_left_of_a_table_reads_it_once(spark, tmp_path):
+    """The keys that went are known by then: they are not looked for again in the tables they came from."""
+    frames = {"orders": spark.range(9).selectExpr("id", "id % 2 as customer_id"), "order_lines": spark.range(20).selectExpr("id % 10 as order_id")}
+    for name, rows in frames.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    stored = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in frames}
+    found = delete_closure(stored, stored["orders"].where("id < 4").selectExpr("'orders' as table_name", "cast(id as string) as id"))
+    for name, left in (("orders", 5), ("order_lines", 12)):
+        assert found.tables[name]._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1, name
+        assert found.tables[name].count() == left
