@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from larder.operators import orders as O
 from larder.plans import bindings as b
 from larder.plans.q_orders import recipe_dim
+from larder.plans.q_streams import _stream_dim
 from larder.plans.queries import REGISTRY
 from larder.streaming.orders import _checked
 
@@ -68,3 +69,16 @@ def test_a_batch_of_one_file_is_read_in_shares(spark):
         spark.conf.unset(key)
     assert len(per_task) > 1 and max(per_task) < sum(per_task) / 2
     assert sum(per_task) == b.requests(t).count()
+
+
+def test_a_stream_broadcasts_only_what_every_batch_may_send_again(spark, monkeypatch):
+    t = b.Tables(spark, SF)
+    size = int(str(b.recipe_lines(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+    def hinted(dim):
+        return "broadcast" in dim._jdf.queryExecution().analyzed().toString()
+
+    monkeypatch.setattr(O, "BROADCAST_BYTES", size)
+    assert hinted(recipe_dim(t)) and not hinted(_stream_dim(t))
+    monkeypatch.setattr(O, "BROADCAST_BYTES", 17 * size)
+    assert hinted(_stream_dim(t))
